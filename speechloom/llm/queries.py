@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lm_scores import stupid_backoff
+from .packing import harmonic_pack
+from .secrets import PATTERNS, find_secrets
 from .shared import table
 from .substring_dedup import remove_repeats
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stupid_backoff(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k, *_ in PATTERNS), F.sha2(said(F.filter("secrets", lambda x: x["kind"] != "entropy")), 256).alias("base_sha256"), said(F.col("secrets")).alias("spans"))
+
+
+def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = harmonic_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op10_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_lm_scores, op7_secret_scan, op9_harmonic_packing, op10_substring_dedup)}
 
 ORACLES = {
+    "op2_lm_scores": r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^ \t\n\x0B\x0C\r]+'), []) AS ws FROM documents),
+f AS (SELECT rid, unnest(ws) AS w3, unnest(range(len(ws))) AS pos FROM t),
+g AS (SELECT *, lag(w3) OVER o AS w2, lag(w3, 2) OVER o AS w1 FROM f WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+n AS (SELECT count(*) AS total FROM g),
+size AS (SELECT rid, count(*) AS words FROM g GROUP BY rid),
+c AS (SELECT *, count(*) OVER (PARTITION BY w3) - count(*) OVER (PARTITION BY rid, w3) AS c1,
+      count(*) OVER (PARTITION BY w2, w3) - count(*) OVER (PARTITION BY rid, w2, w3) AS c2,
+      count(*) OVER (PARTITION BY w1, w2, w3) - count(*) OVER (PARTITION BY rid, w1, w2, w3) AS c3 FROM g),
+x AS (SELECT *, lag(c1) OVER p AS k1, lag(c2) OVER p AS k2 FROM c WINDOW p AS (PARTITION BY rid ORDER BY pos)),
+s AS (SELECT x.rid, CASE WHEN pos >= 2 AND c3 > 0 THEN CAST(c3 AS DOUBLE) / k2 WHEN pos >= 1 AND c2 > 0 THEN power(0.4, least(pos, 2) - 1) * (CAST(c2 AS DOUBLE) / k1)
+      WHEN c1 > 0 THEN power(0.4, least(pos, 2)) * (CAST(c1 AS DOUBLE) / (total - words)) ELSE power(0.4, least(pos, 2) + 1) / greatest(total - words, 1) END AS v,
+      NOT (CASE WHEN pos >= 2 THEN c3 > 0 WHEN pos = 1 THEN c2 > 0 ELSE c1 > 0 END) AS off FROM x JOIN size USING (rid), n)
+SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, CAST(coalesce(sum(CAST(round_even(1e6 * log10(v), 0) AS BIGINT)), 0) AS BIGINT) AS score_micro, count(*) FILTER (off) AS n_backed_off
+FROM t LEFT JOIN s ON s.rid = t.rid GROUP BY t.rid, t.doc_id, len(t.ws)
+""",
     "op10_substring_dedup": r"""
 WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^ \t\n\x0B\x0C\r]+'), []) AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos, len(ws) AS n FROM t),
