@@ -6,17 +6,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import find_leaks
+from .language_id import fit_languages, identify
 from .lm_scores import stupid_backoff
+from .near_duplicates import near_duplicates
 from .packing import harmonic_pack
+from .samples import held_out
 from .secrets import PATTERNS, find_secrets
 from .shared import table
 from .substring_dedup import remove_repeats
+from .toxicity import fit_documents, score_toxicity
+from .url_filter import judge_urls
+
+#: The rules that op4 is to apply.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stupid_backoff(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    dictionaries = fit_languages(docs.filter(~F.col("held_out")))
+    return identify(docs.drop("lang"), dictionaries).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
     said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
@@ -24,6 +51,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k, *_ in PATTERNS), F.sha2(said(F.filter("secrets", lambda x: x["kind"] != "entropy")), 256).alias("base_sha256"), said(F.col("secrets")).alias("spans"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    network = fit_documents(docs.filter(~F.col("held_out")), labels)
+    return score_toxicity(docs, network).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = harmonic_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -34,7 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_scores, op7_secret_scan, op9_harmonic_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_language_id, op4_url_filter, op5_near_duplicates, op7_secret_scan, op8_toxicity, op9_harmonic_packing, op10_substring_dedup)}
 
 ORACLES = {
     "op2_lm_scores": r"""
