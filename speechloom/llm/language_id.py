@@ -22,8 +22,11 @@ from .samples import bounded_sample
 UNKNOWN = "und"
 #: Languages' dictionaries are at most this long, from about so many texts.
 DICT_BYTES, SAMPLE_TEXTS = 96 << 10, 200
-#: Of the encoder, and the bytes of a block.
+#: Of the encoder, and the bytes of a block. Texts of up to SHORT bytes get the thorough level, behind a filler that no
+#: dictionary holds: by itself a block so small is stored as it is.
 LEVEL, BLOCK = 6, 1024
+SHORT_LEVEL, SHORT = 19, 320
+FILLER = bytes(128 + (37 * i * i + 91 * i) % 127 for i in range(64))
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -61,11 +64,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
 
     @F.pandas_udf("lang_pred string, score double, margin double")
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coders = []
-        for lang in langs:
-            raw = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=LEVEL)
-            coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False, write_checksum=False))
+        coders = {}
+        for level in (LEVEL, SHORT_LEVEL):
+            for lang in langs:
+                raw = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                raw.precompute_compress(level=level)
+                coders.setdefault(level, []).append(zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_dict_id=False, write_checksum=False))
         for texts in batches:
             out = []
             for text in texts:
@@ -73,8 +77,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
                     out.append((UNKNOWN, 0.0, 0.0))
                     continue
                 plain = _plain(text)
-                blocks = [plain[i : i + BLOCK] for i in range(0, len(plain), BLOCK)]
-                sizes = np.array([sum(len(c.compress(b)) for b in blocks) for c in coders], dtype=np.float64)
+                blocks = [plain[i : i + BLOCK] for i in range(0, len(plain), BLOCK)] if len(plain) > SHORT else [FILLER + plain]
+                sizes = np.array([sum(len(c.compress(b)) for b in blocks) for c in coders[LEVEL if len(plain) > SHORT else SHORT_LEVEL]], dtype=np.float64)
                 first = int(np.argmin(sizes))
                 next_ = np.partition(sizes, 1)[1] if len(sizes) > 1 else 2 * sizes[0]
                 weight = np.exp2(-8 * (sizes - sizes[first]) / (4 + math.sqrt(len(plain))))

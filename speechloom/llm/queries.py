@@ -15,6 +15,7 @@ from .samples import held_out
 from .secrets import PATTERNS, find_secrets
 from .shared import table
 from .substring_dedup import remove_repeats
+from .top_k import top_k
 from .toxicity import fit_documents, score_toxicity
 from .url_filter import judge_urls
 
@@ -44,6 +45,13 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("node")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024))
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull() & ~odd).select("vec_id", whole.alias("v"))
+    return top_k(rows, rows.filter(F.col("vec_id") % 100 == 0), k=10, id_col="vec_id").withColumnRenamed("id", "vec_id")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
     said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
@@ -68,7 +76,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_language_id, op4_url_filter, op5_near_duplicates, op7_secret_scan, op8_toxicity, op9_harmonic_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_language_id, op4_url_filter, op5_near_duplicates, op6_top_k, op7_secret_scan, op8_toxicity, op9_harmonic_packing, op10_substring_dedup)}
 
 ORACLES = {
     "op2_lm_scores": r"""
@@ -86,6 +94,14 @@ s AS (SELECT x.rid, CASE WHEN pos >= 2 AND c3 > 0 THEN CAST(c3 AS DOUBLE) / k2 W
       NOT (CASE WHEN pos >= 2 THEN c3 > 0 WHEN pos = 1 THEN c2 > 0 ELSE c1 > 0 END) AS off FROM x JOIN size USING (rid), n)
 SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, CAST(coalesce(sum(CAST(round_even(1e6 * log10(v), 0) AS BIGINT)), 0) AS BIGINT) AS score_micro, count(*) FILTER (off) AS n_backed_off
 FROM t LEFT JOIN s ON s.rid = t.rid GROUP BY t.rid, t.doc_id, len(t.ws)
+""",
+    "op6_top_k": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+x AS (SELECT vec_id, unnest(range(len(e))) AS d, unnest(e) AS c, len(e) AS n FROM v),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(sum(q.c * x.c) AS BIGINT) AS score FROM x q JOIN x ON q.d = x.d AND q.n = x.n AND q.vec_id <> x.vec_id
+      WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, x.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10
 """,
     "op10_substring_dedup": r"""
 WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^ \t\n\x0B\x0C\r]+'), []) AS ws FROM documents),
