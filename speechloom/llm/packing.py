@@ -9,8 +9,9 @@ two as well.
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,38 +19,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_IRREGULAR = re.compile(r" \s|\s ")
+#: The pre-tokeniser's pattern of byte-level BPE files, as their format defines it.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class UnitEncoder:
-    """Token ids of texts, little-endian unsigned 32-bit, by a byte-level BPE tokenizer file.
+def byte_level_encoding(path: str):
+    """The encoder of a byte-level BPE file of the tokenizers library, special tokens read as ordinary text.
 
-    Its pre-tokeniser starts a token at every space that has no white space beside it, so a text splits there into units
-    whose ids don't depend on one another; a bounded table remembers them. Other texts go to the tokenizer whole.
+    Its vocabulary lists merges in the order of their ids, so a rank encoder over the same bytes and ids gives the same ids
+    as the library itself, several times faster.
     """
+    import tiktoken
 
-    def __init__(self, path: str, most_units: int = 200_000):
-        from tokenizers import Tokenizer
+    vocabulary = json.loads(Path(path).read_text(encoding="utf-8"))["model"]["vocab"]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = [t for t in vocabulary if any(c not in letters for c in t) or t.startswith("<|") and t.endswith("|>")]
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+    return tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most, self.first, self.later = most_units, {}, {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > self.most:
-            self.first, self.later = {}, {}
-        units = [None if _IRREGULAR.search(t) else t.split(" ") for t in texts]
-        for known, lead, wanted in ((self.first, "", {u[0] for u in units if u}), (self.later, " ", {x for u in units if u for x in u[1:]})):
-            new = [x for x in wanted if x not in known]
-            known.update(zip(new, self._ids([lead + x for x in new]), strict=True))
-        later = self.later
-        return [self._ids([t])[0] if u is None else self.first[u[0]] + b"".join([later[x] for x in u[1:]]) for t, u in zip(texts, units, strict=True)]
-
-
-def harmonic_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, batch_chars: int = 1 << 20) -> DataFrame:
+def harmonic_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0) -> DataFrame:
     """One row per piece: id, start long and length long (in the document's ids), ids binary (little-endian unsigned 32-bit),
     doc_tokens long, sequence_id long, offset long (in the sequence, gapless from 0).
 
@@ -64,7 +54,7 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     names = [f.name for f in schema]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer_path)
+        encoding = byte_level_encoding(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 32
         open_bins: list[list[tuple]] = [[] for _ in range(levels)]
         out: list[tuple] = []
@@ -86,26 +76,20 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
         for batch in batches:
             id_type = batch.column(id_col).type
-            keys, texts = batch.column(id_col).to_pylist(), [t or "" for t in batch.column(text_col).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= batch_chars):
-                    chars += len(texts[to])
-                    to += 1
-                for key, ids in zip(keys[at:to], encoder.encode(texts[at:to]), strict=True):
-                    ids += end_id.to_bytes(4, "little")
-                    total, start = len(ids) // 4, 0
-                    while start < total:
-                        level = max(0, levels - (total - start).bit_length())
-                        length = capacity >> level
-                        open_bins[level].append((key, start, length, ids[4 * start : 4 * (start + length)], total))
-                        if len(open_bins[level]) == 1 << level:
-                            close(level, 1 << level)
-                        start += length
-                at = to
-                if out:
+            for key, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col), strict=True):
+                ids = np.array([*encoding.encode_ordinary(text.as_py() or ""), end_id], dtype="<u4").tobytes()
+                total, start = len(ids) // 4, 0
+                while start < total:
+                    level = max(0, levels - (total - start).bit_length())
+                    length = capacity >> level
+                    open_bins[level].append((key, start, length, ids[4 * start : 4 * (start + length)], total))
+                    if len(open_bins[level]) == 1 << level:
+                        close(level, 1 << level)
+                    start += length
+                if len(out) >= 4096:
                     yield flush()
+            if out:
+                yield flush()
         for level in range(levels):
             while open_bins[level]:
                 close(level, 1 << (len(open_bins[level]).bit_length() - 1))
