@@ -55,7 +55,7 @@ def hash_split(utterance_id: Column) -> Column:
 
 def model_tag(name: Column, default: str) -> Column:
     """``_family_size`` of a model's name for output folders; '' for the default model or a name without both."""
-    family = F.lower(F.regexp_extract(name, r"(?:^|/)([A-Za-z]+[0-9.]*)", 1))
+    family = F.lower(F.regexp_extract(name, r"^(?:.*/)?([A-Za-z]+[0-9.]*)", 1))
     size = F.lower(F.regexp_extract(name, r"(?i)[-_]([0-9.]+[bm])(?:$|[-_])", 1))
     return F.when((name == default) | (family == "") | (size == ""), "").otherwise(F.concat(F.lit("_"), family, F.lit("_"), size))
 

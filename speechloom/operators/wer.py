@@ -26,10 +26,10 @@ def wer_words(text: Column, mode: str = "plain") -> Column:
 def word_distance(ref: Column, hyp: Column) -> Column:
     """Edit distance of two word arrays: each distinct word of the pair becomes one character, and Spark's levenshtein
     compares the strings. Null, not wrong, for pairs of more than MAX_WORDS distinct words."""
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 19968), 4, "0")), "UTF-16BE")
-    spell = lambda ws: F.array_join(F.transform(ws, letter), "")
-    return F.when(F.size(vocabulary) <= MAX_WORDS, F.levenshtein(spell(ref), spell(hyp)))
+    letter = lambda w, v: F.decode(F.unhex(F.lpad(F.hex(F.array_position(v, w) + 19968), 4, "0")), "UTF-16BE")
+    spell = lambda ws, v: F.array_join(F.transform(ws, lambda w: letter(w, v)), "")
+    pair = F.array(F.struct(ref.alias("r"), hyp.alias("h"), F.array_distinct(F.concat(ref, hyp)).alias("v")))  # its lambda works the vocabulary out once
+    return F.transform(pair, lambda p: F.when(F.size(p["v"]) <= MAX_WORDS, F.levenshtein(spell(p["r"], p["v"]), spell(p["h"], p["v"]))))[0]
 
 
 def pair_errors(pairs: DataFrame, ref: str = "rw", hyp: str = "hw") -> DataFrame:

@@ -24,9 +24,10 @@ def stream_prepare(source: DataFrame, key: str = "doc_id", text: str = "text", o
     return rows.select(key, F.col("lang").alias("dataset"), F.array_join("__ws", " ").alias("transcript"), F.size("__ws").alias("n_words"), (F.size("__ws") + overhead).cast("long").alias("len"))
 
 
-def stream_pack(seqs: DataFrame, cutoff: int, bucket: int = 200, lanes: int = 4, key: str = "doc_id", length: str = "len", flush_ms: int = 1000) -> DataFrame:
+def stream_pack(seqs: DataFrame, cutoff: int, bucket: int = 200, lanes: int = 4, key: str = "doc_id", length: str = "len", flush_ms: int | None = 1000) -> DataFrame:
     """(lane, bin_id, key, len, seq_no): each lane holds sequences until it has a bucket, packs them by the greedy knapsack and
-    starts anew; a lane that hears nothing for flush_ms packs what it holds. Longer sequences than the cutoff are left out."""
+    starts anew; a lane that hears nothing for flush_ms packs what it holds. Without flush_ms nothing is held over: each micro-batch
+    packs its remainder too, which suits a run that ends (a processing-time timeout keeps one going). Longer sequences than the cutoff are left out."""
     kind = dict(seqs.dtypes)[key]
 
     def pack(lane: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -34,17 +35,17 @@ def stream_pack(seqs: DataFrame, cutoff: int, bucket: int = 200, lanes: int = 4,
         for frame in frames:
             ids += frame[key].tolist()
             lens += frame[length].tolist()
-        while len(ids) >= bucket or ids and state.hasTimedOut:
+        while len(ids) >= bucket or ids and (flush_ms is None or state.hasTimedOut):
             where = _knapsack(lens[:bucket], cutoff)
             n = max(b for b, _ in where) + 1
             yield pd.DataFrame({"lane": lane[0], "bin_id": [made + b for b, _ in where], key: ids[:bucket], length: lens[:bucket], "seq_no": [s for _, s in where]})
             ids, lens, made = ids[bucket:], lens[bucket:], made + n
         state.update((ids, lens, made))
-        if ids:
+        if ids and flush_ms is not None:
             state.setTimeoutDuration(flush_ms)
 
     fit = seqs.filter((F.col(length) > 0) & (F.col(length) <= cutoff)).withColumn("lane", F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int")).select("lane", key, F.col(length).cast("long").alias(length))
-    return fit.groupBy("lane").applyInPandasWithState(pack, f"lane int, bin_id long, {key} {kind}, {length} long, seq_no long", f"ids array<{kind}>, lens array<long>, made long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return fit.groupBy("lane").applyInPandasWithState(pack, f"lane int, bin_id long, {key} {kind}, {length} long, seq_no long", f"ids array<{kind}>, lens array<long>, made long", "append", GroupStateTimeout.NoTimeout if flush_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def new_results(items: DataFrame, done: DataFrame, min_age: int, now, key: str = "name", ts: str = "saved_at") -> DataFrame:
