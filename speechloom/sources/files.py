@@ -60,9 +60,9 @@ def write_bundle(df: DataFrame, path: str, max_bytes: int = 500_000_000, size: C
 def merge_json_records(spark: SparkSession, root: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(records, bad files) of a folder tree with one JSON record a file."""
     whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(whole).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(root).withColumn("file", F.col("_metadata.file_path"))
-    rows = rows.select(*schema.fieldNames(), "_corrupt_record", "file")
-    return rows.filter("_corrupt_record is null").drop("_corrupt_record", "file"), rows.filter("_corrupt_record is not null").select("file")
+    text = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(root).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = text.select("file", F.from_json("value", whole, {"mode": "PERMISSIVE"}).alias("r")).withColumn("bad", F.col("r").isNull() | F.col("r._corrupt_record").isNotNull())
+    return rows.filter("not bad").select(*(F.col("r")[c].alias(c) for c in schema.fieldNames())), rows.filter("bad").select("file")
 
 
 def to_columnar(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
