@@ -18,23 +18,25 @@ from speechloom.llm.language_id import fit_languages, identify
 from speechloom.llm.near_duplicates import near_duplicates, text_node
 from speechloom.llm.packing import harmonic_pack
 from speechloom.llm.secrets import redact
-from speechloom.llm.shared import table
+from speechloom.llm.shared import small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language the compressor is sure of."""
+    small_batches(spark)
     return identify(docs, fit_languages(docs)).filter(~F.col("rejected")).select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class: that with the smallest id (one row of it, where rows repeat)."""
+    small_batches(spark)
     classes = near_duplicates(docs)
-    first = classes.groupBy("class_id", "class_size").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), "node")).alias("one")).select("one.id", "one.node")
+    first = classes.filter("node is not null").groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), "node")).alias("one")).select("one.id", "one.node")
     rows = docs.withColumn("node", text_node(F.coalesce("text", F.lit("")))).withColumn("id", F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)))
     times = classes.filter("node is not null").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("times")).select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("id"), "node", "times")
-    kept = rows.filter("node is not null").join(first.filter("node is not null").join(times, ["id", "node"]), ["id", "node"])
+    kept = rows.filter("node is not null").join(first.join(times, ["id", "node"]), ["id", "node"])
     once, often = kept.filter("times = 1"), kept.filter("times > 1")
     return once.select(*COLUMNS).unionByName(often.dropDuplicates(["id", "node"]).select(*COLUMNS)).unionByName(rows.filter("node is null").select(*COLUMNS))
 
@@ -52,6 +54,7 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
+    small_batches(spark)
     pieces = harmonic_pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -28,6 +28,7 @@ VOCABULARY = 3000
 SIZES = {"byte": 8, "byte_state": 6, "word": 12, "state": 8}
 SAMPLE_PER_LABEL = 1500
 WINDOWS_PER_TEXT = 12
+LEAST_STEPS = 250
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -260,7 +261,9 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 4, rows: int = 256, r
     nth = np.arange(len(order)) - np.searchsorted(text[order], text[order])
     chosen = order[nth < WINDOWS_PER_TEXT]
     first, second = ({k: np.zeros_like(v) for k, v in network.weights.items()} for _ in range(2))
-    step, steps = 0, epochs * -(-len(chosen) // rows)
+    per_epoch = -(-len(chosen) // rows)
+    epochs = max(epochs, -(-LEAST_STEPS // per_epoch))  # a small sample is read more often
+    step, steps = 0, epochs * per_epoch
     for _ in range(epochs):
         rng.shuffle(chosen)
         for i in range(0, len(chosen), rows):
