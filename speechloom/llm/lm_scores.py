@@ -3,7 +3,7 @@
 The n-grams of every document are counted in hash buckets (each bucket holds its part of the count table of every order),
 joined back to the n-grams of the documents and summed per document. A document's own n-grams are taken off the counts, so
 it is judged by the rest of the corpus. Runs of distinct n-grams and their counts travel instead of one row an n-gram, see
-packs.
+packs. An n-gram of three or more words is only sent where other rows hold both of its parts.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from .packs import PACK_BYTES, Words, bucket_count, decode, decode_sorted, encod
 _RUN = "bucket int, pack long, n int, hashes binary, counts binary"
 
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, pack_bytes: int = PACK_BYTES) -> DataFrame:
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, pack_bytes: int = 2 * PACK_BYTES) -> DataFrame:
     """(id, n_words long, score_micro long, n_backed_off long) for each row.
 
     score_micro is the sum over the text's words of round(10**6 * log10 S), S being the stupid-backoff score of the word
@@ -38,31 +38,64 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     total = packs.select("blob").mapInArrow(total_words, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
 
-    def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-        return words.windows(n, salt=n)
+    def others(words: Words, answers: list[tuple], known: int) -> np.ndarray:
+        """(order, first word) -> how often the other rows hold the n-gram, for orders up to known."""
+        doc = np.repeat(np.arange(len(words.firsts) - 1), np.diff(words.firsts)).astype(np.uint64)
+        out = np.zeros((order + 2, len(words.hashes) + order), dtype=np.int64)
+        for n in range(1, known + 1):
+            at, hashes = candidates(words, n, out)
+            if len(at):
+                _, where = np.unique(hashes, return_inverse=True)
+                totals = np.concatenate([decode(x) for m, _, x in answers if m == n]).astype(np.int64)
+                _, own, times = np.unique(hashes + doc[at] * np.uint64(0x9E3779B97F4A7C15), return_inverse=True, return_counts=True)
+                out[n, at] = totals[where] - times[own]
+        return out
+
+    def candidates(words: Words, n: int, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words and fingerprints of the n-grams that other rows may hold: from order 3 on only those whose two parts
+        of n-1 words they hold."""
+        at, hashes = words.windows(n, salt=n)
+        if n >= 3:
+            may = (shared[n - 1, at] > 0) & (shared[n - 1, at + 1] > 0)
+            at, hashes = at[may], hashes[may]
+        return at, hashes
+
+    def runs(pack: int, words: Words, n: int, shared: np.ndarray) -> pa.RecordBatch:
+        hashes, counts = np.unique(candidates(words, n, shared)[1], return_counts=True)
+        cut = slices(hashes, n_buckets, 64)
+        return pa.RecordBatch.from_pydict(
+            {
+                "bucket": pa.array([b for b, _, _ in cut], pa.int32()),
+                "pack": pa.array([pack] * len(cut), pa.int64()),
+                "n": pa.array([n] * len(cut), pa.int32()),
+                "hashes": pa.array([encode_sorted(hashes[i:j]) for _, i, j in cut], pa.binary()),
+                "counts": pa.array([encode(counts[i:j].astype(np.uint64)) for _, i, j in cut], pa.binary()),
+            }
+        )
 
     def count(batches):
+        """The runs of orders 1 and 2."""
         for batch in batches:
             for pack, blob in zip(batch.column("pack").to_pylist(), batch.column("blob"), strict=True):
                 words = Words(unpack(blob.as_buffer())[text_col])
-                for n in range(1, order + 1):
-                    hashes, counts = np.unique(grams(words, n)[1], return_counts=True)
-                    cut = slices(hashes, n_buckets, 64)
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "bucket": pa.array([b for b, _, _ in cut], pa.int32()),
-                            "pack": pa.array([pack] * len(cut), pa.int64()),
-                            "n": pa.array([n] * len(cut), pa.int32()),
-                            "hashes": pa.array([encode_sorted(hashes[i:j]) for _, i, j in cut], pa.binary()),
-                            "counts": pa.array([encode(counts[i:j].astype(np.uint64)) for _, i, j in cut], pa.binary()),
-                        }
-                    )
-
-    def add(runs: pa.Table) -> pa.Table:
-        orders = runs["n"].to_numpy()
+                for n in range(1, min(order, 2) + 1):
+                    yield runs(pack, words, n, np.zeros((1, 0)))
+
+    def answered(found: pa.Table) -> list[tuple]:
+        return sorted(zip(found["n"].to_pylist(), found["bucket"].to_pylist(), found["totals"].to_pylist(), strict=True), key=lambda x: x[:2])
+
+    def count_next(n: int):
+        def f(packed: pa.Table, found: pa.Table) -> pa.Table:
+            words = Words(unpack(packed["blob"][0].as_buffer())[text_col])
+            return pa.Table.from_batches([runs(packed["pack"][0].as_py(), words, n, others(words, answered(found), n - 1))])
+
+        return f
+
+    def add(sent_runs: pa.Table) -> pa.Table:
+        orders = sent_runs["n"].to_numpy()
         out: list[tuple] = []
         for n in np.unique(orders).tolist():
-            own = runs.filter(pa.array(orders == n))
+            own = sent_runs.filter(pa.array(orders == n))
             sent = [decode_sorted(x) for x in own["hashes"].to_pylist()]
             hashes, where = np.unique(np.concatenate(sent), return_inverse=True)
             sums = np.zeros(len(hashes), dtype=np.uint64)
@@ -77,17 +110,8 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = unpack(packed["blob"][0].as_buffer())
         words = Words(rows[text_col])
         size = np.diff(words.firsts)
-        doc = np.repeat(np.arange(len(size)), size).astype(np.uint64)
         n_words = len(words.hashes)
-        others = np.zeros((order + 2, n_words + order), dtype=np.int64)  # by order and first word
-        answers = sorted(zip(found["n"].to_pylist(), found["bucket"].to_pylist(), found["totals"].to_pylist(), strict=True), key=lambda x: x[:2])
-        for n in range(1, order + 1):
-            at, hashes = grams(words, n)
-            if len(at):
-                _, where = np.unique(hashes, return_inverse=True)
-                totals = np.concatenate([decode(x) for m, _, x in answers if m == n]).astype(np.int64)
-                _, own, times = np.unique(hashes + doc[at] * np.uint64(0x9E3779B97F4A7C15), return_inverse=True, return_counts=True)
-                others[n, at] = totals[where] - times[own]
+        shared = others(words, answered(found), order)
         place = np.arange(n_words) - np.repeat(words.firsts[:-1], size)
         rest = (total - np.repeat(size, size)).astype(np.float64)
         top = np.minimum(place + 1, order)  # the longest n-gram that ends here
@@ -95,14 +119,18 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         got = np.zeros(n_words, dtype=np.int64)
         for n in range(1, order + 1):
             start = np.arange(n_words) - (n - 1)
-            seen = (top >= n) & (others[n, start] > 0)
-            context = rest if n == 1 else others[n - 1, start].astype(np.float64)
-            value[seen] = alpha ** (top[seen] - n).astype(np.float64) * (others[n, start][seen] / context[seen])
+            seen = (top >= n) & (shared[n, start] > 0)
+            context = rest if n == 1 else shared[n - 1, start].astype(np.float64)
+            value[seen] = alpha ** (top[seen] - n).astype(np.float64) * (shared[n, start][seen] / context[seen])
             got[seen] = n
         micro = np.rint(1e6 * np.log10(value)).astype(np.int64)
         sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[words.firsts])
         return pa.table({id_col: rows[id_col], "n_words": pa.array(size, pa.int64()), "score_micro": pa.array(sums(micro), pa.int64()), "n_backed_off": pa.array(sums((got < top).astype(np.int64)), pa.int64())})
 
     blobs = packs.select("pack", "blob")
-    totals = blobs.mapInArrow(count, _RUN).groupBy("bucket").applyInArrow(add, "pack long, n int, bucket int, totals binary")
+    table = "pack long, n int, bucket int, totals binary"
+    totals = blobs.mapInArrow(count, _RUN).groupBy("bucket").applyInArrow(add, table)
+    for n in range(3, order + 1):
+        more = blobs.groupBy("pack").cogroup(totals.groupBy("pack")).applyInArrow(count_next(n), _RUN)
+        totals = totals.unionByName(more.groupBy("bucket").applyInArrow(add, table))
     return blobs.groupBy("pack").cogroup(totals.groupBy("pack")).applyInArrow(score, schema)

@@ -39,7 +39,7 @@ def pack_documents(df: DataFrame, columns: list[str], text_col: str, pack_bytes:
 
         def out() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
                 w.write_table(pa.Table.from_batches(held).combine_chunks())
             return pa.RecordBatch.from_pydict({"pack": pa.array([number], pa.int64()), "n_docs": pa.array([sum(b.num_rows for b in held)], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
