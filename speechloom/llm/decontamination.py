@@ -43,8 +43,8 @@ _JOINS = np.zeros(256, dtype=bool)
 _JOINS[list(b".,:/-")] = True
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?:;\n|\"")] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_PLAIN = np.where(_WORD, np.arange(256), 32).astype(np.uint8)  # A-Z lowered, all that is in no word a space
+_PLAIN[65:91] += 32
 
 
 def _known(words: str) -> np.ndarray:
@@ -58,16 +58,15 @@ class Template:
 
     def __init__(self, texts: pa.Array):
         data, offsets = fp.text_buffers(texts)
-        spaced = np.where(_WORD[data], data, np.uint8(32))
-        starts, ends, _ = fp.word_spans(spaced, offsets)
-        lower = _LOWER[spaced]
+        lower = _PLAIN[data]
+        starts, ends, _ = fp.word_spans(lower, offsets)
         lower[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 32  # À to Þ
         hashes = fp.word_hashes(lower, starts, ends)
         n = len(starts)
         text = np.searchsorted(offsets, starts, side="right") - 1
         opens = np.ones(n, dtype=bool)  # first of its text
         opens[1:] = text[1:] != text[:-1]
-        stops = np.concatenate([[0], np.cumsum(_ENDS[data])])
+        stops = np.concatenate([[0], np.cumsum(_ENDS[data], dtype=np.int32)])
         number = _DIGIT[data[starts]] if n else np.zeros(0, dtype=bool)
         digits_joined = np.zeros(n, dtype=bool)
         if n:

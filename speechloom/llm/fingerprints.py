@@ -48,7 +48,8 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = texts.fill_null("").cast(pa.large_string())
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]  # a slice shares its parent's buffer
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
