@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the checkpoint folder and read again: for loops. A checkpoint keeps the plan's size
+    estimate, which joins multiply, so that its digits would double in each round; files have their own size."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        durable(df.limit(0))
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Rows here are whole texts: batches of so many rows at most keep Python workers and Arrow buffers small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

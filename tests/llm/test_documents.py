@@ -173,6 +173,22 @@ def test_near_duplicates(spark, docs):
     assert nd.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_near_duplicates_of_one_original(spark):
+    """A star: the copies are near to the original, and few of them to each other."""
+    rng = random.Random(6)
+    base = words(rng, 200, 5000)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 301):
+        copy = list(base)
+        for at in rng.sample(range(4, 196), 4):
+            copy[at] = f"z{rng.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    got = collections.Counter((r.doc_id, r.class_id, r.class_size) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    want = brute_classes(rows)
+    assert max(size for _, _, size in want) == 301
+    assert got == want
+
+
 def test_prob_minhash():
     rng = np.random.default_rng(1)
     value = rng.integers(1, 2**63, 400).astype(np.uint64)
