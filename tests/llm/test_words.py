@@ -118,6 +118,18 @@ def test_packing(docs, capacity):
     assert harmonic_pack(docs.limit(0), TOKENIZER).collect() == []
 
 
+def test_added_tokens(spark):
+    end = "<|endoftext|>"
+    texts = ["a <|endoftext|> b", end, end * 3, f" {end} ", f"a{end}b", f"x  {end}\n\n{end}  y", f"{end[:-1]}", f"<|{end}|>", "plain", f"é{end}😀 {end}", "<|ENDOFTEXT|>"]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = collections.defaultdict(dict)
+    for p in harmonic_pack(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), TOKENIZER, capacity=64).collect():
+        got[p.doc_id][p.start] = np.frombuffer(p.ids, "<u4").tolist()
+    for i, text in enumerate(texts):
+        assert sum((ids for _, ids in sorted(got[i].items())), []) == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
 def brute_spans(text):
     out = []
     for ord_, (kind, pattern, group, least) in enumerate(PATTERNS):
