@@ -102,6 +102,27 @@ x AS (SELECT vec_id, unnest(range(len(e))) AS d, unnest(e) AS c, len(e) AS n FRO
 s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(sum(q.c * x.c) AS BIGINT) AS score FROM x q JOIN x ON q.d = x.d AND q.n = x.n AND q.vec_id <> x.vec_id
       WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, x.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10
+""",
+    "op7_secret_scan": r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT rid, 0 AS ord, 'assign' AS kind, regexp_extract_all(text, '(?s)(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+|.') AS parts FROM t WHERE regexp_matches(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]')
+ UNION ALL SELECT rid, 1, 'access', regexp_extract_all(text, '(?s)AKIA[A-Z0-9]+|.') FROM t WHERE contains(text, 'AKIA')
+ UNION ALL SELECT rid, 2, 'hex', regexp_extract_all(text, '(?s)[0-9a-f]+|.') FROM t WHERE regexp_matches(text, '[0-9a-f]{32}')
+ UNION ALL SELECT rid, 3, 'entropy', regexp_extract_all(text, '(?s)[A-Za-z0-9+/_=-]+|.') FROM t WHERE regexp_matches(text, '[A-Za-z0-9+/_=-]{20}')),
+p AS (SELECT rid, ord, kind, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM m),
+q AS (SELECT *, sum(length(part)) OVER (PARTITION BY rid, ord ORDER BY i) AS stop FROM p),
+r AS (SELECT rid, ord, kind, part, CAST(stop - length(part) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM q WHERE CASE ord WHEN 0 THEN length(regexp_extract(part, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8 WHEN 1 THEN length(part) >= 16 WHEN 2 THEN length(part) >= 32 ELSE length(part) >= 20 END),
+base AS (SELECT * FROM r WHERE ord < 3),
+c AS (SELECT r.*, CASE WHEN regexp_full_match(part, '[0-9a-fA-F]+') THEN 3.0 WHEN NOT regexp_matches(part, '[0-9]') THEN CASE WHEN regexp_matches(part, '[a-z]') AND regexp_matches(part, '[A-Z]') THEN 3.95 ELSE 4.1 END
+  WHEN regexp_full_match(part, '[0-9A-Z]+') THEN 3.5 WHEN regexp_full_match(part, '[0-9a-z]+') THEN 3.6 WHEN regexp_matches(part, '[a-z]') AND regexp_matches(part, '[A-Z]') THEN 3.8 WHEN regexp_matches(part, '[A-Za-z]') THEN 3.9 ELSE 4.1 END AS bits
+ FROM r WHERE ord = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.start < r.stop AND r.start < b.stop)
+ AND NOT regexp_matches(part, '(?i)example|placeholder|changeme|redacted|x{6,}|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[0-9_=+/-]+$|^[a-z]+([/_-][a-z]+)*[/_-][0-9]+$')),
+w AS (SELECT rid, start, stop, bits, part, unnest(range(1, length(part) - 18)) AS i FROM c),
+x AS (SELECT rid, start, stop, bits, i, unnest(string_split(substring(part, i, 20), '')) AS ch FROM w),
+h AS (SELECT rid, start, stop, bits, i, -sum(n / 20.0 * log2(n / 20.0)) AS e FROM (SELECT rid, start, stop, bits, i, ch, count(*) AS n FROM x GROUP BY ALL) GROUP BY ALL),
+found AS (SELECT rid, ord, kind, start, stop FROM base UNION ALL SELECT rid, 3, 'entropy', start, stop FROM h GROUP BY rid, start, stop, bits HAVING max(e) >= bits - 1e-9),
+a AS (SELECT rid, count(*) FILTER (ord = 0) AS n0, count(*) FILTER (ord = 1) AS n1, count(*) FILTER (ord = 2) AS n2, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 3) AS b, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS s FROM found GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans FROM t LEFT JOIN a USING (rid)
 """,
     "op10_substring_dedup": r"""
 WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^ \t\n\x0B\x0C\r]+'), []) AS ws FROM documents),
