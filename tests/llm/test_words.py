@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from speechloom.llm.lm_scores import stupid_backoff
-from speechloom.llm.packing import harmonic_pack
+from speechloom.llm.packing import Bins, harmonic_pack
 from speechloom.llm.packs import Words, decode_sorted, encode_sorted
 from speechloom.llm.secrets import PATTERNS, find_secrets, redact, secret_spans
 from speechloom.llm.substring_dedup import remove_repeats
@@ -92,7 +92,6 @@ def test_backoff_of_nothing(docs):
 @pytest.mark.parametrize("capacity", [64, 1024])
 def test_packing(docs, capacity):
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     want = collections.Counter()
     for r in docs.collect():
         want[(r.doc_id, np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4").tobytes())] += 1
@@ -118,6 +117,41 @@ def test_packing(docs, capacity):
     assert harmonic_pack(docs.limit(0), TOKENIZER).collect() == []
 
 
+def test_harmonic_classes():
+    """Without long documents or a finish, bins of class k hold k whole documents of it."""
+    rng, capacity = np.random.default_rng(3), 64
+    lengths = [int(x) for x in rng.integers(1, 64, 60)] + [200, 64, 1, 1]
+    bins = Bins(capacity)
+    for i, n in enumerate(lengths[:60]):
+        bins.add(i, n)
+    for pieces in [[(r, s, n) for r, s, n, q, _ in bins.done if q == seq] for seq in {x[3] for x in bins.done}] + bins.waiting:
+        assert {capacity // n for _, _, n in pieces} == {len(pieces)} and all(s == 0 and n == lengths[r] for r, s, n in pieces)
+    assert all({capacity // n for _, _, n in pieces} == {k} and len(pieces) < k for k, pieces in bins.open.items())
+    for i, n in enumerate(lengths[60:], 60):
+        bins.add(i, n)
+    bins.finish()
+    held = collections.defaultdict(list)
+    for r, s, n, seq, offset in bins.done:
+        held[r] += range(s, s + n)
+    assert all(sorted(held[i]) == list(range(n)) for i, n in enumerate(lengths)) and sum(map(len, held.values())) == sum(lengths)
+    sizes = collections.Counter()
+    for _, _, n, seq, _ in bins.done:
+        sizes[seq] += n
+    short = [n for n in sizes.values() if n != capacity]
+    assert all(n & (n - 1) == 0 for n in short) and len(set(short)) == len(short)
+
+
+def test_odd_texts_have_the_library_s_ids(spark):
+    """Runs of white space that the rank encoder can't take, and long words, in one text or many."""
+    texts = [" " * 1_000_000, "\n" * 1_000_001 + "a", "x" * 200_000, " \n\t" * 100_000 + "é<|endoftext|>", "é😀" * 50_000, " " * 49_999 + "b", " " * 50_000]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    want = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in enumerate(texts)}
+    got = collections.defaultdict(dict)
+    for p in harmonic_pack(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), TOKENIZER).collect():
+        got[p.doc_id][p.start] = bytes(p.ids)
+    assert {i: b"".join(x for _, x in sorted(v.items())) for i, v in got.items()} == want
+
+
 def test_added_tokens(spark):
     end = "<|endoftext|>"
     texts = ["a <|endoftext|> b", end, end * 3, f" {end} ", f"a{end}b", f"x  {end}\n\n{end}  y", f"{end[:-1]}", f"<|{end}|>", "plain", f"é{end}😀 {end}", "<|ENDOFTEXT|>"]
