@@ -1,25 +1,29 @@
 """URL filter: rules first, then host word segmentation and naive Bayes.
 
-Names run together in hosts and paths are split into words by a unigram Viterbi search over word counts of the pages'
-own texts. Multinomial naive Bayes over the words of host and path, learnt from the pages that a rule decides, judges the
-others.
+Names run together in hosts and paths are split into words by a unigram Viterbi search over the counts of all words of the
+pages' own texts: every run of letters is cut into its substrings, these are joined to the word counts, and the search runs
+over what was found. Multinomial naive Bayes over the words of host and path, learnt from the pages that a rule decides,
+judges the others: its weights are a table too, joined to the words of each run and summed for each page. Only sums over whole
+tables, the lengths that words have, and keys that very many rows share go through the driver or are broadcast.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The words of the segmenter's table: the most frequent ones, so that a task holds it in a few MB.
-VOCABULARY, LONGEST_WORD = 50_000, 24
-_LETTERS = re.compile(r"[^\W\d_]+|\d+")
+from .shared import durable, join_unskewed
+
+#: What an unknown piece costs for each of its letters, beside the cost of the rarest word, in nats.
+UNKNOWN_LETTER = 2.5
+#: Substrings of up to SHORT letters occur in very many runs: they and such words are dealt to SALTS parts.
+SHORT, SALTS = 2, 16
+NUMBER = "0"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -45,67 +49,80 @@ def match_rules(host: Column, path: Column, rules: list[tuple[str, str]]) -> tup
     return best["rule"], best["verdict"]
 
 
-def word_counts(pages: DataFrame, html_col: str = "html", vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the most frequent words over all pages' visible texts (ties: by word)."""
+def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(word, n) of all words of all pages' visible texts."""
     visible = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*+>|&#?\w+;", " ")
-    words = pages.select(F.explode(F.split(F.lower(visible), r"[^\p{L}]+")).alias("word")).filter(F.char_length("word").between(1, LONGEST_WORD))
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(vocabulary)
-    return {r["word"]: r["n"] for r in top.collect()}
-
-
-def segmenter(counts: dict[str, int]):
-    """A function that splits a run of letters into its likeliest words; unknown words cost more the longer they are."""
-    total = max(1, sum(counts.values()))
-    known = {w: math.log(n / total) for w, n in counts.items()}
-    unknown = math.log(1 / total)
-
-    @lru_cache(maxsize=100_000)
-    def split(run: str) -> tuple[str, ...]:
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for end in range(1, len(run) + 1):
-            choices = []
-            for start in range(max(0, end - LONGEST_WORD), end):
-                word = run[start:end]
-                cost = known.get(word)
-                if cost is None:
-                    cost = unknown - 2.5 * len(word) if len(word) <= 8 else None
-                if cost is not None:
-                    choices.append((best[start][0] + cost, start))
-            best.append(max(choices))
-        out, end = [], len(run)
-        while end:
-            out.append(run[best[end][1] : end])
-            end = best[end][1]
-        return tuple(reversed(out))
-
-    return split
-
-
-def url_words(host: Column, path: Column, counts: dict[str, int]) -> Column:
-    """array<string>: the segmented words of host and path, marked with the side; numbers are all one word."""
+    words = pages.select(F.explode(F.split(F.lower(visible), r"[^\p{L}]+")).alias("word")).filter("word != ''")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def likeliest(run: str, known: list[tuple[int, int, float]], rare: float) -> list[str]:
+    """The likeliest split of a run of letters. known: (start, stop, log probability) of its substrings that are words; any other
+    substring may be a piece too, at ``rare`` less UNKNOWN_LETTER for each letter."""
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for start, stop, cost in known:
+        ends.setdefault(stop, []).append((start, cost))
+    best, back = [0.0], [0]
+    unknown, since = rare, 0  # rare + best[since] + UNKNOWN_LETTER * since, the highest so far: where an unknown piece begins best
+    for end in range(1, len(run) + 1):
+        top, start = unknown - UNKNOWN_LETTER * end, since
+        for a, cost in ends.get(end, ()):
+            if (best[a] + cost, a) > (top, start):
+                top, start = best[a] + cost, a
+        best.append(top)
+        back.append(start)
+        if rare + top + UNKNOWN_LETTER * end > unknown:
+            unknown, since = rare + top + UNKNOWN_LETTER * end, end
+    out, end = [], len(run)
+    while end:
+        out.append(run[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def segment(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, words array<string>) of distinct runs of letters, by counts (word, n).
+
+    A word costs -log(n / all), an unknown piece as much as a word that occurs once, and UNKNOWN_LETTER for each letter. Only
+    substrings as long as some word are looked up; no length is left out. Without any words a run is one piece.
+    """
+    whole = counts.agg(F.sum("n").alias("all"), F.array_sort(F.collect_set(F.char_length("word"))).alias("lengths")).first()
+    total, lengths = max(1, whole["all"] or 0), whole["lengths"] or []  # as many lengths as differ, far fewer than words
+    n = F.char_length("run")
+    places = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct((i - 1).alias("start"), (i - 1 + k).alias("stop"), F.substring("run", i, k).alias("word")))
+    pieces = runs.select("run", F.explode(F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda k: k <= n)).alias("k"))
+    pieces = pieces.select("run", F.explode(places(F.col("k"))).alias("p")).select("run", "p.*")
+    short = F.char_length("word") <= SHORT
+    pieces = pieces.withColumn("salt", F.when(short, F.pmod(F.xxhash64("run"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salted = counts.withColumn("salt", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    known = pieces.join(salted, ["word", "salt"]).select("run", F.struct("start", "stop", F.log(F.col("n") / total).alias("cost")).alias("known"))
+    each = known.unionByName(runs.select("run", F.lit(None).cast(known.schema["known"].dataType).alias("known")))  # a run without words too
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def words(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        split = segmenter(counts)
-        for hosts, paths in batches:
-            yield pd.Series([[f"{side}:{w}" for side, text in (("h", h), ("p", p)) for run in _LETTERS.findall(text.lower()) for w in (("0",) if run[0].isdigit() else split(run))] for h, p in zip(hosts, paths, strict=True)], dtype=object)
+    def split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for names, found in batches:
+            yield pd.Series([likeliest(run, [(x["start"], x["stop"], x["cost"]) for x in own], -math.log(total)) for run, own in zip(names, found, strict=True)], dtype=object)
 
-    return words(host, path)
+    return each.groupBy("run").agg(F.collect_list("known").alias("known")).select("run", split("run", "known").alias("words"))
 
 
-def fit_naive_bayes(rows: DataFrame, words_col: str, label_col: str) -> tuple[float, dict[str, float], float]:
-    """(prior, weight of each word, weight of unseen words) as log-odds of block against allow, Laplace-smoothed.
+def url_runs(rows: DataFrame) -> DataFrame:
+    """(row, said, place, side, run): the runs of letters of host (``h``) and path (``p``), lower-cased, and NUMBER for digits."""
+    runs = lambda c, side: F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|[0-9]+"), F.lit(0)), lambda r: F.struct(F.lit(side).alias("side"), F.when(F.rlike(r, F.lit("^[0-9]")), NUMBER).otherwise(r).alias("run")))
+    each = rows.select("row", "said", F.posexplode(F.concat(runs("host", "h"), runs("path", "p"))).alias("place", "r"))
+    return each.select("row", "said", "place", "r.side", "r.run")
 
-    Distinct words are bounded by the segmenter's table, its short unknown pieces and the two sides.
-    """
-    known = rows.filter(F.col(label_col).isNotNull())
-    n = {r[label_col]: r["n"] for r in known.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(n) < 2:
-        return (math.inf if "block" in n else -math.inf), {}, 0.0
-    table = known.select(label_col, F.explode(words_col).alias("word")).groupBy("word").agg(F.count_if(F.col(label_col) == "block").alias("b"), F.count_if(F.col(label_col) == "allow").alias("a")).collect()
-    blocked, allowed = sum(r["b"] for r in table) + len(table) + 1, sum(r["a"] for r in table) + len(table) + 1
-    weights = {r["word"]: math.log((r["b"] + 1) / blocked) - math.log((r["a"] + 1) / allowed) for r in table}
-    return math.log(n["block"] / n["allow"]), weights, math.log(allowed / blocked)
+
+def naive_bayes(runs: DataFrame, words: DataFrame) -> tuple[DataFrame, float]:
+    """((side, word, weight), weight of unseen words) as log-odds of block against allow, Laplace-smoothed, from the runs whose
+    page has a verdict and the words of each run."""
+    counts = runs.filter("said is not null").groupBy("side", "run").agg(F.count_if(F.col("said") == "block").alias("b"), F.count_if(F.col("said") == "allow").alias("a"))
+    table = counts.join(words, "run").select("side", F.explode("words").alias("word"), "b", "a").groupBy("side", "word").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    table = durable(table)
+    n = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("a"), F.lit(0)).alias("a")).first()
+    blocked, allowed = n["b"] + n["n"] + 1, n["a"] + n["n"] + 1
+    weight = F.log((F.col("b") + 1) / blocked) - F.log((F.col("a") + 1) / allowed)
+    return table.select("side", "word", weight.alias("weight")), math.log(allowed / blocked)
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -113,18 +130,28 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
 
     verdict is the longest fitting rule's, else block if score, the naive Bayes log-odds of block, is above 0, else allow.
     Null urls and urls without ``://`` have empty host and path and are scored by the prior alone. If rules decide no page,
-    or all alike, the others get what the rules said, or allow. Pages with equal or null ids are judged each for itself.
+    or all alike, the others get what the rules said, or allow. Pages with equal or null ids are judged each for itself; null
+    texts hold no words. words are those of host and path, marked ``h:`` and ``p:``; other columns of pages are ignored.
     """
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
     rule, said = match_rules(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("said", said)
-    rows = rows.withColumn("words", url_words(F.col("host"), F.col("path"), word_counts(pages, html_col)))
-    prior, weights, unseen = fit_naive_bayes(rows, "words", "said")
-
-    @F.pandas_udf(T.DoubleType())
-    def odds(words: pd.Series) -> pd.Series:
-        return words.map(lambda own: prior + sum(weights.get(w, unseen) for w in own)).astype("float64")
-
-    scored = rows.withColumn("score", odds("words"))
-    return scored.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "words", "score")
+    rows = durable(rows.withColumn("rule", rule).withColumn("said", said))
+    n = {r["said"]: r["n"] for r in rows.groupBy("said").agg(F.count(F.lit(1)).alias("n")).collect()}
+    prior = math.log(n["block"] / n["allow"]) if n.keys() >= {"block", "allow"} else math.inf if "block" in n else -math.inf
+
+    runs = durable(url_runs(rows))
+    distinct = runs.filter(F.col("run") != NUMBER).select("run").distinct()
+    words = segment(distinct, durable(word_counts(pages, html_col)))
+    words = durable(words.unionByName(words.sparkSession.createDataFrame([(NUMBER, [NUMBER])], words.schema)))
+    weights, unseen = naive_bayes(runs, words)
+    used = runs.select("side", "run").distinct().join(words, "run")
+    each = durable(used.select("side", "run", F.posexplode("words").alias("nth", "word")))
+    weighed = join_unskewed(each, weights, ["side", "word"], "left").withColumn("weight", F.coalesce("weight", F.lit(unseen)))
+    ordered = F.sort_array(F.collect_list(F.struct("nth", "weight", F.concat_ws(":", "side", "word").alias("word"))))
+    odds = durable(weighed.groupBy("side", "run").agg(ordered.alias("parts")))
+    parts = join_unskewed(runs.select("row", "place", "side", "run"), odds, ["side", "run"]).groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "parts"))), lambda x: x["parts"])).alias("parts"))
+    scored = rows.join(parts, "row", "left").withColumn("parts", F.coalesce("parts", F.array().cast(parts.schema["parts"].dataType)))
+    scored = scored.withColumn("score", F.aggregate("parts", F.lit(prior), lambda total, x: total + x["weight"])).withColumn("words", F.transform("parts", lambda x: x["word"]))
+    verdict = F.coalesce("said", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "words", "score")

@@ -19,7 +19,7 @@ from speechloom.llm.decontamination import find_leaks
 from speechloom.llm.language_id import fit_languages, identify
 from speechloom.llm.samples import bounded_sample
 from speechloom.llm.top_k import top_k
-from speechloom.llm.url_filter import judge_urls, segmenter
+from speechloom.llm.url_filter import judge_urls, segment
 
 from .fixtures import SCHEMA, documents, words
 
@@ -114,9 +114,69 @@ def test_urls(spark):
     assert judge_urls(rows.limit(0), RULES).collect() == []
 
 
-def test_segmenter():
-    split = segmenter({"the": 50, "red": 20, "there": 5, "house": 10, "a": 9})
-    assert split("theredhouse") == ("the", "red", "house") and "".join(split("zzqthehouse")) == "zzqthehouse" and split("therehouse") == ("there", "house")
+def brute_split(run, counts):
+    """The likeliest of all splits of a run, by trying each."""
+    total = sum(counts.values()) or 1
+    cost = lambda w: math.log(counts[w] / total) if w in counts else math.log(1 / total) - 2.5 * len(w)
+    ways = []
+    for cuts in itertools.product([0, 1], repeat=len(run) - 1):
+        at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(run)]
+        parts = [run[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        ways.append(sum(map(cost, parts)))
+    return max(ways)
+
+
+COUNTS = {"the": 50, "red": 20, "there": 5, "house": 10, "a": 9, "he": 7, "use": 3, "zürich": 2}
+
+
+def test_segment(spark):
+    runs = ["theredhouse", "zzqthehouse", "therehouse", "q", "abc", "xxxxxxxxxxxxxx", "housezürich", "theahe"]
+    counts = spark.createDataFrame(list(COUNTS.items()), "word string, n long")
+    got = {r.run: r.words for r in segment(spark.createDataFrame([(r,) for r in runs], "run string"), counts).collect()}
+    assert got["theredhouse"] == ["the", "red", "house"] and got["therehouse"] == ["there", "house"] and got["housezürich"] == ["house", "zürich"]
+    assert set(got) == set(runs) and all("".join(w) == r for r, w in got.items())
+    total = sum(COUNTS.values())
+    for run, words in got.items():
+        best = brute_split(run, COUNTS)
+        own = sum(math.log(COUNTS[w] / total) if w in COUNTS else math.log(1 / total) - 2.5 * len(w) for w in words)
+        assert own == pytest.approx(best)
+    none = segment(spark.createDataFrame([("abc",)], "run string"), counts.limit(0)).collect()
+    assert [r.words for r in none] == [["abc"]]
+
+
+def test_joined_names_decide(spark):
+    """Hosts whose joined names were never seen are judged by the words in them; without the words they can't be."""
+    rng = random.Random(7)
+    good, bad, neutral = ["garden", "school", "library", "museum", "bread"], ["casino", "poker", "jackpot", "bet", "slots"], ["best", "online", "my", "city", "new"]
+    name = lambda kind: "".join(rng.sample([*rng.sample(kind, 2), rng.choice(neutral)], 3))
+    html = "<p>" + " ".join(good * 9 + bad * 9 + neutral * 20) + "</p>"
+    rows = [(i, f"http://{name(bad if i % 2 else good)}.{'ex' if i < 400 else 'other'}/x", html if i < 5 else None) for i in range(500)]
+    rules = [(r[1].split("://")[1].split("/")[0] + "/", "block" if r[0] % 2 else "allow") for r in rows if r[0] < 400]
+    seen = {r for r, _ in rules}
+    got = judge_urls(spark.createDataFrame(rows, "page_id int, url string, html string"), sorted(set(rules))).collect()
+    new = [r for r in got if r.rule is None]
+    assert len(new) == 100 and all(r.host + "/" not in seen for r in new)
+    assert sum(r.verdict == ("block" if r.page_id % 2 else "allow") for r in new) >= 98
+    assert all("".join(w[2:] for w in r.words if w[:2] == "h:") == r.host.replace(".", "") for r in new)
+
+
+def test_naive_bayes(spark):
+    """Scores against multinomial naive Bayes worked out over the words returned."""
+    rng = random.Random(8)
+    rows = [(i, f"http://{rng.choice('abcde')}{rng.choice('xyz')}.{rng.choice(['com', 'net', 'org', 'fr'])}/{rng.choice(['en', 'de'])}/{rng.choice('uvw')}{i}", "a b c x y") for i in range(200)]
+    rules = [("com/en/", "block"), ("net/de/", "allow"), ("org/", "allow")]
+    got = judge_urls(spark.createDataFrame(rows, "page_id int, url string, html string"), rules).collect()
+    verdict = {r: v for r, v in rules}
+    n, words = collections.Counter(), {"block": collections.Counter(), "allow": collections.Counter()}
+    for r in got:
+        if r.rule:
+            n[verdict[r.rule]] += 1
+            words[verdict[r.rule]].update(r.words)
+    known = set(words["block"]) | set(words["allow"])
+    size = {v: sum(c.values()) + len(known) + 1 for v, c in words.items()}
+    for r in got:
+        want = math.log(n["block"] / n["allow"]) + sum(math.log((words["block"][w] + 1) / size["block"]) - math.log((words["allow"][w] + 1) / size["allow"]) for w in r.words)
+        assert r.score == pytest.approx(want) and r.verdict == (verdict[r.rule] if r.rule else "block" if want > 0 else "allow")
 
 
 # ---- near-duplicates
