@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that driver and executors share: the context's checkpoint folder, else that which
+    ``spark.checkpoint.dir`` names. With neither, only a local session gets a folder of its own, below the warehouse."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
+    return context.getCheckpointDir()
 
-    Only where neither the context nor the setting has a folder (as in tests) a temporary one is made.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet below the checkpoint folder and read again: for loops. A checkpoint keeps the plan's size
     estimate, which joins multiply, so that its digits would double in each round; files have their own size."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        durable(df.limit(0))
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -41,11 +45,32 @@ def join_unskewed(left: DataFrame, right: DataFrame, on: list[str], how: str = "
     task gets the rows of one of them; all other keys by shuffle. left is read three times: store it first.
     """
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    hot = durable(counts.filter(F.col("__n") > max(1, left.count() // HOT_PARTS)).select(*on))
+    hot = stored(counts.filter(F.col("__n") > max(1, left.count() // HOT_PARTS)).select(*on))
     spread = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), on, "left_semi")), on, how)
     return spread.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on, how))
 
 
+#: Bits of a table of marks, 4 MB in all, and of one of its rows.
+MARKS, _ROW = 1 << 25, 1 << 15
+
+
+def marks(keys: DataFrame, key: str) -> DataFrame:
+    """(slot int, bits binary): a bitmap of MARKS bits over the hashes of a long column, in at most MARKS / _ROW rows."""
+    at = keys.select(F.pmod(F.xxhash64(key, F.lit("mark")), F.lit(MARKS)).alias("at"))
+    return at.groupBy(F.floor(F.col("at") / _ROW).cast("int").alias("slot")).agg(F.bitmap_construct_agg(F.col("at") % _ROW).alias("bits"))
+
+
+def marked(rows: DataFrame, key: str, table: DataFrame, out: str = "__marked") -> DataFrame:
+    """rows with a boolean: whether the long column's mark is set in a table of marks, as it is for all keys that the table was
+    made from, and by chance for a few others (for all, where there are far more keys than bits)."""
+    at = F.pmod(F.xxhash64(key, F.lit("mark")), F.lit(MARKS))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor((at % _ROW) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1")
+    found = rows.withColumn("__slot", F.floor(at / _ROW).cast("int")).join(F.broadcast(table.toDF("__slot", "__bits")), "__slot", "left")
+    found = found.withColumn("__byte", byte).withColumn("__at", at).withColumn(out, F.coalesce(bit == 1, F.lit(False)))
+    return found.select(*rows.columns, out)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Rows here are whole texts: batches of so many rows at most keep Python workers and Arrow buffers small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
