@@ -19,7 +19,7 @@ def encoder_config(requests: DataFrame, table: DataFrame, max_samples: int = 30
     stride = F.aggregate("strides", F.lit(1), lambda a, s: a * s)
     config = table.withColumn("samples_per_token", F.floor(F.col("hop") * RATE * stride / F.col("rate")).cast("long")).withColumn("fps", F.col("rate") / F.col("hop"))
     config = config.withColumn("max_audio_tokens", F.floor(F.lit(max_samples) / F.col("samples_per_token")).cast("long")).withColumn("max_batch_tokens", F.lit(MAX_BATCH_TOKENS))
-    return requests.join(F.broadcast(config), "encoder", "left")
+    return requests.join(config, "encoder", "left")
 
 
 def estimate_samples(frames: Column, rate: Column, n_chars: Column, max_samples: int) -> Column:
@@ -71,5 +71,5 @@ def limit_audio(df: DataFrame, audio: str, most: int, policy: str = "truncate")
 def downmix(channels: Column) -> Column:
     """Mean of all channels; a single channel as it is."""
     n = F.size(channels)
-    total = F.aggregate(F.slice(channels, 2, 2**31 - 1), channels[0], lambda a, c: F.zip_with(a, c, lambda x, y: (x + y).cast("float")))
+    total = F.aggregate(F.slice(channels, F.lit(2), F.size(channels)), channels[0], lambda a, c: F.zip_with(a, c, lambda x, y: (x + y).cast("float")))
     return F.when(n > 1, F.transform(total, lambda x: (x / n).cast("float"))).otherwise(channels[0])

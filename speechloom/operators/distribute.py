@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import portable_key, seeded_key
+from .order import global_index, portable_key, seeded_key
 
 
 def assign_round_robin(df: DataFrame, n: int, idx: str = "idx", out: str = "shard") -> DataFrame:
@@ -46,8 +48,10 @@ def write_partitioned_shards(df: DataFrame, n: int, path: str, idx: str = "idx")
 
 
 def ranked(df: DataFrame, rank: str, order: str, out: str = "pos") -> DataFrame:
-    """df with each row's 0-based place in its rank."""
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy(rank).orderBy(order)) - 1).cast("long"))
+    """df with each row's 0-based place in its rank, by the index over (rank, order); no task gets a whole rank."""
+    rows = global_index(df, rank, [order], "__idx")
+    first = F.broadcast(rows.groupBy(F.col(rank).alias("__rank")).agg(F.min("__idx").alias("__first")))  # a row a rank
+    return rows.join(first, F.col(rank).eqNullSafe(F.col("__rank"))).withColumn(out, F.col("__idx") - F.col("__first")).select(*df.columns, out)
 
 
 def rank_sizes(df: DataFrame, rank: str = "rank") -> DataFrame:
@@ -110,10 +114,6 @@ def split_order(splits: DataFrame, run_id: str, split: str = "split", portable:
 def interleave(sources: list[DataFrame], order: str, stop: str = "all") -> DataFrame:
     """One row of each source in turn: adds source_no and turn. ``all``: until every source is exhausted; ``first``: only whole
     turns, as many as the shortest source has."""
-    from functools import reduce
-
-    from .order import global_index
-
     parts = [global_index(df, order, out="turn").withColumn("source_no", F.lit(i)) for i, df in enumerate(sources)]
     rows = reduce(DataFrame.unionByName, parts)
     if stop == "first":

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .order import portable_key, seeded_key
 
 
 def checkpoint_summary(parts: list[DataFrame], expected: DataFrame, key: str = "ckpt") -> DataFrame:
@@ -67,27 +73,73 @@ def token_norms(vectors: DataFrame, vector: str) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
-def collapse_probe(vectors: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
-    """Per group: norms (mean, sample std, min, max), the mean cosine over all ordered pairs i != j, and a verdict.
-
-    The mean needs no pairs: with unit vectors u, it is (|sum u|^2 - n) / (n (n - 1)). The verdict is collapsed above 0.9,
-    suspicious above 0.7, narrow above 0.5, else diverse. Zero vectors count in the norms only.
+def pool_frames(clips: DataFrame, features: str = "features", dim: int = 8, out: str = "embedding") -> DataFrame:
+    """Clips with the mean of their flattened frames; null for a clip without frames."""
+    n = F.floor(F.size(features) / dim)
+    mean = lambda d: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, t: a + F.get(features, (t * dim + d).cast("int")).cast("double")) / n
+    return clips.withColumn(out, F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), mean)))
+
+
+def _grams(units: DataFrame, by: list[str]) -> DataFrame:
+    """(by, s1, s2, k): the sum and the sum of squares of the cosines of all ordered pairs i != j of unit vectors u, and their
+    number. Each task adds up its vectors' sum and their D x D Gram matrix, of which one row goes out for each place."""
+    keys = [units.schema[c] for c in by]
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for key, own in frame.groupby(by, dropna=False) if by else [((), frame)]:
+                u = np.stack(own["u"].to_numpy()).astype(np.float64)
+                u = np.concatenate([u, np.ones((len(u), 1))], 1)  # so that the last row holds the sums
+                sums[key] = sums.get(key, 0) + u.T @ u
+        for key, gram in sums.items():
+            i, j = np.indices(gram.shape)
+            yield pd.DataFrame({**{c: [v] * gram.size for c, v in zip(by, key, strict=True)}, "i": i.ravel(), "j": j.ravel(), "dim": len(gram) - 1, "x": gram.ravel()})
+
+    schema = T.StructType([*keys, *(T.StructField(c, T.IntegerType()) for c in ("i", "j", "dim")), T.StructField("x", T.DoubleType())])
+    cells = units.select(*by, "u").mapInPandas(add, schema).groupBy(*by, "dim", "i", "j").agg(F.sum("x").alias("x"))
+    inner, edge = (F.col("i") < F.col("dim")) & (F.col("j") < F.col("dim")), (F.col("i") == F.col("dim")) & (F.col("j") < F.col("dim"))
+    square = F.col("x") * F.col("x")
+    sums = cells.groupBy(*by).agg(F.sum(F.when(edge, square)).alias("s1"), F.sum(F.when(inner, square)).alias("s2"), F.max(F.when((F.col("i") == F.col("dim")) & (F.col("j") == F.col("dim")), F.round("x"))).alias("k"))
+    return sums.select(*by, (F.col("s1") - F.col("k")).alias("s1"), (F.col("s2") - F.col("k")).alias("s2"), (F.col("k") * (F.col("k") - 1)).alias("k"))
+
+
+def collapse_probe(vectors: DataFrame, by: list[str], vector: str = "embedding", reference: DataFrame | None = None, reference_vector: str = "embedding") -> DataFrame:
+    """Per group: norms (mean, sample std, min, max), mean and sample std of the cosines of all ordered pairs i != j, a verdict,
+    and what unrelated vectors would give.
+
+    No pairs are made: with unit vectors u, the sum of their cosines is |sum u|^2 - n and the sum of their squares that of the
+    Gram matrix less n. The verdict is collapsed above 0.9, suspicious above 0.7, narrow above 0.5, else diverse. Zero
+    vectors count in the norms only. Vectors are of one length. With a reference table (such as a model's token vectors) also
+    norm_ratio, the mean norm over the reference's, and baseline_mean and baseline_std, the cosines of the reference's pairs.
     """
-    rows = vectors.withColumn("__norm", token_norms(vectors, vector))
+    unit = lambda df, v: df.withColumn("__norm", token_norms(df, v)).withColumn("u", F.transform(v, lambda x: x.cast("double") / F.col("__norm")))
+    mean, std = F.when(F.col("k") > 0, F.col("s1") / F.col("k")), F.when(F.col("k") > 1, F.sqrt(F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("k"), F.lit(0.0)) / (F.col("k") - 1)))
+    rows = unit(vectors, vector)
     norms = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("__norm").alias("norm_mean"), F.stddev_samp("__norm").alias("norm_std"), F.min("__norm").alias("norm_min"), F.max("__norm").alias("norm_max"))
-    units = rows.filter("__norm > 0").select(*by, F.posexplode(F.transform(vector, lambda x: x.cast("double"))).alias("d", "x"), "__norm").withColumn("u", F.col("x") / F.col("__norm"))
-    sums = units.groupBy(*by, "d").agg(F.sum("u").alias("s"), F.count(F.lit(1)).alias("k")).groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("k").alias("k"))
-    mean = F.when(F.col("k") > 1, (F.col("ss") - F.col("k")) / (F.col("k") * (F.col("k") - 1)))
-    out = norms.join(sums, by, "left").withColumn("cos_mean", mean).drop("ss", "k")
+    cosines = _grams(rows.filter("__norm > 0"), by).select(*by, mean.alias("cos_mean"), std.alias("cos_std"))
+    out = norms.join(cosines, by, "left") if by else norms.crossJoin(F.broadcast(cosines))
     c = F.col("cos_mean")
-    return out.withColumn("verdict", F.when(c > 0.9, "collapsed").when(c > 0.7, "suspicious").when(c > 0.5, "narrow").otherwise("diverse"))
+    out = out.withColumn("verdict", F.when(c > 0.9, "collapsed").when(c > 0.7, "suspicious").when(c > 0.5, "narrow").otherwise("diverse"))
+    if reference is None:
+        return out
+    others = unit(reference, reference_vector)
+    one = others.agg(F.avg("__norm").alias("__norm")).crossJoin(_grams(others.filter("__norm > 0"), []).select(mean.alias("baseline_mean"), std.alias("baseline_std")))  # a row
+    return out.crossJoin(F.broadcast(one)).withColumn("norm_ratio", F.col("norm_mean") / F.col("__norm")).drop("__norm")
+
+
+#: The largest sample whose pairs of vectors cosine_extremes makes.
+MOST_SAMPLED = 5000
 
 
-def cosine_extremes(vectors: DataFrame, n: int, seed: int, key: str, vector: str = "embedding") -> DataFrame:
+def cosine_extremes(vectors: DataFrame, n: int, seed: int, key: str, vector: str = "embedding", portable: bool = False) -> DataFrame:
     """Mean, sample std, min and max of the cosines of a seeded sample of n vectors, i != j (the sample is the feature)."""
-    rows = vectors.withColumn("__norm", token_norms(vectors, vector)).filter("__norm > 0").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    if n > MOST_SAMPLED:
+        raise ValueError(f"a sample has at most {MOST_SAMPLED} vectors")
+    place = portable_key(seed, F.col(key)) if portable else seeded_key(seed, F.col(key))
+    rows = vectors.withColumn("__norm", token_norms(vectors, vector)).filter("__norm > 0").orderBy(place, key).limit(n)
     a = rows.select(F.col(key).alias("i"), F.col(vector).alias("a"), F.col("__norm").alias("na"))
-    b = F.broadcast(rows.select(F.col(key).alias("j"), F.col(vector).alias("b"), F.col("__norm").alias("nb")))
+    b = F.broadcast(rows.select(F.col(key).alias("j"), F.col(vector).alias("b"), F.col("__norm").alias("nb")))  # MOST_SAMPLED rows at most
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     cos = a.join(b, F.col("i") != F.col("j")).select((dot / (F.col("na") * F.col("nb"))).alias("c"))
     return cos.agg(F.avg("c").alias("mean"), F.stddev_samp("c").alias("std"), F.min("c").alias("min"), F.max("c").alias("max"))
@@ -117,7 +169,7 @@ def augmentation_ratio(rows: DataFrame, by: list[str], kind: str = "kind") -> Da
 def corpus_hours(durations: DataFrame, by: list[str], seconds: str = "seconds", estimates: DataFrame | None = None) -> DataFrame:
     """Hours of each group as measured, or as a small table (group, hours) estimates them."""
     if estimates is not None:
-        return durations.select(*by).distinct().join(F.broadcast(estimates), by, "left").withColumn("hours", F.coalesce("hours", F.lit(0.0)))
+        return durations.select(*by).distinct().join(estimates, by, "left").withColumn("hours", F.coalesce("hours", F.lit(0.0)))
     return durations.groupBy(*by).agg((F.sum(seconds) / 3600).alias("hours"))
 
 
@@ -173,11 +225,12 @@ def diff_versions(a: DataFrame, b: DataFrame, depth: int, key: str = "key", idx:
     return groups, only
 
 
-def sample_rows(df: DataFrame, n: int | None, seed: int, key: str, ordered: bool = False) -> DataFrame:
-    """A seeded sample of n rows, the same for every partitioning; all rows if n is null or not smaller. ordered: by key."""
+def sample_rows(df: DataFrame, n: int | None, seed: int, key: str, ordered: bool = False, portable: bool = False) -> DataFrame:
+    """A seeded sample of n rows, the same for every partitioning; all rows if n is null or not smaller. ordered: by key.
+    portable: by an order that other engines can compute too."""
     if n is None:
         return df
-    out = df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    out = df.orderBy(portable_key(seed, F.col(key)) if portable else seeded_key(seed, F.col(key)), key).limit(n)
     return out.orderBy(key) if ordered else out
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+from ..storage import durable
+
+#: Rows of a range of running totals.
+RANGE_ROWS = 1 << 16
 
 
 def seeded_key(seed: int | str, *ids: Column) -> Column:
@@ -18,28 +21,50 @@ def portable_key(seed: int | str, id_: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), id_.cast("string")).cast("binary"))
 
 
-def global_index(df: DataFrame, key: str, tie: list[str] | None = None, out: str = "idx", buckets: int = BUCKETS) -> DataFrame:
-    """df with ``out``, 0-based, in the order of key and tie (null keys first).
+def global_index(df: DataFrame, key: str, tie: list[str] | None = None, out: str = "idx", ranges: int | None = None) -> DataFrame:
+    """df with ``out``, 0-based, in the order of key and tie (null keys first), for any key that can be ordered.
+
+    Spark deals the rows to ranges of (key, tie), cut by a sample so that they hold alike many rows, and sorts each; a row's
+    index is its place in its range and the sizes of the ranges before. So skewed keys spread, and equal keys too where a tie
+    tells them apart. Rows that key and tie don't tell apart are numbered in any order. The sorted rows are stored, since a
+    sample drawn again could cut other ranges. Without ``ranges`` there are as many as shuffle partitions, small ones put together.
+    """
+    order = [F.col(c) for c in (key, *(tie or []))]
+    dealt = df.repartitionByRange(*order) if ranges is None else df.repartitionByRange(ranges, *order)
+    rows = durable(dealt.sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))  # range number and place
+    rows = rows.withColumn("__range", F.shiftright("__m", 33))
+    sizes = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__range", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range")) - F.col("__n")).alias("__before"))
+    numbered = rows.join(F.broadcast(before), "__range").withColumn(out, F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
+    return numbered.select(*df.columns, out)
+
+
+def global_shuffle(df: DataFrame, seed: int, key: str, out: str = "idx", portable: bool = False) -> DataFrame:
+    """df with a uniform pseudo-random permutation's position, the same for every partitioning; portable: of an order that other
+    engines can compute too."""
+    place = portable_key(seed, F.col(key)) if portable else seeded_key(seed, F.col(key))
+    return global_index(df.withColumn("__k", place), "__k", [key], out).drop("__k")
+
+
+def exact_percentiles(values: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
+    """(by, n, p array<double>): the percentiles of each group's non-null values, between two values in proportion.
 
-    Rows are dealt to ranges of the key: equal ranges between its smallest and largest value for numbers, the first two
-    characters for hex strings. Each range is numbered by itself, and the few ranges' sizes are summed and joined back.
+    Equal values are counted before anything is sent, all groups' counts are put in one order by ranges, and running totals
+    tell which values lie at the places asked for. No task holds a group.
     """
-    kind = dict(df.dtypes)[key]
-    if kind == "string":
-        slot = F.conv(F.substring(key, 1, 2), 16, 10).cast("int")
-        rows = df
-    else:
-        ends = F.broadcast(df.agg(F.min(key).cast("double").alias("__lo"), F.max(key).cast("double").alias("__hi")))
-        rows = df.crossJoin(ends)
-        slot = F.least(F.floor((F.col(key).cast("double") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1) * buckets), F.lit(buckets - 1)).cast("int")
-    rows = rows.withColumn("__slot", F.coalesce(slot, F.lit(-1)))
-    sizes = rows.groupBy("__slot").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__slot")) - F.col("__n")).select("__slot", "__before")
-    nth = F.row_number().over(Window.partitionBy("__slot").orderBy(key, *(tie or [])))
-    out_rows = rows.withColumn("__nth", nth).join(F.broadcast(before), "__slot").withColumn(out, F.col("__before") + F.col("__nth") - 1)
-    return out_rows.select(*df.columns, out)
-
-
-def global_shuffle(df: DataFrame, seed: int, key: str, out: str = "idx") -> DataFrame:
-    """df with a uniform pseudo-random permutation's position, the same for every partitioning."""
-    return global_index(df.withColumn("__k", seeded_key(seed, F.col(key))), "__k", [key], out).drop("__k")
+    counts = values.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    rows = global_index(counts, [*by, value][0], [*by, value][1:], "__i")
+    rows = rows.withColumn("__range", F.floor(F.col("__i") / RANGE_ROWS))
+    sums = rows.groupBy("__range").agg(F.sum("__c").alias("__s"))
+    before = sums.select("__range", (F.sum("__s").over(Window.partitionBy(F.lit(0)).orderBy("__range")) - F.col("__s")).alias("__before"))
+    upto = F.sum("__c").over(Window.partitionBy("__range").orderBy("__i"))
+    rows = durable(rows.withColumn("__upto", upto).join(F.broadcast(before), "__range").withColumn("__upto", F.col("__upto") + F.col("__before")).select(*by, value, "__c", "__upto"))
+    groups = rows.groupBy(*by).agg(F.sum("__c").alias("n"), (F.min(F.col("__upto") - F.col("__c"))).alias("__first"))
+    asked = groups.select(*by, "n", "__first", F.posexplode(F.array(*map(F.lit, points))).alias("__nth", "__p")).withColumn("__x", F.col("__p") * (F.col("n") - 1))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    asked = F.broadcast(asked.select(*(F.col(c).alias(f"__{c}") for c in by), "n", "__nth", "__x", (F.col("__first") + F.floor("__x")).alias("__lo"), (F.col("__first") + F.ceil("__x")).alias("__hi")))  # some rows a group
+    within = lambda c: (F.col(c) < F.col("__upto")) & (F.col(c) >= F.col("__upto") - F.col("__c"))
+    hit = rows.join(asked, [*same, within("__lo") | within("__hi")])
+    ends = hit.groupBy(*by, "n", "__nth", "__x").agg(F.max(F.when(within("__lo"), F.col(value))).cast("double").alias("a"), F.max(F.when(within("__hi"), F.col(value))).cast("double").alias("b"))
+    ends = ends.withColumn("v", F.col("a") + (F.col("b") - F.col("a")) * (F.col("__x") - F.floor("__x")))
+    return ends.groupBy(*by, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("__nth", "v"))), lambda x: x["v"]).alias("p"))

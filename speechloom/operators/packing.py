@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from ..schemas import IGNORED_LABEL
 from .order import seeded_key
 
+BUCKETS_PER_GROUP = 50
+
 
 def fill_bins(lengths: dict[int, int], cutoff: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Bins of the greedy knapsack over counts per length: (times, [(length, how many in each bin)]) in the order made.
@@ -84,48 +87,70 @@ def _first_fit(lengths: list[int], cutoff: int) -> list[tuple[int, int]]:
 
 
 def _pack_buckets(seqs: DataFrame, cutoff: int, bucket: int, place, idx: str, key: str, length: str) -> DataFrame:
+    """The plan of each bucket by itself. A task's group holds BUCKETS_PER_GROUP buckets, since each group costs a call."""
     kinds = dict(seqs.dtypes)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(idx)
-        where = place(rows[length].tolist(), cutoff)
-        return pd.DataFrame({key: rows[key], "len": rows[length], "bucket": rows["bucket"], "bin_no": [b for b, _ in where], "seq_no": [s for _, s in where]})
+        where = np.concatenate([np.array(place(own.tolist(), cutoff)) for _, own in rows.groupby("bucket", sort=True)[length]])
+        return pd.DataFrame({key: rows[key], "len": rows[length], "bucket": rows["bucket"], "bin_no": where[:, 0], "seq_no": where[:, 1]})
 
-    fit = seqs.filter((F.col(length) > 0) & (F.col(length) <= cutoff)).withColumn("bucket", F.floor(F.col(idx) / bucket))
-    return fit.select(key, length, idx, "bucket").groupBy("bucket").applyInPandas(pack, f"{key} {kinds[key]}, len long, bucket long, bin_no long, seq_no long")
+    fit = seqs.filter((F.col(length) > 0) & (F.col(length) <= cutoff)).withColumn("bucket", F.floor(F.col(idx) / bucket)).withColumn("__group", F.floor(F.col("bucket") / BUCKETS_PER_GROUP))
+    return fit.select(key, length, idx, "bucket", "__group").groupBy("__group").applyInPandas(pack, f"{key} {kinds[key]}, len long, bucket long, bin_no long, seq_no long")
 
 
 def pack_knapsack(seqs: DataFrame, cutoff: int, bucket: int | None = 200, idx: str = "idx", key: str = "id", length: str = "len", seed: int = 0) -> DataFrame:
     """The plan (key, len, bucket, bin_no, seq_no): sequences up to cutoff in bins, by the greedy knapsack.
 
     Within buckets of ``bucket`` consecutive indexes, the buckets side by side; or, without a bucket, over the whole corpus:
-    the driver plans on the histogram of lengths (at most cutoff rows) and sequences find their bin by their rank within
-    their length, the highest index first; bins are then put in a seeded order. Longer sequences and empty ones are left out.
+    the driver plans on the histogram of lengths (at most cutoff rows), and sequences find their line of the plan, which is sent
+    to all tasks, by their rank within their length, the highest index first; bins are then put in a seeded order. Longer sequences and empty ones are left out.
     """
     if bucket is not None:
         return _pack_buckets(seqs, cutoff, bucket, _knapsack, idx, key, length)
     fit = seqs.filter((F.col(length) > 0) & (F.col(length) <= cutoff))
     histogram = {int(r[length]): r["n"] for r in fit.groupBy(length).agg(F.count(F.lit(1)).alias("n")).collect()}
-    used, rows, bins = dict.fromkeys(histogram, 0), [], 0
+    used, lines, bins = dict.fromkeys(histogram, 0), [], 0
     for times, content in fill_bins(histogram, cutoff):
         place = 0
         for n, k in content:
-            rows.append((n, used[n], used[n] + k * times, bins, k, place))
+            lines.append((n, used[n], bins, k, place))
             used[n] += k * times
             place += k
         bins += times
-    plan = seqs.sparkSession.createDataFrame(rows, "len long, lo long, hi long, first_bin long, per_bin long, place long")
-    # Rank within a length without gathering a length's rows: hashed parts are numbered, their sizes summed before.
-    parted = fit.withColumn("__p", F.floor(F.col(idx) / 65536))
-    sizes = parted.groupBy(length, "__p").agg(F.count(F.lit(1)).alias("__c"))
-    after = sizes.withColumn("__after", F.sum("__c").over(Window.partitionBy(length).orderBy(F.desc("__p"))) - F.col("__c")).drop("__c")
-    nth = F.row_number().over(Window.partitionBy(length, "__p").orderBy(F.desc(idx)))
-    ranks = parted.withColumn("__n", nth).join(after, [length, "__p"]).withColumn("__rank", F.col("__after") + F.col("__n") - 1)
-    found = ranks.select(key, F.col(length).cast("long").alias("len"), "__rank").join(F.broadcast(plan), "len").filter("__rank >= lo and __rank < hi")
-    made = found.select(key, "len", F.lit(0).cast("long").alias("bucket"), (F.col("first_bin") + F.floor((F.col("__rank") - F.col("lo")) / F.col("per_bin"))).alias("bin_no"), (F.col("place") + (F.col("__rank") - F.col("lo")) % F.col("per_bin")).alias("seq_no"))
+    found = _ranks(fit, idx, length).withColumn("__at", _line_of(sorted(lines))("__n_len", "__rank"))
+    made = found.select(key, F.col("__n_len").alias("len"), F.lit(0).cast("long").alias("bucket"), "__at.bin_no", "__at.seq_no")
     return made.withColumn("bin_order", seeded_key(seed, F.col("bin_no")))
 
 
+def _ranks(fit: DataFrame, idx: str, length: str) -> DataFrame:
+    """fit with __n_len and __rank, each row's place among those of its length, the highest index first, without gathering a
+    length's rows: parts of 65,536 indexes are numbered, and the sizes of the parts after them summed."""
+    parted = fit.withColumn("__n_len", F.col(length).cast("long")).withColumn("__p", F.floor(F.col(idx) / 65536))
+    sizes = parted.groupBy("__n_len", "__p").agg(F.count(F.lit(1)).alias("__c"))
+    after = sizes.withColumn("__after", F.sum("__c").over(Window.partitionBy("__n_len").orderBy(F.desc("__p"))) - F.col("__c")).drop("__c")
+    nth = F.row_number().over(Window.partitionBy("__n_len", "__p").orderBy(F.desc(idx)))
+    return parted.withColumn("__n", nth).join(after, ["__n_len", "__p"]).withColumn("__rank", F.col("__after") + F.col("__n") - 1)
+
+
+def _line_of(lines: list[tuple[int, int, int, int, int]]):
+    """A function of (length, rank) columns to struct<bin_no,seq_no>, by the plan's sorted lines (length, first rank, first bin,
+    how many in each bin, first place); a line is found by bisection."""
+    table = np.array(lines, np.int64).reshape(-1, 5)
+
+    @F.pandas_udf("bin_no long, seq_no long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        lo, hi = np.searchsorted(table[:, 0], length, "left"), np.searchsorted(table[:, 0], length, "right")
+        while (hi - lo > 1).any():  # the last line of the length that begins at the rank or before
+            middle = (lo + hi) // 2
+            here = (table[middle % max(1, len(table)), 1] <= rank) & (hi - lo > 1)
+            lo, hi = np.where(here, middle, lo), np.where(here | (hi - lo <= 1), hi, middle)
+        line, nth = table[lo], rank.to_numpy() - table[lo, 1]
+        return pd.DataFrame({"bin_no": line[:, 2] + nth // line[:, 3], "seq_no": line[:, 4] + nth % line[:, 3]})
+
+    return place
+
+
 def pack_first_fit(seqs: DataFrame, cutoff: int, bucket: int = 200, idx: str = "idx", key: str = "id", length: str = "len") -> DataFrame:
     """The same plan by first fit with decreasing lengths."""
     return _pack_buckets(seqs, cutoff, bucket, _first_fit, idx, key, length)
@@ -139,12 +164,12 @@ def materialise_bins(plan: DataFrame, seqs: DataFrame, cutoff: int, pad: int = 0
     binned = rows.groupBy("bucket", "bin_no").agg(F.sort_array(F.collect_list(F.struct("seq_no", "input_ids", "labels", *extra))).alias("s"))
     number = (lambda x, i: i + 1) if neat else (lambda x, i: F.lit(1))
     masks = F.flatten(F.transform("s", lambda x, i: F.array_repeat(number(x, i), F.size(x["input_ids"]))))
-    flat = lambda c: F.flatten(F.transform("s", lambda x: x[c]))
-    missing = F.lit(cutoff) - F.size(flat("input_ids"))
-    padded = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), missing)).cast("array<int>")
-    more = [F.transform("s", lambda x: x[features]).alias("audio_features")] if features else []
-    more += [F.transform("s", lambda x: x[feat_len].cast("int")).alias("audio_lengths")] if feat_len else []
-    return binned.select("bucket", "bin_no", padded(flat("input_ids"), pad).alias("input_ids"), padded(flat("labels"), IGNORED_LABEL).alias("labels"), padded(masks, 0).alias("attention_mask"), F.size("s").alias("n_seqs"), *more)
+    flat = binned.select("bucket", "bin_no", "s", F.flatten("s.input_ids").alias("input_ids"), F.flatten("s.labels").alias("labels"), masks.alias("attention_mask"))
+    missing = F.lit(cutoff) - F.size("input_ids")
+    padded = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), missing)).cast("array<int>").alias(c)
+    more = [F.col(f"s.{features}").alias("audio_features")] if features else []
+    more += [F.col(f"s.{feat_len}").cast("array<int>").alias("audio_lengths")] if feat_len else []
+    return flat.select("bucket", "bin_no", padded("input_ids", pad), padded("labels", IGNORED_LABEL), padded("attention_mask", 0), F.size("s").alias("n_seqs"), *more)
 
 
 def drop_short_clips(bins: DataFrame, min_frames: int, pad: int = 0, lengths: str = "audio_lengths") -> DataFrame:

@@ -102,14 +102,24 @@ def align_batches(df: DataFrame, load: Callable[[], Callable[[list[tuple[str, fl
 
 
 def transcribe(df: DataFrame, load: Callable[[], Callable[[list], list[str]]], batch: int = 16, idx: str = "idx", audio: str = "audio", ref: str = "ref") -> DataFrame:
-    """(idx, ref, hyp) by a recogniser over lists of audio; the idx column keeps the order."""
+    """(idx, ref, hyp, error) by a recogniser over lists of audio; the idx column keeps the order. A batch that fails is tried
+    again row by row; a row that fails has a null hyp and what was raised."""
     kinds = dict(df.dtypes)
+    plain = lambda a: list(a) if hasattr(a, "__iter__") and not isinstance(a, str | bytes) else a
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recognise = load()
+
+        def tried(rows: list) -> list[tuple]:
+            try:
+                return [(h, None) for h in recognise(rows)]
+            except Exception as e:  # noqa: BLE001  the row's error is the result
+                return [(None, f"{type(e).__name__}: {e}")] if len(rows) == 1 else [x for r in rows for x in tried([r])]
+
         for frame in frames:
             for i in range(0, len(frame), batch):
                 part = frame.iloc[i : i + batch]
-                yield pd.DataFrame({"idx": part[idx].to_numpy(), "ref": part[ref].to_numpy(), "hyp": recognise([None if a is None else list(a) if hasattr(a, "__iter__") and not isinstance(a, str | bytes) else a for a in part[audio]])})
+                got = tried([plain(a) for a in part[audio]])
+                yield pd.DataFrame({"idx": part[idx].to_numpy(), "ref": part[ref].to_numpy(), "hyp": [h for h, _ in got], "error": [e for _, e in got]})
 
-    return df.select(idx, ref, audio).mapInPandas(run, f"idx {kinds[idx]}, ref string, hyp string")
+    return df.select(idx, ref, audio).mapInPandas(run, f"idx {kinds[idx]}, ref string, hyp string, error string")

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound
 from ..functions.text import hash_split, words_of
 from ..schemas import AUDIO_TOKEN, IGNORED_LABEL
+from ..storage import durable
+from .joins import join_unskewed
+from .order import global_index
 
 MIN_SECONDS = 0.1
+#: Vocabularies of up to so many rows are broadcast, some ten MB.
+BROADCAST_WORDS = 200_000
 
 
 def _frames(seconds: Column, fps: float) -> Column:
@@ -110,8 +118,15 @@ def route_format(utts: DataFrame, interleaved: DataFrame, key: str = "doc_id", u
 
 
 def _runs(mask: Column) -> Column:
-    """array<struct<id,n>> of a mask whose equal values stand together, padding (0) left out."""
-    return F.transform(F.filter(F.array_distinct(mask), lambda k: k != 0), lambda k: F.struct(k.alias("id"), F.size(F.filter(mask, lambda x: x == k)).alias("n")))
+    """array<struct<id,n>> of a mask whose equal values stand together, padding (0) at the end left out: from where values change."""
+
+    def made(m: Column) -> Column:
+        starts = F.filter(F.transform(m, lambda x, i: F.when((x != 0) & (F.get(m, i - 1).isNull() | (F.get(m, i - 1) != x)), i)), lambda i: i.isNotNull())
+        real = F.size(F.filter(m, lambda x: x != 0))
+        both = lambda b: F.transform(b["starts"], lambda at, k: F.struct(F.get(m, at).alias("id"), (F.coalesce(F.get(b["starts"], k + 1), b["real"]) - at).alias("n")))
+        return bound(F.struct(starts.alias("starts"), real.alias("real")), both)
+
+    return bound(mask, made)
 
 
 def position_ids(mask: Column) -> Column:
@@ -127,9 +142,14 @@ def mask_first_labels(labels: Column, mask: Column) -> Column:
 
 def attention_spans(bins: DataFrame, mask: str = "attention_mask", key: str = "bin") -> DataFrame:
     """(key, id, start, n, pairs): each sub-sequence's span, and how many (query, key) pairs may attend inside it."""
-    rows = bins.select(key, F.posexplode(_runs(F.col(mask))).alias("i", "r"), _runs(F.col(mask)).alias("all"))
-    start = F.aggregate(F.slice("all", F.lit(1), F.col("i")), F.lit(0), lambda a, r: a + r["n"])
-    return rows.select(key, F.col("r.id").alias("id"), start.cast("long").alias("start"), F.col("r.n").cast("long").alias("n"), (F.col("r.n").cast("long") * (F.col("r.n") + 1) / 2).cast("long").alias("pairs"))
+    none = F.array().cast("array<struct<id:int,start:bigint,n:bigint>>")
+
+    def step(acc: Column, r: Column) -> Column:
+        one = F.struct(r["id"].cast("int").alias("id"), acc["at"].alias("start"), r["n"].cast("bigint").alias("n"))
+        return F.struct((acc["at"] + r["n"]).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+
+    spans = F.aggregate(_runs(F.col(mask)), F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    return bins.select(key, F.explode(spans).alias("s")).select(key, "s.id", "s.start", "s.n", (F.col("s.n") * (F.col("s.n") + 1) / 2).cast("long").alias("pairs"))
 
 
 def attention_pairs(spans: DataFrame, key: str = "bin") -> DataFrame:
@@ -165,29 +185,58 @@ def mask_tag_spans(labels: Column, opens: list[int], close: int, reach: int = 6)
     return F.aggregate(at, labels, step)
 
 
+def _looked_up(tokens: DataFrame, vocab: DataFrame, on: str, how: str) -> DataFrame:
+    """tokens joined with a vocabulary that has each ``on`` once: by broadcast if it has at most BROADCAST_WORDS rows, else so that
+    frequent words gather in no task."""
+    if vocab.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        return tokens.join(F.broadcast(vocab), on, how)
+    return join_unskewed(durable(tokens), vocab, [on], how)
+
+
 def tokenise(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "token_ids", unknown: int = 0, key: str = "doc_id") -> DataFrame:
     """df with the ids of its cleaned words by a vocabulary (word, id); words it lacks get ``unknown``. Keys are unique."""
-    words = df.select(key, F.posexplode(words_of(F.col(text))).alias("pos", "word")).join(vocab.select("word", "id"), "word", "left")
+    words = _looked_up(df.select(key, F.posexplode(words_of(F.col(text))).alias("pos", "word")), vocab.select("word", "id"), "word", "left")
     ids = words.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))), lambda x: x["id"]).alias(out))
     return df.join(ids, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<int>")))
 
 
 def detokenise(df: DataFrame, vocab: DataFrame, ids: str = "token_ids", out: str = "text", key: str = "doc_id") -> DataFrame:
     """df with the words of its ids joined by spaces; ids that the vocabulary lacks are left out."""
-    tokens = df.select(key, F.posexplode(ids).alias("pos", "id")).join(vocab.select("id", "word"), "id")
+    tokens = _looked_up(df.select(key, F.posexplode(ids).alias("pos", "id")), vocab.select("id", "word"), "id", "inner")
     text = tokens.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias(out))
     return df.drop(out).join(text, key, "left").withColumn(out, F.coalesce(out, F.lit("")))
 
 
+def tokenise_with(df: DataFrame, load: Callable[[], Callable[[list[str]], list[list[int]]]], text: str = "text", out: str = "token_ids") -> DataFrame:
+    """df with the ids that a tokenizer gives its texts (null: empty). ``load`` gives, once a worker, a function over lists of texts."""
+
+    @F.pandas_udf("array<int>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = load()
+        for texts in batches:
+            yield pd.Series([[int(i) for i in ids] for ids in tokenizer([t if isinstance(t, str) else "" for t in texts])], dtype=object)
+
+    return df.withColumn(out, encode(F.col(text)))
+
+
+def detokenise_with(df: DataFrame, load: Callable[[], Callable[[list[list[int]]], list[str]]], ids: str = "token_ids", out: str = "text") -> DataFrame:
+    """df with the texts that a tokenizer gives its ids (null: none)."""
+
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = load()
+        for lists in batches:
+            yield pd.Series(tokenizer([[] if x is None else [int(i) for i in x] for x in lists]), dtype=object)
+
+    return df.withColumn(out, decode(F.col(ids)))
+
+
 def vocabulary(words: DataFrame, word: str = "word", by: str = "count") -> DataFrame:
     """(word, id) from 1: by count, most first, then word; or by word."""
-    from .order import global_index
-
     counts = words.groupBy(F.col(word).alias("word")).agg(F.count(F.lit(1)).alias("n"))
     if by == "count":
         return global_index(counts.withColumn("__k", -F.col("n")), "__k", ["word"], "id").select("word", (F.col("id") + 1).cast("int").alias("id"))
-    prefix = F.lpad(F.hex(F.substring("word", 1, 1).cast("binary")), 8, "0")
-    return global_index(counts.withColumn("__k", F.rpad(F.hex(F.col("word").cast("binary")), 64, "0")).withColumn("__p", prefix), "__k", ["word"], "id").select("word", (F.col("id") + 1).cast("int").alias("id"))
+    return global_index(counts, "word", None, "id").select("word", (F.col("id") + 1).cast("int").alias("id"))
 
 
 def retokenise_bins(bins: DataFrame, src: DataFrame, dst: DataFrame, cutoff: int, dst_pad: int = 0, unknown: int = 0, key: str = "bin") -> tuple[DataFrame, DataFrame]:
@@ -198,7 +247,8 @@ def retokenise_bins(bins: DataFrame, src: DataFrame, dst: DataFrame, cutoff: int
     """
     tokens = bins.select(key, F.posexplode(F.arrays_zip(F.col("input_ids").alias("t"), F.col("labels").alias("l"), F.col("attention_mask").alias("m"))).alias("pos", "x")).filter("x.m != 0")
     tokens = tokens.select(key, "pos", F.col("x.t").alias("t"), (F.col("x.l") != IGNORED_LABEL).alias("labelled"), F.col("x.m").alias("m"))
-    worded = tokens.join(src.select(F.col("id").alias("t"), "word"), "t", "left").join(dst.select("word", "ids"), "word", "left")
+    words = src.select(F.col("id").alias("t"), "word").join(dst.select("word", "ids"), "word", "left").select("t", "ids")  # first, a row an id
+    worded = _looked_up(tokens, words, "t", "left")
     new = F.when(F.col("t") == AUDIO_TOKEN, F.array("t")).otherwise(F.coalesce("ids", F.array(F.lit(unknown))))
     made = worded.select(key, F.struct("pos", new.alias("ids"), "labelled", "m", (F.col("t") == AUDIO_TOKEN).alias("audio")).alias("x")).groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("xs"))
     flat = lambda f: F.flatten(F.transform("xs", f))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 PUNCTUATION = r"""[!-/:-@\[-`{-~]"""
-MAX_WORDS = 35_000
+#: Code points beyond the first plane: the most different words that a pair can have and still be spelt.
+MAX_WORDS = 0x10FFFF - 0xFFFF
+#: Cells of the tables of one batch of word_diff; a pair with more keeps only some rows of its table.
+CELLS = 1 << 22
 
 
 def wer_words(text: Column, mode: str = "plain") -> Column:
@@ -25,67 +28,139 @@ def wer_words(text: Column, mode: str = "plain") -> Column:
 
 def word_distance(ref: Column, hyp: Column) -> Column:
     """Edit distance of two word arrays: each distinct word of the pair becomes one character, and Spark's levenshtein
-    compares the strings. Null, not wrong, for pairs of more than MAX_WORDS distinct words."""
-    letter = lambda w, v: F.decode(F.unhex(F.lpad(F.hex(F.array_position(v, w) + 19968), 4, "0")), "UTF-16BE")
-    spell = lambda ws, v: F.array_join(F.transform(ws, lambda w: letter(w, v)), "")
+    compares the strings. Null for pairs of more than MAX_WORDS distinct words, whose table no task could fill."""
+    near = lambda w, v: F.chr(F.array_position(v, w))
+    far = lambda w, v: F.decode(F.unhex(F.lpad(F.hex(F.array_position(v, w) + 0xFFFF), 8, "0")), "UTF-32")
+    spell = lambda ws, v, letter: F.array_join(F.transform(ws, lambda w: letter(w, v)), "")
     pair = F.array(F.struct(ref.alias("r"), hyp.alias("h"), F.array_distinct(F.concat(ref, hyp)).alias("v")))  # its lambda works the vocabulary out once
-    return F.transform(pair, lambda p: F.when(F.size(p["v"]) <= MAX_WORDS, F.levenshtein(spell(p["r"], p["v"]), spell(p["h"], p["v"]))))[0]
+    between = lambda p, letter: F.levenshtein(spell(p["r"], p["v"], letter), spell(p["h"], p["v"], letter))
+    some = lambda p: F.when(F.size(p["v"]) <= 255, between(p, near)).when(F.size(p["v"]) <= MAX_WORDS, between(p, far))
+    return F.transform(pair, lambda p: F.when(p["r"] == p["h"], 0).otherwise(some(p)))[0]
 
 
 def pair_errors(pairs: DataFrame, ref: str = "rw", hyp: str = "hw") -> DataFrame:
-    """Pairs of word arrays with errs and ref_words."""
-    return pairs.withColumn("errs", word_distance(F.col(ref), F.col(hyp)).cast("long")).withColumn("ref_words", F.size(ref).cast("long"))
+    """Pairs of word arrays with errs and ref_words, the words that the pair counts for: at least one. Both are null where
+    word_distance is."""
+    rows = pairs.withColumn("errs", word_distance(F.col(ref), F.col(hyp)).cast("long"))
+    return rows.withColumn("ref_words", F.when(F.col("errs").isNotNull(), F.greatest(F.size(ref), F.lit(1))).cast("long"))
 
 
 def corpus_wer(scored: DataFrame, by: list[str]) -> DataFrame:
-    """Micro word error rate of each group: summed errors over summed reference words, at least 1."""
-    return scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("errs").alias("errors"), F.sum("ref_words").alias("words")).withColumn("wer", F.col("errors") / F.greatest("words", F.lit(1)))
+    """Micro word error rate of each group: summed errors over summed words of its pairs; pairs without errs count in n alone."""
+    sums = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("errs"), F.lit(0)).alias("errors"), F.coalesce(F.sum("ref_words"), F.lit(0)).alias("words"))
+    return sums.withColumn("wer", F.col("errors") / F.greatest("words", F.lit(1)))
 
 
 def running_wer(scored: DataFrame, run: str, batch: str) -> DataFrame:
     """The word error rate of each run after each batch."""
-    per_batch = scored.groupBy(run, batch).agg(F.sum("errs").alias("e"), F.sum("ref_words").alias("w"))
+    per_batch = scored.groupBy(run, batch).agg(F.coalesce(F.sum("errs"), F.lit(0)).alias("e"), F.coalesce(F.sum("ref_words"), F.lit(0)).alias("w"))
     w = Window.partitionBy(run).orderBy(batch)
     return per_batch.select(run, batch, F.sum("e").over(w).alias("errors"), F.sum("w").over(w).alias("words")).withColumn("wer", F.col("errors") / F.greatest("words", F.lit(1)))
 
 
-def _aligned(ref: list[str], hyp: list[str]) -> list[tuple]:
-    """Operations of one shortest edit path; from the end, a match or substitution goes before a deletion before an insertion."""
-    n, m = len(ref), len(hyp)
-    cost = [list(range(m + 1))] + [[i] + [0] * m for i in range(1, n + 1)]
-    for i in range(1, n + 1):
-        row, above, word = cost[i], cost[i - 1], ref[i - 1]
-        for j in range(1, m + 1):
-            row[j] = above[j - 1] if word == hyp[j - 1] else 1 + min(above[j - 1], above[j], row[j - 1])
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and ref[i - 1] == hyp[j - 1] and cost[i][j] == cost[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-            out.append(("match", ref[i], hyp[j]))
-        elif i and j and cost[i][j] == cost[i - 1][j - 1] + 1:
-            i, j = i - 1, j - 1
-            out.append(("sub", ref[i], hyp[j]))
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
-            i -= 1
-            out.append(("del", ref[i], None))
-        else:
-            j -= 1
-            out.append(("ins", None, hyp[j]))
-    return out[::-1]
+_MATCH, _SUB, _DEL, _INS = range(4)
+_OPS = pa.array(["match", "sub", "del", "ins"])
+
+
+def _rows(ref: np.ndarray, hyp: np.ndarray, above: np.ndarray, first: int, out: np.ndarray) -> None:
+    """Fills out (steps, pairs, m + 1) with the rows of the edit tables that follow ``above``, that of number ``first``."""
+    place = np.arange(hyp.shape[1] + 1)
+    for k in range(len(out)):
+        row = np.empty_like(above)
+        row[:, 0] = first + k + 1
+        np.minimum(above[:, :-1] + (hyp != ref[:, first + k, None]), above[:, 1:] + 1, out=row[:, 1:])
+        above = np.minimum.accumulate(row - place, axis=1) + place  # an insertion costs one for each place
+        out[k] = above
+
+
+def align_words(ref: np.ndarray, ref_size: np.ndarray, hyp: np.ndarray, hyp_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(operation or -1, word of ref, word of hyp), each (pairs, steps), of one shortest edit path of each pair of padded rows of
+    word numbers. From the end, a match goes before a substitution before a deletion before an insertion.
+
+    All pairs move together. Of the tables every so many rows are kept, and the rows between are worked out again when the path
+    comes by, so memory grows with the square root of a pair's words times its words.
+    """
+    pairs, n = ref.shape
+    m = hyp.shape[1]
+    block = n + 1 if pairs * (n + 1) * (m + 1) <= CELLS else max(1, int(np.sqrt(n)))
+    kept = [np.tile(np.arange(m + 1, dtype=np.int32), (pairs, 1))]
+    table, base = np.empty((0, pairs, m + 1), np.int32), 0
+
+    def rows(from_: int) -> np.ndarray:
+        out = np.empty((min(block, n - from_ * block), pairs, m + 1), np.int32)
+        _rows(ref, hyp, kept[from_], from_ * block, out)
+        return np.concatenate([kept[from_][None], out])
+
+    for b in range(-(-n // block)):
+        table, base = rows(b), b * block
+        kept.append(table[-1])
+    if not len(table):
+        table = kept[0][None]
+    i, j, at = ref_size.astype(np.int64), hyp_size.astype(np.int64), np.arange(pairs)
+    ops, refs, hyps = [], [], []
+    while True:
+        on = (i > 0) | (j > 0)
+        if not on.any():
+            break
+        while base and (i[on] - 1).max() < base:  # the whole batch has left the block
+            base -= block
+            table = rows(base // block)
+        here = on & (i - 1 >= base) if base else on
+        a, c = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        row, up = np.clip(i - base, 0, len(table) - 1), np.clip(a - base, 0, len(table) - 1)
+        cost, diagonal, above = table[row, at, j], table[up, at, c], table[up, at, j]
+        both = (i > 0) & (j > 0)
+        match = both & (ref[at, np.minimum(a, max(n - 1, 0))] == hyp[at, np.minimum(c, max(m - 1, 0))]) & (cost == diagonal) if n and m else both
+        sub = both & ~match & (cost == diagonal + 1)
+        gone = ~match & ~sub & (i > 0) & (cost == above + 1)
+        op = np.where(match, _MATCH, np.where(sub, _SUB, np.where(gone, _DEL, _INS)))
+        ops.append(np.where(here, op, -1))
+        refs.append(a)
+        hyps.append(c)
+        i = i - (here & (op != _INS))
+        j = j - (here & (op != _DEL))
+    flip = lambda x: np.array(x[::-1], np.int64).reshape(len(x), pairs).T
+    return flip(ops), flip(refs), flip(hyps)
+
+
+def _diffs(refs: pa.ListArray, hyps: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(ops, errs, ref_words) of the pairs of a batch."""
+    (ra, rw), (ha, hw) = ((x.offsets.to_numpy().astype(np.int64), x.values) for x in (refs, hyps))
+    codes = pa.concat_arrays([rw.cast(pa.string()), hw.cast(pa.string())]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    r_size, h_size = np.diff(ra), np.diff(ha)
+    order = np.argsort(np.maximum(r_size, h_size), kind="stable")
+    done: list[tuple] = []
+    lo = 0
+    while lo < len(order):
+        cells = (np.maximum.accumulate(r_size[order[lo:]]) + 1) * (np.maximum.accumulate(h_size[order[lo:]]) + 1) * np.arange(1, len(order) - lo + 1)
+        own = order[lo : lo + max(1, int(np.searchsorted(cells, CELLS, side="right")))]
+        padded = lambda at, size, base, none: np.where((p := np.arange(size[own].max(initial=0)))[None, :] < size[own][:, None], np.append(codes, none)[np.minimum(base + at[:-1][own][:, None] + p, len(codes))], none)
+        op, r, h = align_words(padded(ra, r_size, 0, -1), r_size[own], padded(ha, h_size, len(rw), -2), h_size[own])
+        real = op >= 0
+        done.append((own, real.sum(1), op[real], (r + ra[:-1][own][:, None])[real], (h + ha[:-1][own][:, None])[real], ((op > _MATCH) & real).sum(1)))
+        lo += len(own)
+    whose, sizes, op, r, h, errs = (np.concatenate(x) if done else np.zeros(0, np.int64) for x in (zip(*done, strict=True) if done else [[]] * 6))
+    take = lambda words, at, none: words.take(pa.array(np.where(none, 0, at), mask=none))
+    steps = pa.StructArray.from_arrays([_OPS.take(pa.array(op)), take(rw, r, op == _INS), take(hw, h, op == _DEL)], names=["op", "ref", "hyp"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), steps)
+    back = np.argsort(whose)
+    return lists.take(pa.array(back)), errs[back].astype(np.int64), r_size
 
 
 def word_diff(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """Pairs with ops array<struct<op,ref,hyp>>, errs and ref_words; here punctuation becomes a space."""
+    """Pairs with ops array<struct<op,ref,hyp>>, errs and ref_words; here punctuation becomes a space. Null texts have no words."""
 
-    def diff(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ops = [_aligned(list(r), list(h)) for r, h in zip(frame["__r"], frame["__h"], strict=True)]
-            yield frame.drop(columns=["__r", "__h"]).assign(ops=[[{"op": o, "ref": r, "hyp": h} for o, r, h in x] for x in ops], errs=[sum(o != "match" for o, _, _ in x) for x in ops], ref_words=[sum(o != "ins" for o, _, _ in x) for x in ops])
+    def diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [pa.ListArray.from_arrays(x.offsets, x.values) for x in (pa.concat_arrays([batch.column(c).cast(pa.list_(pa.string()))]) for c in ("__r", "__h"))]
+            ops, errs, words = _diffs(*lists)
+            kept = batch.select([c for c in batch.schema.names if c not in ("__r", "__h")])
+            yield pa.RecordBatch.from_arrays([*kept.columns, ops, pa.array(errs), pa.array(words)], names=[*kept.schema.names, "ops", "errs", "ref_words"])
 
     spaced = lambda c: wer_words(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), PUNCTUATION, " "))
     rows = pairs.withColumn("__r", spaced(ref)).withColumn("__h", spaced(hyp))
     schema = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes) + ", ops array<struct<op:string,ref:string,hyp:string>>, errs long, ref_words long"
-    return rows.mapInPandas(diff, schema)
+    return rows.mapInArrow(diff, schema)
 
 
 def error_confusion(diffs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import distribute as D
 from ..operators import packing as P
 from ..operators import sequences as S
 from ..operators.order import global_index, global_shuffle, portable_key
+from ..storage import new_folder
 from . import inputs as I
 from .inputs import FPS, P1, P2, STRIDE, duck, table
 from .registry import query
@@ -135,14 +136,24 @@ def detokenise(spark, d):
     return S.detokenise(S.tokenise(table(spark, d, "documents").select("doc_id", "text"), vocab).filter("size(token_ids) > 0").select("doc_id", "token_ids"), vocab).select("doc_id", "text")
 
 
-@query("retokenise_bins")
+@query("retokenise_bins", duck("bins", "SELECT bin, CAST(sum(k) AS BIGINT) AS n, sum(k) > 500 AS dropped FROM (SELECT bin, CASE WHEN (id * 1000 + p) % 3 = 0 THEN 2 ELSE 1 END AS k FROM tokens) GROUP BY bin"))
 def retokenise_bins(spark, d):
     rows = I.bins(spark, d).withColumn("audio_lengths", F.array(F.size("input_ids")))
     used = rows.select(F.explode("input_ids").alias("id")).distinct()
     src = used.withColumn("word", F.concat(F.lit("w"), F.col("id").cast("string")))
     dst = src.select("word", F.when(F.col("id") % 3 == 0, F.array(F.col("id") * 2, F.col("id") * 2 + 1)).otherwise(F.array(F.col("id") * 2)).cast("array<int>").alias("ids"))
-    made, dropped = S.retokenise_bins(rows, src, dst, 2048)
-    return made.select("bin", F.size(F.filter("attention_mask", lambda m: m != 0)).alias("n")).withColumn("dropped", F.lit(False)).unionByName(dropped.select("bin", F.col("len").alias("n"), F.lit(True).alias("dropped")))
+    made, dropped = S.retokenise_bins(rows, src, dst, 500)
+    real = made.select("bin", F.size(F.filter("attention_mask", lambda m: m != 0)).cast("long").alias("n"), F.lit(False).alias("dropped"))
+    return real.unionByName(dropped.select("bin", F.col("len").cast("long").alias("n"), F.lit(True).alias("dropped")))
+
+
+@query("tokenise_with", duck("utt_tokens", "SELECT doc_id, CAST(len(ws) AS BIGINT) AS n, CAST(coalesce(list_sum(list_transform(ws, lambda x, i: i * length(x))), 0) AS BIGINT) AS digest, array_to_string(list_transform(ws, lambda x: repeat('x', CAST(length(x) AS INT))), ' ') AS back FROM utt_tokens"))
+def tokenise_with(spark, d):
+    """A plug-in tokenizer whose ids are the lengths of words, there and back."""
+    texts = I.utt_tokens(spark, d).select("doc_id", F.array_join("ws", " ").alias("text"))
+    ids = S.tokenise_with(texts, lambda: lambda batch: [[len(w) for w in t.split()] for t in batch])
+    back = S.detokenise_with(ids, lambda: lambda batch: [" ".join("x" * n for n in x) for x in batch], out="back")
+    return back.select("doc_id", F.size("token_ids").cast("long").alias("n"), F.aggregate(F.transform("token_ids", lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("digest"), "back")
 
 
 @query("pad_batch", duck("utt_tokens", """, b AS (SELECT doc_id, doc_id // 16 AS batch, least(len(ws), 39) AS n FROM utt_tokens)
@@ -153,10 +164,14 @@ def pad_batch(spark, d):
     return out.select("doc_id", F.size("padded").cast("long").alias("width"), F.array_position("padded", F.lit(2)).alias("eos_at"))
 
 
-@query("pad_features")
+@query("pad_features", """WITH r AS (SELECT vec_id, vec_id // 8 AS batch, CAST(vec_id % 8 + 1 AS INT) AS n, embedding FROM embeddings)
+SELECT vec_id, max(n) OVER (PARTITION BY batch) * 8 AS size, round(list_sum(list_transform(embedding[1 : n * 8], lambda x: CAST(x AS DOUBLE))), 5) AS total, (max(n) OVER (PARTITION BY batch) - n) * 8 AS zeros FROM r""")
 def pad_features(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 8).alias("batch"), ((F.col("vec_id") % 8) + 1).cast("int").alias("feat_len")).withColumn("n", F.col("feat_len") * 8).join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").withColumn("features", F.slice("embedding", F.lit(1), F.col("n")))
-    return S.pad_features(rows, "batch").select("vec_id", "padded")
+    """Clips of up to 8 frames padded to their batch's longest; zeros is what was put after each."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 8).alias("batch"), ((F.col("vec_id") % 8) + 1).cast("int").alias("feat_len"), "embedding")
+    padded = S.pad_features(rows.withColumn("features", F.slice("embedding", F.lit(1), F.col("feat_len") * 8)), "batch")
+    tail = F.size(F.filter(F.slice("padded", F.col("feat_len") * 8 + 1, F.size("padded")), lambda x: x == 0))
+    return padded.select("vec_id", F.size("padded").alias("size"), F.round(F.aggregate("padded", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"), tail.alias("zeros"))
 
 
 @query("global_index", "SELECT o_orderkey, row_number() OVER (ORDER BY md5('7:' || o_orderkey), o_orderkey) - 1 AS idx FROM orders")
@@ -165,22 +180,40 @@ def global_order(spark, d):
     return global_index(rows, "k", ["o_orderkey"]).select("o_orderkey", "idx")
 
 
-@query("global_shuffle")
+@query("global_shuffle", "SELECT o_orderkey, row_number() OVER (ORDER BY md5('7:' || o_orderkey), o_orderkey) - 1 AS idx FROM orders")
 def shuffled(spark, d):
-    return global_shuffle(table(spark, d, "orders").select("o_orderkey"), 7, "o_orderkey")
+    return global_shuffle(table(spark, d, "orders").select("o_orderkey"), 7, "o_orderkey", portable=True)
 
 
 def _plan_query(name, plan):
-    @query(name)
+    """Every sequence that fits once, in a bin that keeps the cutoff, the longest first."""
+    sql = duck("lengths", "SELECT id, len, true AS fits, true AS in_order FROM lengths WHERE len BETWEEN 1 AND 2048")
+
+    @query(name, sql)
     def run(spark, d):
-        return plan(I.lengths(spark, d))
+        return I.checked_plan(plan(I.lengths(spark, d)), 2048, ["bucket", "bin_no"])
 
 
 _plan_query("pack_knapsack", lambda rows: P.pack_knapsack(rows, 2048, bucket=200))
 _plan_query("pack_knapsack_corpus", lambda rows: P.pack_knapsack(rows, 2048, bucket=None))
 _plan_query("pack_first_fit", lambda rows: P.pack_first_fit(rows, 2048, bucket=200))
-_plan_query("token_budget_batches", lambda rows: B.token_budget_batches(rows, 8000, "padded"))
-_plan_query("token_budget_batches_sorted", lambda rows: B.token_budget_batches(rows, 8000, "sorted"))
+
+
+def _budget_query(name, mode):
+    """Every row once, in a batch that keeps the budget or is that row alone; full says that the next batch's rows would not
+    all have fitted too, as far as their count tells."""
+    cost = {"padded": "max(len) * count(*)", "sorted": "max(len) * count(*)", "sum": "sum(len)"}[mode]
+
+    @query(name, duck("lengths", "SELECT id, len, true AS fits FROM lengths"))
+    def run(spark, d):
+        rows = B.token_budget_batches(I.lengths(spark, d), 8000, mode)
+        whole = rows.groupBy("bucket", "batch_no").agg((F.expr(f"{cost} <= 8000 or count(*) = 1")).alias("fits"))
+        return rows.join(whole, ["bucket", "batch_no"]).select("id", "len", "fits")
+
+
+_budget_query("token_budget_batches", "padded")
+_budget_query("token_budget_batches_sorted", "sorted")
+_budget_query("token_budget_batches_sum", "sum")
 
 
 def _bins_of(spark, d):
@@ -188,19 +221,33 @@ def _bins_of(spark, d):
     return P.materialise_bins(P.pack_knapsack(seqs.select("id", "idx", "len"), 2048, bucket=None).drop("bin_order"), seqs, 2048, feat_len="feat_len")
 
 
-@query("materialise_bins")
+def _unpacked(bins):
+    """(clip, n, digest, labelled, size): every sub-sequence of the bins as it lies there."""
+    spans = S.attention_spans(bins.withColumn("bin", F.col("bin_no")).select("bin", "attention_mask"))
+    part = lambda c: F.slice(c, F.col("start").cast("int") + 1, F.col("n").cast("int"))
+    rows = spans.join(bins.withColumnRenamed("bin_no", "bin"), "bin")
+    total = F.aggregate(part("input_ids"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.select(F.get("audio_lengths", F.col("id") - 1).cast("long").alias("clip"), "n", total.alias("digest"), F.size(F.filter(part("labels"), lambda x: x != -100)).cast("long").alias("labelled"), F.size("attention_mask").cast("long").alias("size"))
+
+
+_SEQUENCES = f"""SELECT n_audio AS clip, n_audio + {P1 + P2 + 1} + least(n_words, 256) AS n, 151655 * n_audio + 36 + 115 + 2 + t AS digest, least(n_words, 256) + 1 AS labelled, CAST(2048 AS BIGINT) AS size FROM (SELECT n_words, CAST(ceil(greatest(audio_ms, 0) * {FPS} / 1000 / {STRIDE}) AS BIGINT) AS n_audio,
+ CAST(list_sum(list_transform(list_filter(string_split(transcript, ' '), lambda x: x <> '')[1:256], lambda x: length(x))) AS BIGINT) AS t FROM utts) WHERE n_audio > 0 AND n_words > 0 AND n_audio + {P1 + P2 + 1} + least(n_words, 256) <= 2048"""
+
+
+@query("materialise_bins", duck("utts", _SEQUENCES))
 def materialise_bins(spark, d):
-    return _bins_of(spark, d).select("bin_no", "n_seqs", F.crc32(F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",").cast("binary")).alias("ids_crc32"), F.size("attention_mask").alias("size"))
+    return _unpacked(_bins_of(spark, d))
 
 
-@query("drop_short_clips")
+@query("drop_short_clips", duck("utts", _SEQUENCES + " AND n_audio >= 100"))
 def drop_short_clips(spark, d):
-    return P.drop_short_clips(_bins_of(spark, d), 100).select("bin_no", F.size("audio_lengths").alias("clips"), F.array_max("attention_mask").alias("seqs"), F.size("input_ids").alias("size"))
+    return _unpacked(P.drop_short_clips(_bins_of(spark, d), 100))
 
 
-@query("pack_stats")
+@query("pack_stats", duck("bins", """, b AS (SELECT bin, sum(n) + 16 AS room, sum(n) AS real, count(*) AS seqs FROM bins GROUP BY bin), l AS (SELECT bin, count(*) FILTER (p * 5 > n * 3) AS sup FROM tokens GROUP BY bin)
+SELECT b.bin % 5 AS shard, count(*) AS bins, CAST(sum(sup) AS BIGINT) AS supervised, CAST(sum(real) AS BIGINT) AS tokens, sum(real) / sum(room) AS fill, avg(seqs) AS seqs_per_bin FROM b JOIN l USING (bin) GROUP BY 1"""))
 def pack_stats(spark, d):
-    return P.pack_stats(_bins_of(spark, d))
+    return P.pack_stats(I.bins(spark, d).withColumn("shard", F.col("bin") % 5), ["shard"])
 
 
 @query("bucket_batches", duck("lengths", """, r AS (SELECT id, len, row_number() OVER (ORDER BY len, id) - 1 AS i FROM lengths), b AS (SELECT *, i // 160 AS bucket FROM r),
@@ -238,7 +285,7 @@ def shard_balanced(spark, d):
     return D.shard_balanced(_orders(spark, d), 7).select("o_orderkey", "shard")
 
 
-@query("shard_by_bytes")
+@query("shard_by_bytes", _ORD + ", b AS (SELECT *, o_orderkey % 1000 + 1 AS bytes, pos // 50 AS step FROM p), s AS (SELECT rank, step, coalesce(sum(sum(bytes)) OVER (PARTITION BY rank ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b GROUP BY 1, 2) SELECT o_orderkey, rank, CAST(before // 50000 AS INTEGER) AS shard FROM b JOIN s USING (rank, step)")
 def shard_by_bytes(spark, d):
     rows = D.ranked(_orders(spark, d), "rank", "o_orderkey").withColumn("bytes", F.col("o_orderkey") % 1000 + 1)
     return D.shard_by_bytes(rows, 50_000, "bytes", step=50).select("o_orderkey", "rank", "shard")
@@ -284,4 +331,6 @@ def interleave(spark, d):
 
 @query("write_partitioned_shards", _ORD + "SELECT CAST(idx % 5 AS INTEGER) AS shard, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM o GROUP BY 1")
 def partitioned_shards(spark, d):
-    return D.assign_round_robin(_orders(spark, d), 5).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+    path = new_folder(spark, "shards")
+    D.write_partitioned_shards(_orders(spark, d), 5, path)
+    return spark.read.parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words_of
@@ -45,13 +45,14 @@ def utts(spark: SparkSession, d: str) -> DataFrame:
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, seg, ckpt, rw, hw): every document in segments of 40 words, and a hypothesis of each with planted errors, for
-    each of four checkpoints."""
+    each of four checkpoints; every 19th document's first segment has an empty reference."""
     rows = utt_tokens(spark, d).filter("size(ws) > 0").select("doc_id", "ws", F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 40).cast("int"))).alias("seg"))
     rows = rows.select("doc_id", F.col("seg").cast("long").alias("seg"), F.slice("ws", F.col("seg") * 40 + 1, F.lit(40)).alias("rw"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ckpt"))
     n = lambda i: F.col("doc_id") + i + F.col("ckpt")
     none = F.array().cast("array<string>")
     said = F.flatten(F.transform("rw", lambda x, i: F.when(n(i) % 11 == 0, none).when(n(i) % 13 == 0, F.array(F.lit("zzsub"))).when(n(i) % 17 == 0, F.array(x, F.lit("zzins"))).otherwise(F.array(x))))
-    return rows.withColumn("hw", said)
+    said = rows.withColumn("hw", said)
+    return said.withColumn("rw", F.when((F.col("doc_id") % 19 == 0) & (F.col("seg") == 0), none).otherwise(F.col("rw")))
 
 
 def alignments(spark: SparkSession, d: str) -> DataFrame:
@@ -77,6 +78,16 @@ def bins(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("bin"), pad(each(lambda i, p, n: i * 1000 + p), 0).alias("input_ids"), pad(each(lambda i, p, n: F.when(p * 5 > n * 3, i * 1000 + p).otherwise(IGNORED_LABEL)), IGNORED_LABEL).alias("labels"), pad(each(lambda i, p, n: i), 0).alias("attention_mask"))
 
 
+def checked_plan(plan: DataFrame, cutoff: int, bins: list[str], key: str = "id", length: str = "len", order: str | None = "seq_no") -> DataFrame:
+    """(key, length, fits, in_order) of each planned sequence: whether its bin keeps the cutoff, and whether the bin is numbered
+    without gaps in the order of falling lengths. A row whose key the plan has twice is there twice."""
+    w = Window.partitionBy(*bins)
+    rows = plan.withColumn("fits", F.sum(length).over(w) <= cutoff)
+    ordered = w.orderBy(order)
+    rows = rows.withColumn("__ok", (F.row_number().over(ordered) - 1 == F.col(order)) & F.coalesce(F.lag(length).over(ordered) >= F.col(length), F.lit(True)))
+    return rows.withColumn("in_order", F.min("__ok").over(w)).select(key, F.col(length).cast("long").alias(length), "fits", "in_order")
+
+
 _D = {
     "utt_tokens": r"utt_tokens AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(regexp_replace(text, '<[^>]+>', ' ', 'g')), '[ \t\n\r]+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM documents)",
     "words": """w0 AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM utt_tokens),
@@ -88,9 +99,9 @@ words AS (SELECT doc_id, pos, word, CAST(at_ AS BIGINT) AS st_ms, CAST(at_ + d A
  FROM utt_tokens t LEFT JOIN (SELECT doc_id, max_by(en_ms, pos) AS last_ms FROM words GROUP BY doc_id) e ON t.doc_id = e.doc_id)""",
     "pairs": """p00 AS (SELECT doc_id, ws, unnest(range((len(ws) + 39) // 40)) AS seg FROM utt_tokens),
 p0 AS (SELECT doc_id, seg, list_slice(ws, seg * 40 + 1, seg * 40 + 40) AS rw, unnest(range(4)) AS ckpt FROM p00),
-pairs AS (SELECT doc_id, seg, CAST(ckpt AS INTEGER) AS ckpt, rw, flatten(list_transform(rw, lambda x, i: CASE WHEN (doc_id + i - 1 + ckpt) % 11 = 0 THEN [] WHEN (doc_id + i - 1 + ckpt) % 13 = 0 THEN ['zzsub'] WHEN (doc_id + i - 1 + ckpt) % 17 = 0 THEN [x, 'zzins'] ELSE [x] END)) AS hw FROM p0),
+pairs AS (SELECT doc_id, seg, CAST(ckpt AS INTEGER) AS ckpt, CASE WHEN doc_id % 19 = 0 AND seg = 0 THEN [] ELSE rw END AS rw, flatten(list_transform(rw, lambda x, i: CASE WHEN (doc_id + i - 1 + ckpt) % 11 = 0 THEN [] WHEN (doc_id + i - 1 + ckpt) % 13 = 0 THEN ['zzsub'] WHEN (doc_id + i - 1 + ckpt) % 17 = 0 THEN [x, 'zzins'] ELSE [x] END)) AS hw FROM p0),
 spelt AS (SELECT *, list_distinct(list_concat(rw, hw)) AS v FROM pairs),
-scored AS (SELECT doc_id, seg, ckpt, rw, hw, CAST(levenshtein(array_to_string(list_transform(rw, lambda x: chr(CAST(32 + list_position(v, x) AS INTEGER))), ''), array_to_string(list_transform(hw, lambda x: chr(CAST(32 + list_position(v, x) AS INTEGER))), '')) AS BIGINT) AS errs, CAST(len(rw) AS BIGINT) AS ref_words FROM spelt)""",
+scored AS (SELECT doc_id, seg, ckpt, rw, hw, CAST(levenshtein(array_to_string(list_transform(rw, lambda x: chr(CAST(32 + list_position(v, x) AS INTEGER))), ''), array_to_string(list_transform(hw, lambda x: chr(CAST(32 + list_position(v, x) AS INTEGER))), '')) AS BIGINT) AS errs, CAST(greatest(len(rw), 1) AS BIGINT) AS ref_words FROM spelt)""",
     "lengths": f"lengths AS (SELECT doc_id AS id, CAST({P1 + P2 + 1} + ceil(greatest(audio_ms, 0) * {FPS} / 1000 / {STRIDE}) + n_words AS BIGINT) AS len, doc_id AS idx FROM utts)",
     "bins": """b0 AS (SELECT conv_id, turn, max(length(text)) AS c FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2),
 b1 AS (SELECT conv_id AS bin, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS id, CAST(ceil(c / 4) AS BIGINT) AS n FROM b0 WHERE c > 0),

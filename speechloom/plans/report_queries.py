@@ -20,9 +20,15 @@ def corpus_wer(spark, d):
     return W.corpus_wer(_scored(spark, d), ["ckpt"])
 
 
-@query("corpus_wer_normalised")
+_NORMAL = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce({}, '')), '[!-/:-@\\[-`{{-~]', '', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+@query("corpus_wer_normalised", f"""WITH p AS (SELECT conv_id, {_NORMAL.format("text")} AS rw FROM conversations)
+SELECT conv_id, count(*) AS n, CAST(sum(len(list_filter(rw, lambda x: contains(x, 'e')))) AS BIGINT) AS errors, CAST(sum(greatest(len(rw), 1)) AS BIGINT) AS words, sum(len(list_filter(rw, lambda x: contains(x, 'e')))) / greatest(sum(greatest(len(rw), 1)), 1) AS wer FROM p GROUP BY conv_id""")
 def corpus_wer_normalised(spark, d):
-    chats = table(spark, d, "conversations").select("conv_id", W.wer_words(F.col("text"), "normalised").alias("rw"), W.wer_words(F.regexp_replace("text", "e", "3"), "normalised").alias("hw"))
+    # Every word with an e is said as another word that no reference has, so the errors are those words.
+    said = F.regexp_replace(F.lower("text"), "e", "0ə")
+    chats = table(spark, d, "conversations").select("conv_id", W.wer_words(F.col("text"), "normalised").alias("rw"), W.wer_words(said, "normalised").alias("hw"))
     return W.corpus_wer(W.pair_errors(chats), ["conv_id"])
 
 
@@ -32,10 +38,19 @@ def running_wer(spark, d):
     return W.running_wer(_scored(spark, d).withColumn("batch", F.floor(F.col("doc_id") / 64)), "ckpt", "batch")
 
 
-@query("word_diff")
+_SPACED = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(array_to_string({}, ' ')), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+@query("word_diff", duck("pairs", f""", q AS (SELECT doc_id, seg, {_SPACED.format("rw")} AS r, {_SPACED.format("hw")} AS h FROM pairs WHERE ckpt = 1), v AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM q)
+SELECT doc_id, seg, CAST(levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(32 + list_position(v, x) AS INTEGER))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(32 + list_position(v, x) AS INTEGER))), '')) AS BIGINT) AS errs,
+ CAST(len(r) AS BIGINT) AS ref_words, array_to_string(r, ' ') AS ref_said, array_to_string(h, ' ') AS hyp_said FROM v"""))
 def word_diff(spark, d):
+    """Errors of each pair, and its two sides as the operations spell them."""
     rows = I.pairs(spark, d).filter("ckpt = 1").select("doc_id", "seg", F.array_join("rw", " ").alias("ref"), F.array_join("hw", " ").alias("hyp"))
-    return W.word_diff(rows).select("doc_id", "seg", "errs", "ref_words", F.array_join(F.transform("ops", lambda o: F.substring(o["op"], 1, 1)), "").alias("ops"))
+    said = lambda side: F.array_join(F.filter(F.transform("ops", lambda o: o[side]), lambda w: w.isNotNull()), " ")
+    counted = F.size(F.filter("ops", lambda o: o["op"] != "match")).cast("long")
+    diffs = W.word_diff(rows).withColumn("errs", F.when(F.col("errs") == counted, F.col("errs")))
+    return diffs.select("doc_id", "seg", "errs", "ref_words", said("ref").alias("ref_said"), said("hyp").alias("hyp_said"))
 
 
 @query("error_confusion")
@@ -97,18 +112,38 @@ def eos_loss_by_kind(spark, d):
     return out.withColumn("tf_loss", F.round("tf_loss", 6)).withColumn("free_loss", F.round("free_loss", 6))
 
 
-@query("collapse_probe", """WITH v AS (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS z FROM v),
-u AS (SELECT label, unnest(range(len(e))) AS d, unnest(e) / z AS u FROM n WHERE z > 0), s AS (SELECT label, sum(s * s) AS ss, max(k) AS k FROM (SELECT label, d, sum(u) AS s, count(*) AS k FROM u GROUP BY 1, 2) GROUP BY 1),
-t AS (SELECT label, count(*) AS n, avg(z) AS a, stddev_samp(z) AS b, min(z) AS c, max(z) AS e FROM n GROUP BY label)
-SELECT label, n, round(a, 5) AS norm_mean, round(b, 5) AS norm_std, round(c, 5) AS norm_min, round(e, 5) AS norm_max, round((ss - k) / (k * (k - 1)), 5) AS cos_mean, CASE WHEN (ss - k) / (k * (k - 1)) > 0.9 THEN 'collapsed' WHEN (ss - k) / (k * (k - 1)) > 0.7 THEN 'suspicious' WHEN (ss - k) / (k * (k - 1)) > 0.5 THEN 'narrow' ELSE 'diverse' END AS verdict FROM t JOIN s USING (label)""")
+_UNIT = "SELECT {}, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS z FROM embeddings"
+_COS = """u AS (SELECT {0}, vec_id, unnest(range(len(e))) AS d, unnest(e) / z AS u FROM n WHERE z > 0), s AS (SELECT {0}, sum(s * s) AS ss, max(k) AS k FROM (SELECT {0}, d, sum(u) AS s, count(*) AS k FROM u GROUP BY ALL) GROUP BY {0}),
+g AS (SELECT {0}, sum(x * x) AS gg FROM (SELECT a.{0}, a.d AS i, b.d AS j, sum(a.u * b.u) AS x FROM u a JOIN u b ON a.vec_id = b.vec_id GROUP BY ALL) GROUP BY {0}),
+c AS (SELECT {0}, (ss - k) / (k * (k - 1)) AS m, sqrt((gg - k - (ss - k) * (ss - k) / (k * (k - 1))) / (k * (k - 1) - 1)) AS sd FROM s JOIN g USING ({0}))"""
+
+
+@query("collapse_probe", f"""WITH n AS ({_UNIT.format("label")}), {_COS.format("label")}, t AS (SELECT label, count(*) AS n, avg(z) AS a, stddev_samp(z) AS b, min(z) AS c, max(z) AS e FROM n GROUP BY label)
+SELECT label, n, round(a, 5) AS norm_mean, round(b, 5) AS norm_std, round(t.c, 5) AS norm_min, round(e, 5) AS norm_max, round(m, 5) AS cos_mean, round(sd, 5) AS cos_std, CASE WHEN m > 0.9 THEN 'collapsed' WHEN m > 0.7 THEN 'suspicious' WHEN m > 0.5 THEN 'narrow' ELSE 'diverse' END AS verdict FROM t JOIN c USING (label)""")
 def collapse_probe(spark, d):
     out = M.collapse_probe(table(spark, d, "embeddings"), ["label"])
-    return out.withColumns({c: F.round(c, 5) for c in ("norm_mean", "norm_std", "norm_min", "norm_max", "cos_mean")})
+    return out.withColumns({c: F.round(c, 5) for c in ("norm_mean", "norm_std", "norm_min", "norm_max", "cos_mean", "cos_std")})
+
+
+@query("collapse_probe_reference", f"""WITH n AS ({_UNIT.format("vec_id % 2 AS half")}), {_COS.format("half")}, t AS (SELECT half, avg(z) AS a FROM n GROUP BY half)
+SELECT round((SELECT a FROM t WHERE half = 0) / (SELECT a FROM t WHERE half = 1), 5) AS norm_ratio, round((SELECT m FROM c WHERE half = 0), 5) AS cos_mean, round((SELECT m FROM c WHERE half = 1), 5) AS baseline_mean, round((SELECT sd FROM c WHERE half = 1), 5) AS baseline_std""")
+def collapse_probe_reference(spark, d):
+    vectors = table(spark, d, "embeddings")
+    out = M.collapse_probe(vectors.filter("vec_id % 2 = 0"), [], reference=vectors.filter("vec_id % 2 = 1"))
+    return out.select(*(F.round(c, 5).alias(c) for c in ("norm_ratio", "cos_mean", "baseline_mean", "baseline_std")))
+
+
+@query("pool_frames", "SELECT vec_id, round(list_avg(list_transform(range(8), lambda t: CAST(embedding[CAST(t * 8 + 1 AS INT)] AS DOUBLE))), 6) AS first, CAST(8 AS BIGINT) AS dim FROM embeddings")
+def pool_frames(spark, d):
+    pooled = M.pool_frames(table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 64).alias("features")))
+    return pooled.select("vec_id", F.round(F.col("embedding")[0], 6).alias("first"), F.size("embedding").cast("long").alias("dim"))
 
 
-@query("cosine_extremes")
+@query("cosine_extremes", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS z FROM v), s AS (SELECT * FROM n WHERE z > 0 ORDER BY md5('7:' || vec_id), vec_id LIMIT 200),
+c AS (SELECT list_dot_product(a.e, b.e) / (a.z * b.z) AS c FROM s a JOIN s b ON a.vec_id <> b.vec_id) SELECT round(avg(c), 6) AS mean, round(stddev_samp(c), 6) AS std, round(min(c), 6) AS min, round(max(c), 6) AS max FROM c""")
 def cosine_extremes(spark, d):
-    return M.cosine_extremes(table(spark, d, "embeddings"), 200, 7, "vec_id")
+    out = M.cosine_extremes(table(spark, d, "embeddings"), 200, 7, "vec_id", portable=True)
+    return out.select(*(F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")))
 
 
 @query("cumulative_progress", """WITH r AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events), l AS (SELECT run, i // 20 AS split_no, i % 20 + 1 AS step, (i % 20 + 1) / 20 AS epoch FROM r),

@@ -88,10 +88,11 @@ def limit_audio(spark, d):
     return cut.join(kept, "vec_id", "left").select("vec_id", F.size("embedding").cast("long").alias("n"), F.coalesce("k", F.lit(False)).alias("kept"))
 
 
-@query("downmix")
+@query("downmix", "SELECT vec_id, i, CAST(CAST(embedding[CAST(i AS INT)] + embedding[CAST(i + 32 AS INT)] AS FLOAT) / 2 AS FLOAT) AS mono FROM (SELECT vec_id, embedding, CAST(unnest(range(1, 33)) AS BIGINT) AS i FROM embeddings)")
 def downmix(spark, d):
     halves = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
-    return table(spark, d, "embeddings").select("vec_id", A.downmix(halves).alias("mono"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(A.downmix(halves)).alias("i", "mono"))
+    return rows.select("vec_id", (F.col("i") + 1).cast("long").alias("i"), "mono")
 
 
 @query("hash_split", duck("utts", "SELECT doc_id, CAST(('0x' || md5(utterance_id)[1:2])::INT & 1 AS INTEGER) AS half FROM utts"))
@@ -116,9 +117,9 @@ def evenly_spaced(spark, d):
     return M.evenly_spaced(global_index(orders, "o_orderkey"), 40, orders.count()).select("o_orderkey", "idx")
 
 
-@query("sample_rows")
+@query("sample_rows", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 100")
 def sample_rows(spark, d):
-    return M.sample_rows(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 100, 7, "o_orderkey", ordered=True)
+    return M.sample_rows(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 100, 7, "o_orderkey", ordered=True, portable=True)
 
 
 @query("model_tag", r"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '_qwen3_0.6b' WHEN 2 THEN '_qwen2.5_7b' ELSE '' END AS tag FROM part""")

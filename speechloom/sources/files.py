@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,12 +11,13 @@ from pyspark.sql import types as T
 
 from ..functions.text import coalesce_text, normalise_utterance_id
 from ..schemas import MANIFEST
+from ..storage import stored
 
 
-def read_transcripts(spark: SparkSession, root: str, splits: list[str], suffix: str = ".flac") -> DataFrame:
-    """The manifest of ``split/speaker/chapter/*.trans.txt`` files: the first token of a line is the utterance's id, the rest,
+def read_transcripts(spark: SparkSession, root: str, splits: list[str], suffix: str = ".flac", pattern: str = "*.trans.txt") -> DataFrame:
+    """The manifest of ``split/speaker/chapter/*.trans.txt`` files, or such that match another pattern: the first token of a line is the utterance's id, the rest,
     lower-cased, its transcript; blank lines are skipped."""
-    lines = spark.read.text([f"{root}/{s}/*/*/*.trans.txt" for s in splits]).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file")).filter("line != ''")
+    lines = spark.read.text([f"{root}/{s}/*/*/{pattern}" for s in splits]).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file")).filter("line != ''")
     folder = F.regexp_replace("file", "/[^/]*$", "")
     part = lambda i: F.element_at(F.split(folder, "/"), i)
     utt = F.regexp_extract("line", r"^(\S+)", 1)
@@ -74,6 +76,21 @@ def pending_only(work: DataFrame, done: DataFrame, key: str, valid: Column | Non
     return work.join((done if valid is None else done.filter(valid)).select(key), key, "left_anti")
 
 
+def write_pending(work: DataFrame, make: Callable[[DataFrame], DataFrame], done_path: str, key: str, valid: Column) -> DataFrame:
+    """Makes the outputs that a table at done_path lacks and adds those that are valid: (valid, n) of what was made.
+
+    Outputs are first written beside the table; only when that has succeeded are the valid ones appended, by Spark's own commit,
+    so a run that fails leaves the table as it was, and its work is done again by the next.
+    """
+    spark = work.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(done_path)
+    exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    todo = pending_only(work, spark.read.parquet(done_path), key, valid) if exists else work
+    staged = stored(make(todo).withColumn("__valid", F.coalesce(valid, F.lit(False))))
+    staged.filter("__valid").drop("__valid").write.mode("append").parquet(done_path)
+    return staged.groupBy(F.col("__valid").alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def verify_layout(expected: DataFrame, files: DataFrame) -> DataFrame:
     """Per file (name, expected, present, status OK, MISSING, DIFFERENT or EXTRA) from a metadata table (file, rows) and the rows of a layout
     read with their ``file``."""
@@ -99,6 +116,16 @@ def fetch_rows(spark: SparkSession, paths: list[str], key: str, wanted: DataFram
     return spark.read.parquet(*paths).join(wanted.select(key), key, "left_semi")
 
 
+def fetch_positions(spark: SparkSession, paths: list[str], positions: DataFrame, position: str = "position") -> DataFrame:
+    """Whole rows of the wanted global positions, 0-based over the files in the order of their paths, with the position. Only
+    the files' row counts are looked at before."""
+    rows = spark.read.parquet(*paths)
+    sizes = rows.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count(F.lit(1)).alias("__n"))  # a row a file
+    before = sizes.select("__file", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__file")) - F.col("__n")).alias("__before"))
+    placed = rows.withColumn("__file", F.col("_metadata.file_path")).withColumn("__row", F.col("_metadata.row_index")).join(F.broadcast(before), "__file")
+    return placed.withColumn(position, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before").join(positions.select(position), position, "left_semi")
+
+
 #: Bin layouts in the order in which a run prefers them.
 LAYOUTS = ("sentence", "sentence_only", "interleaved", "plain")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,10 +25,20 @@ def stream_prepare(source: DataFrame, key: str = "doc_id", text: str = "text", o
     return rows.select(key, F.col("lang").alias("dataset"), F.array_join("__ws", " ").alias("transcript"), F.size("__ws").alias("n_words"), (F.size("__ws") + overhead).cast("long").alias("len"))
 
 
-def stream_pack(seqs: DataFrame, cutoff: int, bucket: int = 200, lanes: int = 4, key: str = "doc_id", length: str = "len", flush_ms: int | None = 1000) -> DataFrame:
-    """(lane, bin_id, key, len, seq_no): each lane holds sequences until it has a bucket, packs them by the greedy knapsack and
-    starts anew; a lane that hears nothing for flush_ms packs what it holds. Without flush_ms nothing is held over: each micro-batch
-    packs its remainder too, which suits a run that ends (a processing-time timeout keeps one going). Longer sequences than the cutoff are left out."""
+def _packed(lane: int, ids: list, lens: list, cutoff: int, first_bin: int, key: str, length: str) -> tuple[pd.DataFrame, int]:
+    """The plan of one bucket, its bins numbered from first_bin, and the number after the last."""
+    where = _knapsack(lens, cutoff)
+    plan = pd.DataFrame({"lane": lane, "bin_id": [first_bin + b for b, _ in where], key: ids, length: lens, "seq_no": [s for _, s in where]})
+    return plan, first_bin + max(b for b, _ in where) + 1
+
+
+def stream_pack(seqs: DataFrame, cutoff: int, bucket: int = 200, lanes: int | None = None, key: str = "doc_id", length: str = "len", flush_ms: int | None = None) -> DataFrame:
+    """(lane, bin_id, key, len, seq_no): each lane holds sequences over micro-batches until it has a bucket, packs them by the
+    greedy knapsack and starts anew. What it holds when the stream ends is packed by pack_held; with flush_ms a lane that
+    hears nothing for so long packs it itself. Longer sequences than the cutoff are left out. As many lanes as shuffle
+    partitions, unless given: each is a group of its own.
+    """
+    lanes = lanes or int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(seqs.dtypes)[key]
 
     def pack(lane: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,17 +46,30 @@ def stream_pack(seqs: DataFrame, cutoff: int, bucket: int = 200, lanes: int = 4,
         for frame in frames:
             ids += frame[key].tolist()
             lens += frame[length].tolist()
-        while len(ids) >= bucket or ids and (flush_ms is None or state.hasTimedOut):
-            where = _knapsack(lens[:bucket], cutoff)
-            n = max(b for b, _ in where) + 1
-            yield pd.DataFrame({"lane": lane[0], "bin_id": [made + b for b, _ in where], key: ids[:bucket], length: lens[:bucket], "seq_no": [s for _, s in where]})
-            ids, lens, made = ids[bucket:], lens[bucket:], made + n
+        while len(ids) >= bucket or ids and state.hasTimedOut:
+            plan, made = _packed(lane[0], ids[:bucket], lens[:bucket], cutoff, made, key, length)
+            yield plan
+            ids, lens = ids[bucket:], lens[bucket:]
         state.update((ids, lens, made))
         if ids and flush_ms is not None:
             state.setTimeoutDuration(flush_ms)
 
     fit = seqs.filter((F.col(length) > 0) & (F.col(length) <= cutoff)).withColumn("lane", F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int")).select("lane", key, F.col(length).cast("long").alias(length))
-    return fit.groupBy("lane").applyInPandasWithState(pack, f"lane int, bin_id long, {key} {kind}, {length} long, seq_no long", f"ids array<{kind}>, lens array<long>, made long", "append", GroupStateTimeout.NoTimeout if flush_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if flush_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return fit.groupBy("lane").applyInPandasWithState(pack, f"lane int, bin_id long, {key} {kind}, {length} long, seq_no long", f"ids array<{kind}>, lens array<long>, made long", "append", timeout)
+
+
+def pack_held(spark: SparkSession, checkpoint: str, cutoff: int, key: str = "doc_id", length: str = "len") -> DataFrame:
+    """The plan of what the lanes of an ended stream_pack still hold, read from the state of its checkpoint."""
+    held = spark.read.format("statestore").load(checkpoint).select(F.col("key.lane").alias("lane"), "value.groupState.*").filter("size(ids) > 0")
+    kind = held.schema["ids"].dataType.elementType.simpleString()
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for lane, ids, lens, made in zip(frame["lane"], frame["ids"], frame["lens"], frame["made"], strict=True):
+                yield _packed(lane, list(ids), [int(n) for n in lens], cutoff, int(made), key, length)[0]
+
+    return held.mapInPandas(pack, f"lane int, bin_id long, {key} {kind}, {length} long, seq_no long")
 
 
 def new_results(items: DataFrame, done: DataFrame, min_age: int, now, key: str = "name", ts: str = "saved_at") -> DataFrame:
@@ -59,15 +83,49 @@ def stream_new_results(source: DataFrame, min_age: int, key: str = "name", ts: s
     return aged.groupBy(F.window(ts, "1 second"), key).agg(F.count(F.lit(1)).alias("seen")).select(key, F.col("window.start").alias(ts), "seen")
 
 
+def held_results(spark: SparkSession, checkpoint: str, key: str = "name", ts: str = "saved_at") -> DataFrame:
+    """The items that an ended stream_new_results still held back, read from the state of its checkpoint."""
+    return spark.read.format("statestore").load(checkpoint).select(F.col(f"key.{key}").alias(key), F.col("key.window.start").alias(ts), F.col("value.count").alias("seen"))
+
+
 def stream_progress(log: DataFrame, late: str = "10 minutes", width: str = "1 hour", ts: str = "ts", worker: str = "worker", status: str = "status") -> DataFrame:
-    """(window start, worker, done, skip, fail) counts of tumbling windows, final once the watermark has passed."""
+    """(window start, worker, done, skip, fail, rate) of tumbling windows, final once the watermark has passed; rate is done
+    ones per second of the window."""
     n = lambda s: F.count_if(F.col(status) == s).alias(s)
     counted = log.withWatermark(ts, late).groupBy(F.window(ts, width), worker).agg(n("done"), n("skip"), n("fail"))
-    return counted.select(F.col("window.start").alias("start"), worker, "done", "skip", "fail")
+    seconds = F.unix_timestamp("window.end") - F.unix_timestamp("window.start")
+    return counted.select(F.col("window.start").alias("start"), worker, "done", "skip", "fail", (F.col("done") / seconds).alias("rate"))
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there into an in-memory table and returns the table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_totals(log: DataFrame, n_splits: int, run: str = "run", split: str = "split_no", step: str = "step", epoch: str = "epoch") -> DataFrame:
+    """(run, split, step, total_step, total_epoch) of arriving logs whose step and epoch restart with every split: the state of a
+    run carries its split, the last step of it and the steps of the splits before. Within a micro-batch rows go by split and
+    step; a row of a split that is over is counted as one of that split's, whose offset is kept."""
+    kinds = dict(log.dtypes)
+
+    def total(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = dict(zip(*map(list, state.get), strict=True)) if state.exists else {}  # split -> its last step
+        for frame in frames:
+            frame = frame.sort_values([split, step])
+            for s, top in frame.groupby(split)[step].max().items():
+                last[s] = max(last.get(s, 0), top)
+            order = sorted(last)
+            before = dict(zip(order, itertools.accumulate([0, *(int(last[s]) for s in order[:-1])]), strict=True))
+            yield pd.DataFrame({run: key[0], split: frame[split], step: frame[step], "total_step": frame[step] + frame[split].map(before), "total_epoch": (frame[split] + frame[epoch]) / n_splits})
+        state.update(([int(s) for s in last], [int(n) for n in last.values()]))
+
+    schema = f"{run} {kinds[run]}, {split} {kinds[split]}, {step} {kinds[step]}, total_step long, total_epoch double"
+    return log.select(run, split, step, epoch).groupBy(run).applyInPandasWithState(total, schema, "splits array<long>, last array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there and returns what it wrote, as Parquet below a shared folder: its rows, or in complete
+    mode the last state of all. The stream's checkpoint is ``folder``/checkpoint."""
+    spark, out = stream.sparkSession, f"{folder}/rows"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").start(out)
+    else:
+        query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(out)

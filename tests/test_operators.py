@@ -16,7 +16,7 @@ from speechloom.operators import packing as P
 from speechloom.operators import plugins as G
 from speechloom.operators import sequences as S
 from speechloom.operators import wer as W
-from speechloom.operators.order import global_index, global_shuffle
+from speechloom.operators.order import exact_percentiles, global_index, global_shuffle
 from speechloom.schemas import ALIGNMENT
 from speechloom.sources import files
 from speechloom.streaming import jobs
@@ -250,12 +250,26 @@ def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(i, " ".join(["w"] * (i % 40)), "en") for i in range(300)], "doc_id long, text string, lang string")
     rows.repartition(6).write.parquet(str(tmp_path / "in"))
     source = jobs.read_stream(spark, str(tmp_path / "in"), rows.schema, files_per_trigger=2)
-    packed = jobs.run_available(jobs.stream_pack(jobs.stream_prepare(source).select("doc_id", "len"), 64, 20, lanes=2, flush_ms=None), "packed_test", str(tmp_path / "cp")).collect()
-    assert sorted(r.doc_id for r in packed) == [i for i in range(300) if i % 40]
+    seqs = jobs.stream_prepare(source).select("doc_id", "len")
+    full = jobs.run_available(jobs.stream_pack(seqs, 64, 20, lanes=2), str(tmp_path / "cp")).collect()
+    held = jobs.pack_held(spark, str(tmp_path / "cp/checkpoint"), 64).collect()
+    assert 0 < len(held) < 2 * 20 and len(full) % 20 == 0  # whole buckets only, over three micro-batches
+    assert sorted(r.doc_id for r in full + held) == [i for i in range(300) if i % 40]
     fill = Counter()
-    for r in packed:
+    for r in full + held:
         fill[(r.lane, r.bin_id)] += r.len
-    assert max(fill.values()) <= 64
+    assert max(fill.values()) <= 64 and all(sorted(b for lane_, b in fill if lane_ == lane) == list(range(sum(lane_ == lane for lane_, _ in fill))) for lane in (0, 1))
+
+
+def test_stream_totals(spark, tmp_path):
+    """Splits that go on over micro-batches."""
+    rows = [("r", s, n, n / 4) for s in range(3) for n in range(1, 5)] + [("q", 1, n, n / 4) for n in (1, 2)]
+    schema = "run string, split_no long, step long, epoch double"
+    for i in range(0, len(rows), 3):
+        spark.createDataFrame(rows[i : i + 3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    log = jobs.read_stream(spark, str(tmp_path / "log"), spark.createDataFrame([], schema).schema, files_per_trigger=1)
+    got = {(r.run, r.split_no, r.step): (r.total_step, r.total_epoch) for r in jobs.run_available(jobs.stream_totals(log, 3), str(tmp_path / "cp")).collect()}
+    assert got == {(r, s, n): (n + (4 * s if r == "r" else 0), (s + e) / 3) for r, s, n, e in rows}
 
 
 def test_unknown_names(spark):
@@ -263,3 +277,144 @@ def test_unknown_names(spark):
         M.select_datasets(spark.createDataFrame([("x",)], "dataset string"), ["y"], ["x"])
     with pytest.raises(ValueError):
         D.data_split(spark.range(3), 3, 3, idx="id")
+
+
+def test_downmix(spark):
+    from speechloom.functions.audio import downmix
+
+    rows = spark.createDataFrame([([[1.0, 2.0], [3.0, 6.0]],), ([[1.0, 2.0]],), ([[3.0], [6.0], [0.0]],)], "c array<array<float>>")
+    assert [r.m for r in rows.select(downmix(F.col("c")).alias("m")).collect()] == [[2.0, 4.0], [1.0, 2.0], [3.0]]
+
+
+def test_index_of_any_key(spark):
+    keys = ["zeta", "alpha", "0x", "Zed", "gamma", "utt-1", "beta", None, "", "é"]
+    got = [r.k for r in global_index(spark.createDataFrame([(k,) for k in keys], "k string"), "k").orderBy("idx").collect()]
+    assert got == [None, *sorted(k for k in keys if k is not None)]
+    zipf = spark.range(3000).select("id", (F.lit(3000) / (F.col("id") + 1)).cast("long").alias("n"))
+    want = sorted((3000 // (i + 1), i) for i in range(3000))
+    assert [(r.n, r.id) for r in global_index(zipf, "n", ["id"], ranges=7).orderBy("idx").collect()] == want
+    same = global_index(spark.range(1_000_000).withColumn("k", F.lit(1)), "k", ["id"])
+    assert same.filter("idx != id").isEmpty() and same.count() == 1_000_000
+
+
+def test_ranked(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") > 3, F.col("id") % 3).alias("rank"))
+    got = D.ranked(rows, "rank", "id").groupBy("rank").agg(F.sort_array(F.collect_list("pos")).alias("p")).collect()
+    assert {r["rank"]: r.p == list(range(len(r.p))) for r in got} == {None: True, 0: True, 1: True, 2: True}
+
+
+def test_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [("a", float(x)) for x in rng.integers(0, 50, 999)] + [("b", float(x)) for x in rng.normal(size=400)] + [("c", 7.0), ("c", None), (None, 1.0), (None, 2.0)]
+    got = {r.g: (r.n, r.p) for r in exact_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.05, 0.5, 0.95, 1.0]).collect()}
+    for g in ("a", "b", "c", None):
+        own = [v for k, v in rows if k == g and v is not None]
+        assert got[g][0] == len(own) and got[g][1] == pytest.approx(list(np.percentile(own, [5, 50, 95, 100])))
+
+
+def test_empty_references_count_a_word(spark):
+    pairs = spark.createDataFrame([("g", [], ["x", "y"]), ("g", ["a"], ["a"]), ("h", [], [])], "g string, rw array<string>, hw array<string>")
+    got = {r.g: (r.n, r.errors, r.words, r.wer) for r in W.corpus_wer(W.pair_errors(pairs), ["g"]).collect()}
+    assert got == {"g": (2, 2, 2, 1.0), "h": (1, 0, 1, 0.0)}
+
+
+def test_many_distinct_words(spark):
+    many = [f"w{i}" for i in range(40_000)]
+    rows = spark.createDataFrame([(many[:3000], [*many[:1500], "x", *many[1501:3000]]), (many, many)], "rw array<string>, hw array<string>")
+    assert sorted((r.errs, r.ref_words) for r in W.pair_errors(rows).collect()) == [(0, 40_000), (1, 3000)]
+
+
+def naive_path(ref, hyp):
+    """One shortest path; from the end a match goes before a substitution before a deletion before an insertion."""
+    cost = {(i, 0): i for i in range(len(ref) + 1)} | {(0, j): j for j in range(len(hyp) + 1)}
+    for i in range(1, len(ref) + 1):
+        for j in range(1, len(hyp) + 1):
+            cost[i, j] = min(cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+    out, i, j = [], len(ref), len(hyp)
+    while i or j:
+        diagonal = cost.get((i - 1, j - 1), -9)
+        if i and j and ref[i - 1] == hyp[j - 1] and cost[i, j] == diagonal:
+            out.append(("match", ref[i - 1], hyp[j - 1]))
+        elif i and j and cost[i, j] == diagonal + 1:
+            out.append(("sub", ref[i - 1], hyp[j - 1]))
+        elif i and cost[i, j] == cost[i - 1, j] + 1:
+            out.append(("del", ref[i - 1], None))
+        else:
+            out.append(("ins", None, hyp[j - 1]))
+        i, j = i - (out[-1][0] != "ins"), j - (out[-1][0] != "del")
+    return out[::-1]
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 400, 20])
+def test_word_paths(spark, monkeypatch, cells):
+    """All operations against a table worked out cell by cell, with tables kept whole and in parts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(W, "CELLS", cells)
+    rng = random.Random(cells)
+    some = lambda: [rng.choice("abc") for _ in range(rng.randrange(12))]
+    pairs = [(some(), some()) for _ in range(300)]
+    ops, errs, words = W._diffs(*(pa.array([p[k] for p in pairs], pa.list_(pa.string())) for k in (0, 1)))
+    for (ref, hyp), own, e, n in zip(pairs, ops.to_pylist(), errs, words, strict=True):
+        want = naive_path(ref, hyp)
+        assert [(o["op"], o["ref"], o["hyp"]) for o in own] == want and n == len(ref) and e == sum(o[0] != "match" for o in want)
+
+
+def test_error_confusion(spark):
+    rows = spark.createDataFrame([("a b c", "a x c"), ("b", "x"), ("b", ""), ("", "b")], "ref string, hyp string")
+    got = {(r.op, r.ref, r.hyp): r.n for r in W.error_confusion(W.word_diff(rows)).collect()}
+    assert got == {("sub", "b", "x"): 2, ("del", "b", None): 1, ("ins", None, "b"): 1}
+
+
+def test_tokens_of_large_vocabularies(spark, monkeypatch):
+    """The join that spreads frequent words gives what the broadcast gives."""
+    rows = spark.createDataFrame([(i, "the the cat " + "the " * i) for i in range(60)] + [(99, None), (98, "")], "doc_id int, text string")
+    vocab = spark.createDataFrame([("the", 1), ("cat", 2)], "word string, id int")
+    want = {r.doc_id: r.token_ids for r in S.tokenise(rows, vocab).collect()}
+    monkeypatch.setattr(S, "BROADCAST_WORDS", 1)
+    ids = S.tokenise(rows, vocab)
+    assert {r.doc_id: r.token_ids for r in ids.collect()} == want and want[2] == [1, 1, 2, 1, 1] and want[99] == []
+    assert {r.doc_id: r.text for r in S.detokenise(ids.drop("text"), vocab).collect()}[1] == "the the cat the"
+
+
+def test_transcribe_isolates_failures(spark):
+    def load():
+        def recognise(batch):
+            if "bad" in batch:
+                raise ValueError("no")
+            return [t.upper() for t in batch]
+
+        return recognise
+
+    rows = spark.createDataFrame([(i, "r", "bad" if i == 3 else f"t{i}") for i in range(8)], "idx int, ref string, audio string")
+    got = {r.idx: (r.hyp, r.error) for r in G.transcribe(rows, load, batch=4).collect()}
+    assert got == {i: (None, "ValueError: no") if i == 3 else (f"T{i}", None) for i in range(8)}
+
+
+def test_write_pending(spark, tmp_path):
+    path, work = str(tmp_path / "done"), spark.range(10).withColumn("shard_key", F.col("id") % 2)
+    made = lambda todo: todo.withColumn("ok", F.col("id") != 4)
+    assert {r.valid: r.n for r in files.write_pending(work.filter("id < 5"), made, path, "id", F.col("ok")).collect()} == {True: 4, False: 1}
+    with pytest.raises(Exception, match="broken"):
+        files.write_pending(work, lambda todo: todo.withColumn("ok", F.raise_error(F.lit("broken")).cast("boolean")), path, "id", F.col("ok"))
+    assert spark.read.parquet(path).count() == 4  # a failed run adds nothing
+    assert {r.valid: r.n for r in files.write_pending(work, made, path, "id", F.col("ok")).collect()} == {True: 5, False: 1}
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3, 5, 6, 7, 8, 9]
+
+
+def test_knapsack_lines(spark):
+    """Plans of a corpus of few lengths, whose lines are long, and of many."""
+    for top, n in ((4, 2000), (900, 1500)):
+        rows = lengths(spark, n, top, top)
+        items = [(r.id, r.len) for r in rows.collect()]
+        got = bins_of(P.pack_knapsack(rows, 1000, bucket=None))
+        assert [got[k] for k in sorted(got)] == naive_knapsack(items, 1000)
+
+
+def test_spans_of_many_ids(spark):
+    rows = spark.createDataFrame([(0, [1] * 3 + [2] * 2 + [3] + [0] * 2), (1, [0, 0]), (2, [5] * 4)], "bin int, attention_mask array<int>")
+    got = sorted((r.bin, r.id, r.start, r.n, r.pairs) for r in S.attention_spans(rows).collect())
+    assert got == [(0, 1, 0, 3, 6), (0, 2, 3, 2, 3), (0, 3, 5, 1, 1), (2, 5, 0, 4, 10)]
+    assert [r.p for r in rows.orderBy("bin").select(S.position_ids(F.col("attention_mask")).alias("p")).collect()] == [[0, 1, 2, 0, 1, 0, 0, 0], [0, 0], [0, 1, 2, 3]]
