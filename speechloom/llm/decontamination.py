@@ -6,6 +6,9 @@ placeholders, all else is lower-cased. Windows of template tokens are hash-joine
 occurs twice has to be replaced by one and the same value. So a question with other numbers or names is found, and a text
 that only looks alike is not.
 
+An item without such a window, being too short or all numbers and names, is looked for word for word instead: as one window of
+its whole length over the plain tokens. An item of one or two tokens leaks only where it is a whole text.
+
 Before the join, document windows pass a bitmap of fixed size over the hashes of the benchmark's windows, which only saves
 rows: whatever passes is decided by the join.
 """
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fingerprints as fp
+from .shared import durable, join_unskewed
 
 WINDOW, MIN_LITERALS, MIN_SHARE = 5, 3, 0.5
 BITMAP = 1 << 23
@@ -93,6 +97,7 @@ class Template:
         else:
             self.kinds = np.zeros(0, dtype=np.uint8)
         self.hashes = np.where(self.kinds == _LITERAL, hashes, self.kinds.astype(np.uint64))
+        self.plain = fp.word_hashes(lower, starts, joined_end) if len(starts) else hashes
         self.firsts = np.searchsorted(text, np.arange(len(offsets)))
         self._lower, self._starts, self._ends = lower, starts, joined_end
 
@@ -107,8 +112,24 @@ class Template:
         return at, fp.windows(self.hashes, n)[at] if len(at) else np.zeros(0, np.uint64)
 
 
-def _windows(id_type: T.DataType, n: int, bitmap: np.ndarray | None):
-    """mapInArrow function to (row long, id, pos int, h long, slots array<string>); row is one for each text."""
+    def verbatim(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens and fingerprints of all windows of n plain tokens; of one or two only those that are a whole text."""
+        at = np.flatnonzero(fp.inside(self.firsts, n))
+        if n < MIN_LITERALS:
+            text = np.searchsorted(self.firsts, at, side="right") - 1
+            at = at[np.diff(self.firsts)[text] == n]
+        return at, fp.windows(self.plain, n, salt=n)[at] if len(at) else np.zeros(0, np.uint64)
+
+
+def _set_bits(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = (h % np.uint64(BITMAP)).astype(np.int64)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def _windows(n: int, bitmap: np.ndarray | None, lengths: list[int]):
+    """mapInArrow function to (row long, id, pos int, h long, slots array<string>, size int); row is one for each text. size is
+    null for template windows. Without a bitmap, texts are items: one that has no template window gives itself as a window of
+    its size; with one they are documents, and give the plain windows of all lengths too."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -116,26 +137,47 @@ def _windows(id_type: T.DataType, n: int, bitmap: np.ndarray | None):
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 template = Template(part.column("text"))
+                whose = lambda at: np.searchsorted(template.firsts, at, side="right") - 1  # noqa: B023, E731
                 at, h = template.windows(n)
-                if bitmap is not None:
-                    bit = (h % np.uint64(BITMAP)).astype(np.int64)
-                    hit = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                    at, h = at[hit], h[hit]
-                text = np.searchsorted(template.firsts, at, side="right") - 1
+                sizes = np.diff(template.firsts)
+                if bitmap is None:
+                    bare = np.setdiff1d(np.flatnonzero(sizes > 0), whose(at))
+                    plain = [(template.firsts[bare][sizes[bare] == k], k) for k in np.unique(sizes[bare]).tolist()]
+                    plain = [(a, fp.windows(template.plain, k, salt=k)[a], k) for a, k in plain]
+                else:
+                    hit = _set_bits(bitmap, h)
+                    at, h, plain = at[hit], h[hit], []
+                    for k in lengths:
+                        a, g = template.verbatim(k)
+                        hit = _set_bits(bitmap, g)
+                        plain.append((a[hit], g[hit], k))
                 slots = [[template.slot(j) for j in range(i, i + n) if template.kinds[j]] for i in at.tolist()]
+                size = [None] * len(at)
+                for a, g, k in plain:
+                    at, h = np.concatenate([at, a]), np.concatenate([h, g])
+                    slots, size = slots + [[]] * len(a), size + [k] * len(a)
+                text = whose(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + text, pa.int64()), part.column("id").take(pa.array(text)), pa.array(at - template.firsts[text], pa.int32()), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.string())), part.column("key").take(pa.array(text))],
-                    names=["row", "id", "pos", "h", "slots", "key"],
+                    [
+                        pa.array(row + text, pa.int64()),
+                        part.column("id").take(pa.array(text)),
+                        pa.array(at - template.firsts[text], pa.int32()),
+                        pa.array(h.view(np.int64)),
+                        pa.array(slots, pa.list_(pa.string())),
+                        pa.array(size, pa.int32()),
+                        part.column("key").take(pa.array(text)),
+                    ],
+                    names=["row", "id", "pos", "h", "slots", "size", "key"],
                 )
                 row += part.num_rows
 
     return find
 
 
-def template_windows(df: DataFrame, id_col: str, text_col: str, n: int = WINDOW, bitmap: np.ndarray | None = None) -> DataFrame:
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("pos", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("key", T.LongType())])
+def template_windows(df: DataFrame, id_col: str, text_col: str, n: int = WINDOW, bitmap: np.ndarray | None = None, lengths: list[int] | None = None) -> DataFrame:
+    fields = (("row", T.LongType()), ("id", df.schema[id_col].dataType), ("pos", T.IntegerType()), ("h", T.LongType()), ("slots", T.ArrayType(T.StringType())), ("size", T.IntegerType()), ("key", T.LongType()))
     rows = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    return rows.mapInArrow(_windows(df.schema[id_col].dataType, n, bitmap), schema)
+    return rows.mapInArrow(_windows(n, bitmap, lengths or []), T.StructType([T.StructField(*f) for f in fields]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
@@ -143,19 +185,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     share is the part of the item's template windows that the text holds in consistent alignments, at least min_share; kind
     is ``exact`` if all slots have the item's own values, else ``reparameterised``. text_key is xxhash64 of the text, for
-    joining decisions back to rows without ids. Items with no window of n tokens (too short, too few literals, null) leak
-    nowhere; null and empty texts leak nothing. Equal rows are judged and returned each for itself; items with equal ids
+    joining decisions back to rows without ids. Items without a template window leak where a text holds all their tokens (of
+    up to two: where it is them), with windows 1, share 1 and kind ``exact``; null items and such without a token leak
+    nowhere. Null and empty texts leak nothing. Equal rows are judged and returned each for itself; items with equal ids
     are items of their own and may give a row each.
     """
-    items = template_windows(benchmark, item_col, item_text_col, n).select(F.col("row").alias("item_row"), F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"))
+    items = durable(template_windows(benchmark, item_col, item_text_col, n))
+    lengths = [r["size"] for r in items.filter("size is not null").select("size").distinct().collect()]  # as many as short items' lengths differ
+    at = items.select(F.pmod("h", F.lit(BITMAP)).alias("at"))
     bits = np.zeros(BITMAP // 8, dtype=np.uint8)
-    for r in items.select(F.pmod("h", F.lit(BITMAP)).cast("int").alias("bit")).distinct().toLocalIterator():  # BITMAP at most
-        bits[r["bit"] >> 3] |= 1 << (r["bit"] & 7)
-    found = template_windows(docs, id_col, text_col, n, bits).join(items, "h")
-    totals = items.groupBy("item_row").agg(F.countDistinct("item_pos").alias("total"))
+    for r in at.groupBy(F.floor(F.col("at") / 32768).alias("slot")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).collect():  # 256 rows of 4 KB at most
+        bits[r["slot"] * 4096 : (r["slot"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    by_hash = items.groupBy("h").agg(F.collect_list(F.struct(F.col("row").alias("item_row"), F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("size").alias("item_size"))).alias("items"))
+    windows = durable(template_windows(docs, id_col, text_col, n, bits, lengths))
+    found = join_unskewed(windows, by_hash, ["h"]).select("*", F.explode("items").alias("x")).select("row", "id", "key", "pos", "slots", "size", "x.*").filter(F.col("size").eqNullSafe(F.col("item_size")))
+    totals = items.groupBy(F.col("row").alias("item_row")).agg(F.countDistinct("pos").alias("total"))
     pairs = F.arrays_zip(F.col("item_slots").alias("want"), F.col("slots").alias("have"))
-    aligned = found.groupBy("row", "id", "key", "item_row", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
-    steady = aligned.filter(F.size(F.array_distinct(F.transform("slots", lambda s: s["want"]))) == F.size("slots")).withColumn("same", ~F.exists("slots", lambda s: s["want"] != s["have"]))
-    held = steady.groupBy("row", "id", "key", "item_row", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("windows"), F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("same"), F.col("places")))))).alias("exact"))
+    whose = ["row", "id", "key", "item_row", "item"]
+    aligned = found.groupBy(*whose, (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
+    steady = aligned.filter(F.size(F.array_distinct(F.transform("slots", lambda s: s["want"]))) == F.size("slots"))
+    steady = steady.withColumn("same", ~F.exists("slots", lambda s: s["want"] != s["have"]))
+    all_places = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    held = steady.groupBy(*whose).agg(all_places(F.col("places")).cast("long").alias("windows"), all_places(F.when(F.col("same"), F.col("places"))).alias("exact"))
     judged = held.join(totals, "item_row").withColumn("share", F.col("windows") / F.col("total")).filter(F.col("share") >= min_share)
-    return judged.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "windows", "share", F.when(F.col("exact") == F.col("windows"), "exact").otherwise("reparameterised").alias("kind"), F.col("key").alias("text_key"))
+    kind = F.when(F.col("exact") == F.col("windows"), "exact").otherwise("reparameterised")
+    return judged.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "windows", "share", kind.alias("kind"), F.col("key").alias("text_key"))

@@ -2,52 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_unskewed
+from ..storage import durable, new_folder, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate data that driver and executors share: the context's checkpoint folder, else that which
-    ``spark.checkpoint.dir`` names. With neither, only a local session gets a folder of its own, below the warehouse."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the checkpoint folder and read again: for loops. A checkpoint keeps the plan's size
-    estimate, which joins multiply, so that its digits would double in each round; files have their own size."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: A key is hot where it has more than one in so many of the rows; so there are fewer hot keys than this.
-HOT_PARTS = 2000
-
-
-def join_unskewed(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """left joined (``inner`` or ``left``) with a table that has each key once, however often left has it.
-
-    Keys that make up more than 1 / HOT_PARTS of left, of which there are fewer than HOT_PARTS, are joined by broadcast, so no
-    task gets the rows of one of them; all other keys by shuffle. left is read three times: store it first.
-    """
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    hot = stored(counts.filter(F.col("__n") > max(1, left.count() // HOT_PARTS)).select(*on))
-    spread = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), on, "left_semi")), on, how)
-    return spread.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on, how))
+__all__ = ["durable", "join_unskewed", "marked", "marks", "new_folder", "small_batches", "stored", "table"]
 
 
 #: Bits of a table of marks, 4 MB in all, and of one of its rows.

@@ -6,6 +6,7 @@ import collections
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from speechloom.llm import decontamination as dc
 from speechloom.llm import near_duplicates as nd
 from speechloom.llm import toxicity as tx
 from speechloom.llm.decontamination import find_leaks
@@ -34,24 +36,81 @@ def docs(spark):
 QUESTION = "If the farmer Miller sells 12 apples for 3 dollars and Miller buys 12 pears, how many of his apples remain in the basket at the end?"
 
 
+def brute_template(text):
+    """[(kind, value)] of a text's tokens, worked out word by word."""
+    tokens, last = [], None
+    for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+(?:(?<=[0-9])[.,:/-](?=[0-9])[0-9A-Za-z\x80-\U0010ffff]+)*", text):
+        parts = re.split(r"[.,:/-]", m[0])
+        assert all(p[0].isdigit() for p in parts[1:])
+        word = m[0]
+        between = text[last:m.start()] if last is not None else None
+        number = word[0] in "0123456789" or word.lower() in dc.NUMBER_WORDS.split()
+        if number:
+            kind = "num"
+        elif tokens and tokens[-1][0] == "num" and word.lower() in dc.UNITS.split():
+            kind = "unit"
+        elif word[0].isupper() and not ("A" <= word[1:2] <= "Z") and between is not None and not set(between) & set('.!?:;\n|"'):
+            kind = "name"
+        else:
+            kind = ""
+        tokens.append((kind, re.sub(r"[.,:/-]", " ", word.lower())))
+        last = m.end()
+    return tokens
+
+
+def brute_leaks(texts, items, n=5):
+    """{(text number, item number): (windows, kind)} by trying every alignment of every text with every item."""
+    sides = [[brute_template(t or "") for t in side] for side in (texts, items)]
+    shape = lambda t: t[0] or t[1]
+    valid = lambda t, i: i >= 0 and i + n <= len(t) and sum(k == "" for k, _ in t[i : i + n]) >= 3
+    out = {}
+    for (a, text), (b, item) in itertools.product(enumerate(sides[0]), enumerate(sides[1])):
+        places = [p for p in range(len(item) - n + 1) if valid(item, p)]
+        values = [v for _, v in item]
+        if not places:
+            words = [v for _, v in text]
+            held = any(words[i : i + len(values)] == values for i in range(len(words) - len(values) + 1))
+            if values and (held if len(values) > 2 else words == values):
+                out[a, b] = (1, "exact")
+            continue
+        held, exact = set(), set()
+        for shift in range(-len(item), len(text)):
+            own = [p for p in places if valid(text, p + shift) and [shape(x) for x in item[p : p + n]] == [(shape(x)) for x in text[p + shift : p + shift + n]]]
+            slots = {(item[q], text[q + shift]) for p in own for q in range(p, p + n) if item[q][0]}
+            if len({w for w, _ in slots}) == len(slots):
+                held |= set(own)
+                exact |= set(own) if all(w == h for w, h in slots) else set()
+        if len(held) >= 0.5 * len(places):
+            out[a, b] = (len(held), "exact" if exact == held else "reparameterised")
+    return out
+
+
 def test_leaks(spark, docs):
-    items = spark.createDataFrame([(1, QUESTION, "x"), (2, None, "x"), (3, "too short", "x"), (4, "12 13 14 15 16 17", "x")], "item_id int, text string, doc_id string")
     texts = [
         QUESTION,
-        "Some words before. " + QUESTION.upper().lower() + " And after.",
+        "Some words before. " + QUESTION.lower() + " And after.",  # lower-cased, the names are no slots
         QUESTION.replace("Miller", "Carter").replace("12", "1,250").replace("dollars", "euros"),
         QUESTION.replace("12 apples", "15 apples"),  # 12 stands for 15 and for 12
-        QUESTION[:40],
-        "12 13 14 15 16 17 18",
-        None,
-        "",
-    ]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, QUESTION), (None, QUESTION)], "doc_id int, text string").unionByName(docs.select((F.col("doc_id") + 100).cast("int").alias("doc_id"), "text"))
-    got = sorted(((r.doc_id, r.item_id, r.kind) for r in find_leaks(rows, items).collect()), key=str)
-    # Lower-cased, the names are no slots: too few windows are the item's own.
-    assert [g for g in got if g[0] != 3] == [(0, 1, "exact"), (0, 1, "exact"), (2, 1, "reparameterised"), (None, 1, "exact")] or (1, 1, "exact") in got
-    assert (3, 1, "reparameterised") not in got and (3, 1, "exact") not in got
-    assert find_leaks(rows.limit(0), items).collect() == [] and find_leaks(rows, items.limit(0)).collect() == []
+        QUESTION[:40], "12 13 14 15 16 17 18", "12 13 14 15 16", None, "", "too short", "This is too short.", "far too short a text", "Yes", "yes!", "Oh yes",
+        "Wie viele Äpfel hat Herr Öztürk, wenn er 3,5 kg kauft? twenty-one miles",
+    ]
+    items = [QUESTION, None, "Far too short", "12 13 14 15 16 17", "yes", "", "...", "too short", "Wie viele Birnen hat Herr Weber, wenn er 7 kg kauft?", QUESTION]
+    rng = random.Random(11)
+    pool = ["Anna", "Bob", "7", "8", "1,5", "kg", "two", "apples", "buys", "sells", "and", "the", "of", "then", "Über"]
+    made = lambda k: " ".join(rng.choice(pool) + rng.choice(["", "", "", ".", ","]) for _ in range(k))
+    items += [made(rng.randrange(3, 16)) for _ in range(25)]
+    texts += [made(4) + " " + items[rng.randrange(10, 35)].replace("Anna", rng.choice(["Anna", "Zoe"])).replace("7", rng.choice(["7", "9"])) + " " + made(6) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("item_id", F.lit("clash")).repartition(3)
+    bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id int, text string, doc_id string")
+    got = find_leaks(rows, bench).collect()
+    want = brute_leaks(texts, items)
+    assert {(r.doc_id, r.item_id): (r.windows, r.kind) for r in got} == want and len(got) == len(want)
+    assert want[0, 0][1] == "exact" and want[2, 0][1] == "reparameterised" and (3, 0) not in want and want[1, 0][1] == "exact"
+    short = {(a, b) for a, b in want if 4 <= a <= 14 and b in (2, 3, 4, 7)}
+    assert short == {(11, 2), (5, 3), (12, 4), (13, 4), (9, 7)}
+    twice = rows.filter("doc_id = 0").withColumn("doc_id", F.lit(None).cast("int"))
+    assert [(r.doc_id, r.item_id) for r in find_leaks(twice.unionByName(twice), bench.filter("item_id = 0")).collect()] == [(None, 0)] * 2
+    assert find_leaks(rows.limit(0), bench).collect() == [] and find_leaks(rows, bench.limit(0)).collect() == []
 
 
 # ---- language
@@ -213,8 +272,6 @@ def brute_classes(rows, threshold=0.8, n=5):
 
 
 def nd_split(text):
-    import re
-
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
