@@ -6,8 +6,6 @@ columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +15,7 @@ from speechloom.llm.language_id import fit_languages, identify
 from speechloom.llm.near_duplicates import near_duplicates, text_node
 from speechloom.llm.packing import harmonic_pack
 from speechloom.llm.secrets import redact
-from speechloom.llm.shared import durable, marked, marks, shared_folder, small_batches, table
+from speechloom.llm.shared import durable, marked, marks, new_folder, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -85,7 +83,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each stage's rows written as Parquet to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = f"{folder}/{name}"
