@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 from .samples import bounded_sample
 
 UNKNOWN = "und"
-#: Languages' dictionaries are at most this long, from about so many texts.
+#: Languages' dictionaries are at most this long (but for a language of which no text fits), from about so many texts.
 DICT_BYTES, SAMPLE_TEXTS = 96 << 10, 200
-#: Of the encoder, and the bytes of a block. Texts of up to SHORT bytes get the thorough level, behind a filler that no
-#: dictionary holds: by itself a block so small is stored as it is.
-LEVEL, BLOCK = 6, 1024
-SHORT_LEVEL, SHORT = 19, 320
+#: Of the encoder, and the bytes of a block.
+LEVEL, BLOCK = 12, 1024
+#: Stands before each block and is in no dictionary: by itself a short block would be stored as it is.
 FILLER = bytes(128 + (37 * i * i + 91 * i) % 127 for i in range(64))
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -36,7 +35,8 @@ def _plain(text: str) -> bytes:
 
 
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES, sample_texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """language -> dictionary, from a bounded sample (about sample_texts different texts of each language, dict_bytes at most).
+    """language -> dictionary, from a bounded sample: about sample_texts different texts of each language, whole, in the order of
+    their hashes as long as they fit into dict_bytes; a text that doesn't fit is passed over. If none fits it is the shortest.
 
     Rows with a null language, or a text that is null or has no letter, teach nothing; repeated texts count once.
     """
@@ -47,8 +47,12 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         texts.setdefault(r["lang"], []).append(_plain(r["text"]))
     out = {}
     for lang, own in sorted(texts.items(), key=lambda x: (-len(x[1]), x[0])):
-        share = max(512, dict_bytes // len(own))  # of each text, so that no long one fills the dictionary
-        out[lang] = b"".join(t[:share] for t in own)[:dict_bytes]
+        size, kept = 0, []
+        for t in own:
+            if size + len(t) <= dict_bytes:
+                kept.append(t)
+                size += len(t)
+        out[lang] = b"".join(kept) or min(own, key=len)
     return out
 
 
@@ -64,12 +68,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
 
     @F.pandas_udf("lang_pred string, score double, margin double")
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coders = {}
-        for level in (LEVEL, SHORT_LEVEL):
-            for lang in langs:
-                raw = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                raw.precompute_compress(level=level)
-                coders.setdefault(level, []).append(zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_dict_id=False, write_checksum=False))
+        coders = []
+        for lang in langs:
+            raw = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=LEVEL)
+            coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False, write_checksum=False))
         for texts in batches:
             out = []
             for text in texts:
@@ -77,8 +80,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
                     out.append((UNKNOWN, 0.0, 0.0))
                     continue
                 plain = _plain(text)
-                blocks = [plain[i : i + BLOCK] for i in range(0, len(plain), BLOCK)] if len(plain) > SHORT else [FILLER + plain]
-                sizes = np.array([sum(len(c.compress(b)) for b in blocks) for c in coders[LEVEL if len(plain) > SHORT else SHORT_LEVEL]], dtype=np.float64)
+                blocks = [FILLER + plain[i : i + BLOCK] for i in range(0, len(plain), BLOCK)]
+                sizes = np.array([sum(len(c.compress(b)) for b in blocks) for c in coders], dtype=np.float64)
                 first = int(np.argmin(sizes))
                 next_ = np.partition(sizes, 1)[1] if len(sizes) > 1 else 2 * sizes[0]
                 weight = np.exp2(-8 * (sizes - sizes[first]) / (4 + math.sqrt(len(plain))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import itertools
 import math
+import os
 import random
 import re
 
@@ -19,7 +20,7 @@ from speechloom.llm import near_duplicates as nd
 from speechloom.llm import toxicity as tx
 from speechloom.llm.decontamination import find_leaks
 from speechloom.llm.language_id import fit_languages, identify
-from speechloom.llm.samples import bounded_sample
+from speechloom.llm.samples import bounded_sample, held_out
 from speechloom.llm.top_k import top_k
 from speechloom.llm.url_filter import judge_urls, segment
 
@@ -138,6 +139,29 @@ def test_languages(spark):
     assert identify(rows.limit(0), model).collect() == []
 
 
+def test_dictionaries_hold_whole_texts(spark):
+    texts = [" ".join(words(random.Random(i), 30)) + " é" for i in range(40)] + ["lang " * 5000]
+    model = fit_languages(spark.createDataFrame([(t, "aa") for t in texts] + [("big " * 3000, "bb"), ("huge " * 4000, "bb")], "text string, lang string"), dict_bytes=2000)
+    plain = [" " + re.sub(r"[\W\d_]+", " ", t).strip() + " " for t in texts]
+    left = model["aa"].decode()
+    assert 1500 < len(model["aa"]) <= 2000
+    for t in sorted(plain, key=len, reverse=True):
+        left = left.replace(t, "", 1)
+    assert not left and model["bb"].decode() == " " + "big " * 3000  # none fits: the shortest
+
+
+def test_language_of_documents(spark):
+    """Held-out accuracy on the given documents, by length."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    rows = spark.read.parquet(path).filter("lang is not null").withColumn("held", held_out(F.col("doc_id")))
+    got = identify(rows.filter("held"), fit_languages(rows.filter("not held"))).filter("lang_pred != 'und'").collect()
+    right = [r.lang == r.lang_pred for r in got]
+    assert len(right) > 100 and sum(right) / len(right) >= 0.98
+    assert all(r.lang == r.lang_pred for r in got if not r.rejected and len(r.text) > 200)
+
+
 def test_bounded_sample(spark):
     rows = spark.range(4000).withColumn("label", F.when(F.col("id") < 50, "few").otherwise("many")).withColumn("h", F.xxhash64("id"))
     got = {r["label"]: r["count"] for r in bounded_sample(rows, "label", "h", 100).groupBy("label").count().collect()}
