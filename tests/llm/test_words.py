@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from speechloom.llm import substring_dedup as sd
 from speechloom.llm.lm_scores import stupid_backoff
 from speechloom.llm.packing import Bins, harmonic_pack
 from speechloom.llm.packs import Words, decode_sorted, encode_sorted
@@ -57,6 +58,41 @@ def test_substrings(spark, docs, window, pack_bytes):
     assert collections.Counter(map(tuple, got.collect())) == want
 
 
+def test_two_fingerprints_decide():
+    """Equal first fingerprints alone don't make windows equal."""
+    u = lambda *x: np.array(x, np.uint64)
+    (a, b), flags = sd._distinct((u(5, 5, 5, 9, 9), u(1, 2, 1, 3, 4)), np.zeros(5, np.uint8))
+    assert (a.tolist(), b.tolist(), flags.tolist()) == ([5, 5, 9, 9], [1, 2, 3, 4], [2, 0, 0, 0])
+    assert sd._held((u(5, 5, 9, 9, 7), u(2, 3, 4, 5, 1)), (a, b)).tolist() == [True, False, True, False, False]
+    runs = pa.concat_tables([sd._runs(p, (u(7, 8), u(p, 3)), np.zeros(2, np.uint8), 1, 64) for p in (1, 2)])
+    hot = sd._answers(runs, 2)
+    assert hot["pack"].to_pylist() == [1, 2] and [[k.tolist() for k in x] for x in sd._sent(hot)] == [[[8], [3]]] * 2
+    words = Words(pa.chunked_array([pa.array([" ".join(f"w{i % 7}" for i in range(60))])]))
+    _, (first, second) = sd._contexts(words, 35)
+    assert len(set(first.tolist())) == len(set(second.tolist())) == 7 and not set(first.tolist()) & set(second.tolist())
+
+
+def test_substrings_of_long_texts(spark):
+    """Texts of 20,000 words and one of 50,000 characters, that share passages with others and within."""
+    rng = np.random.default_rng(5)
+    long = [f"v{i}" for i in rng.integers(0, 300, 20_000)]
+    shared = long[5_000:5_060]
+    texts = [" ".join(long), " ".join([*long[10_000:10_040], *(f"u{i}" for i in range(100)), *shared]), "x" * 50_000, " ".join(["again"] * 20_000)]
+    rows = [(i, split(t)) for i, t in enumerate(texts)]
+    seen = collections.Counter(hash(tuple(w[i : i + 35])) for _, w in rows for i in range(len(w) - 34))
+    want = {}
+    for key, w in rows:
+        gone = np.zeros(len(w) + 1, np.int64)
+        for i in range(len(w) - 34):
+            if seen[hash(tuple(w[i : i + 35]))] > 1:
+                gone[i] += 1
+                gone[i + 35] -= 1
+        kept = np.cumsum(gone)[:-1] == 0
+        want[key] = (len(w), int((~kept).sum()), " ".join(x for x, k in zip(w, kept, strict=True) if k))
+    got = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), pack_bytes=30_000).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == want and want[1][1] == 100 and want[3][1] == 20_000
+
+
 def test_substrings_of_nothing(docs):
     assert remove_repeats(docs.limit(0)).collect() == []
 
