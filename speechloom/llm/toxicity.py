@@ -4,7 +4,8 @@ A word is represented by its entry in a learnt word table and by a small bidirec
 unseen words still have a representation. A bidirectional GRU reads every overlapping window of words, attention pools its
 states, and the pooled state gives the window's logit. A text's score is a logistic function of how its windows' logits are
 distributed (highest, mean, and mean over the windows' probabilities). All windows of all texts are scored; what a word
-contributes before the recurrence is worked out once for each distinct word of a batch.
+contributes before the recurrence is worked out once for each distinct word of a batch. Windows have WINDOW words and begin
+every STRIDE words, so neighbours share WINDOW - STRIDE words.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from .samples import bounded_sample
 
 WINDOW, STRIDE = 48, 32
 WORD_BYTES = 16  # longer words are read as several
-VOCABULARY = 3000
+#: Words of fewer texts of the sample have no entry in the word table; their bytes speak for them.
+LEAST_TEXTS = 3
 SIZES = {"byte": 8, "byte_state": 6, "word": 12, "state": 8}
 SAMPLE_PER_LABEL = 1500
-WINDOWS_PER_TEXT = 12
-LEAST_STEPS = 250
+#: Steps of fitting, and the windows of each: a text is drawn, any with the same chance, and then any of its windows.
+STEPS, STEP_WINDOWS = 400, 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -243,8 +245,11 @@ def features(logits: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), highest, mean(logits), 4 * mean(_sigmoid(logits))], 1)
 
 
-def fit(texts: list[str], toxic: np.ndarray, epochs: int = 4, rows: int = 256, rate: float = 0.01, seed: int = 7) -> Network | None:
-    """A network fitted to texts and their 0/1 labels; None if one of the labels is missing. Deterministic for a seed."""
+def fit(texts: list[str], toxic: np.ndarray, steps: int = STEPS, rows: int = STEP_WINDOWS, rate: float = 0.01, seed: int = 7) -> Network | None:
+    """A network fitted to texts and their 0/1 labels; None if one of the labels is missing. Deterministic for a seed.
+
+    Every step draws windows anew, so all windows of all texts may be read, and the work does not depend on the sample's size.
+    """
     if len(set(toxic.tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
@@ -253,32 +258,26 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 4, rows: int = 256, r
     owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
     pairs = np.unique(np.stack([hashes, owner.astype(np.uint64)], 1), axis=0)
     distinct, spread = np.unique(pairs[:, 0], return_counts=True)
-    network = Network.random(np.sort(distinct[np.lexsort((distinct, -spread))][: min(VOCABULARY, int((spread > 2).sum()))]), seed)
+    network = Network.random(distinct[spread >= LEAST_TEXTS], seed)
     chars, length, entry, which = network.words_in(data, starts, ends)
+    which = which if len(which) else np.zeros(1, np.int64)
     at, text = window_starts(firsts)
-    order = rng.permutation(len(at))
-    order = order[np.argsort(text[order], kind="stable")]  # of each text the first few at random
-    nth = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-    chosen = order[nth < WINDOWS_PER_TEXT]
+    windows = np.bincount(text, minlength=len(texts))
+    begins = np.cumsum(windows) - windows
     first, second = ({k: np.zeros_like(v) for k, v in network.weights.items()} for _ in range(2))
-    per_epoch = -(-len(chosen) // rows)
-    epochs = max(epochs, -(-LEAST_STEPS // per_epoch))  # a small sample is read more often
-    step, steps = 0, epochs * per_epoch
-    for _ in range(epochs):
-        rng.shuffle(chosen)
-        for i in range(0, len(chosen), rows):
-            own = chosen[i : i + rows]
-            place = at[own][None, :] + np.arange(WINDOW)[:, None]
-            mask = (place < firsts[1:][text[own]][None, :]).astype(np.float32)
-            used, ids = np.unique(which[np.minimum(place, len(which) - 1)], return_inverse=True)
-            _, gradient = network.gradients(chars[:, used], length[used], entry[used], ids.reshape(place.shape), mask, toxic[text[own]].astype(np.float32))
-            step += 1
-            norm = np.sqrt(sum(float((g * g).sum()) for g in gradient.values()))
-            for k, g in gradient.items():  # Adam, with a clipped and a falling rate
-                g = g * min(1.0, 1.0 / (norm + 1e-9))
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.99 * second[k] + 0.01 * g * g
-                network.weights[k] -= rate * (1 - step / (steps + 1)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+    for step in range(1, steps + 1):
+        drawn = rng.integers(len(texts), size=rows)
+        own = begins[drawn] + rng.integers(windows[drawn])
+        place = at[own][None, :] + np.arange(WINDOW)[:, None]
+        mask = (place < firsts[1:][text[own]][None, :]).astype(np.float32)
+        used, ids = np.unique(which[np.minimum(place, len(which) - 1)], return_inverse=True)
+        _, gradient = network.gradients(chars[:, used], length[used], entry[used], ids.reshape(place.shape), mask, toxic[text[own]].astype(np.float32))
+        norm = np.sqrt(sum(float((g * g).sum()) for g in gradient.values()))
+        for k, g in gradient.items():  # Adam, with a clipped and a falling rate
+            g = g * min(1.0, 1.0 / (norm + 1e-9))
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            network.weights[k] -= rate * (1 - step / (steps + 1)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
     x = features(*network.score_windows(pa.array(texts)), len(texts))
     head = np.zeros(x.shape[1])
     for _ in range(50):  # Newton's method for the logistic function over a text's windows

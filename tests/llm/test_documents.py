@@ -420,6 +420,14 @@ def test_toxicity(spark):
     right = [r.predicted == rows[r.doc_id][2] for r in got if r.doc_id is not None and 350 <= r.doc_id < 500]
     assert sum(right) / len(right) >= 0.95
     assert tx.fit_documents(docs, labels.limit(0)) is None
+    again = docs.filter("doc_id < 4").withColumn("doc_id", F.lit(None).cast("long"))
+    long = [(700, " ".join(w for _, t, y in rows if not y for w in t.split())[:150_000]), (701, "x" * 50_000), (702, "")]
+    odd = spark.createDataFrame(long, "doc_id long, text string")
+    more = tx.score_toxicity(odd.withColumn("predicted", F.lit("clash")), network).collect()
+    assert [r.doc_id for r in more] == [700, 701, 702] and more[0].predicted == 0 and more[0].score < 0.5
+    twice = [r.score for r in tx.score_toxicity(again.unionByName(again), network).collect()]
+    assert sorted(twice[:4]) == pytest.approx(sorted(twice[4:]))
+    assert tx.score_toxicity(docs.limit(0), network).collect() == [] and tx.fit_documents(docs.limit(0), labels) is None
     assert {r.score for r in tx.score_toxicity(docs, None).collect()} == {0.0}
 
 
