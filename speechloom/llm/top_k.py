@@ -103,7 +103,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id
             return rows.join(F.broadcast(asked), "dim")
         parts = 256
         rows = rows.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(parts))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(sizes["n"] - 1))))
-        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long")).withColumn("turn", F.dense_rank().over(Window.partitionBy("part").orderBy("block")) - 1)
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).withColumn("turn", F.dense_rank().over(Window.partitionBy("part").orderBy("block")) - 1)
         return rows.join(asked, ["dim", "part", "turn"]).drop("part", "turn")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from speechloom.llm import decontamination as dc
 from speechloom.llm import near_duplicates as nd
+from speechloom.llm import top_k as tk
 from speechloom.llm import toxicity as tx
 from speechloom.llm.decontamination import find_leaks
 from speechloom.llm.language_id import fit_languages, identify
@@ -227,6 +228,15 @@ def test_segment(spark):
     assert [r.words for r in none] == [["abc"]]
 
 
+def test_long_urls(spark):
+    """A run of 20,000 letters, and a path of 5,000 runs."""
+    urls = ["http://" + "thered" * 3000 + "q" * 2000 + ".com/", "http://a.b/" + "/".join(f"x{i}" for i in range(5000)), "http://" + "." * 1000]
+    rows = spark.createDataFrame([(i, u, "<p>the red the red house</p>") for i, u in enumerate(urls)], "page_id int, url string, html string")
+    got = {r.page_id: r for r in judge_urls(rows, RULES).collect()}
+    assert got[0].words[:4] == ["h:the", "h:red", "h:the", "h:red"] and "".join(w[2:] for w in got[0].words) == urls[0][7:-5] + "com"
+    assert len(got[1].words) == 2 + 2 * 5000 and got[2].words == [] and got[2].host == "." * 1000
+
+
 def test_joined_names_decide(spark):
     """Hosts whose joined names were never seen are judged by the words in them; without the words they can't be."""
     rng = random.Random(7)
@@ -351,8 +361,10 @@ def test_components(spark):
 # ---- top-k
 
 
-@pytest.mark.parametrize("lists", [1, 2, 3])
-def test_top_k(spark, lists):
+@pytest.mark.parametrize(("lists", "broadcast"), [(1, 1 << 20), (2, 1 << 20), (3, 1 << 20), (2, 0)])
+def test_top_k(spark, monkeypatch, lists, broadcast):
+    """Also where query blocks are too large to be broadcast and both sides are dealt out."""
+    monkeypatch.setattr(tk, "BROADCAST_BYTES", broadcast)
     rng = np.random.default_rng(2)
     rows = [(int(i), [int(x) for x in rng.integers(-50, 50, 12)]) for i in range(300)]
     rows += [(i, [1, 2, 3]) for i in range(300, 306)] + [(310, None), (None, [1] * 12), (311, []), (5, rows[7][1])] + [(400 + i, rows[3][1]) for i in range(40)]
@@ -465,3 +477,12 @@ def test_pipeline(spark, tmp_path):
     for p in pieces:
         per_doc[p.doc_id] += p.length
     assert all(per_doc[p.doc_id] == p.doc_tokens for p in pieces) and math.prod(per_doc.values()) > 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).collect() == []
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
