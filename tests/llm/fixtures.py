@@ -19,6 +19,6 @@ def documents(seed: int = 1, n: int = 40) -> list[tuple]:
             at = rng.randrange(len(own) + 1)
             own = own[:at] + shared[rng.randrange(10) :] + own[at:]
         texts.append(rng.choice([" ", "\n", "  "]).join(own))
-    texts += [texts[10], texts[10], texts[12] + "!", " ".join(words(rng, 6000)), "x" * 6000]
+    texts += [texts[10], texts[10], texts[12] + "!", " ".join(words(rng, 20_000)), "x" * 50_000]
     rows = [(i, t, "en", "src0", None if t is None else len(t), 1, "clash") for i, t in enumerate(texts)]
     return [*rows, rows[9], rows[9], (None, texts[11], None, None, None, None, None), (None, None, None, None, None, None, None)]
