@@ -1,36 +1,24 @@
 """Vectorised word and window fingerprints over Arrow text columns.
 
-A word is a run of bytes other than space and \\x09-\\x0D, so words never cross documents. A word's 64-bit fingerprint is
-a polynomial of its bytes modulo 2**64, computed for a whole block with one running sum and then mixed; a window's is the
-same polynomial over the mixed word fingerprints. Nothing loops over words in Python.
+A word is a run of bytes other than space and \x09-\x0D, so words never cross documents. A word's 64-bit fingerprint mixes
+its eight-byte lanes one after the other (BLAKE2b for words of over 64 bytes); a window's is put together from those of its
+halves, each step mixed again, so that no structure of the text cancels out. Another seed gives an independent fingerprint.
+Nothing loops over words in Python but for the very long ones.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
-_BLOCK = 1 << 20
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LANES = 8
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of base and of its inverse modulo 2**64."""
-    have = _tables.get(base)
-    if have is None or len(have[0]) < n:
-        n = max(n, 1 << 16)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(n, b, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        _tables[base] = have = (out[0], out[1])
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every input bit (the public splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -64,20 +52,30 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts + lo, ends + lo, np.searchsorted(starts, offsets - lo)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each word."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):
-        first = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(starts, first + _BLOCK)))
-        last = int(ends[to - 1])
-        power, inverse = _powers(_BYTE_BASE, last - first + 1)
-        sums = np.zeros(last - first + 1, dtype=np.uint64)
-        np.cumsum((data[first:last].astype(np.uint64) + np.uint64(1)) * power[: last - first], out=sums[1:])
-        s, e = starts[at:to] - first, ends[at:to] - first
-        out[at:to] = mix((sums[e] - sums[s]) * inverse[s])
-        at = to
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit fingerprint of each word; those of different seeds are independent."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:-8] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) * _STEP + np.uint64(seed))
+    left, at, active = size, starts, None
+    for _ in range(_LANES):
+        lane = lanes[at] & (np.uint64(2**64 - 1) >> (np.maximum(8 - left, 0) * 8).astype(np.uint64))
+        if active is None:
+            out = mix(out ^ lane)
+            active = np.flatnonzero(size > 8)
+            left, at = size[active] - 8, starts[active] + 8
+        else:
+            out[active] = mix(out[active] * _STEP ^ lane)
+            on = left > 8
+            active, left, at = active[on], left[on] - 8, at[on] + 8
+        if not len(active):
+            return out
+    for i in active.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(16, "little")).digest(), "little")
     return out
 
 
@@ -85,16 +83,18 @@ def windows(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """The fingerprint of each n consecutive words, document borders ignored (see inside())."""
     if len(hashes) < n:
         return np.zeros(0, dtype=np.uint64)
-    out = np.empty(len(hashes) - n + 1, dtype=np.uint64)
-    step = 1 << 18
-    power, inverse = _powers(_WORD_BASE, step + n)
-    for at in range(0, len(out), step):
-        part = hashes[at : at + step + n - 1]
-        sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(part * power[: len(part)], out=sums[1:])
-        k = len(part) - n + 1
-        out[at : at + k] = mix((sums[n:] - sums[:-n]) * inverse[:k] + np.uint64(salt))
-    return out
+    count = len(hashes) - n + 1
+    out, power, have = None, hashes, 1  # of the first `done` words of each window; of `have` words from each word on
+    done = 0
+    while True:
+        if n & have:
+            part = power[done : done + count]
+            out = part if out is None else mix(out * _STEP + part)
+            done += have
+        if done == n:
+            return mix(out ^ np.uint64(salt + n))
+        power = mix(power[:-have] * _STEP + power[have:])
+        have *= 2
 
 
 def inside(firsts: np.ndarray, n: int) -> np.ndarray:

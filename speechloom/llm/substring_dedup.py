@@ -24,7 +24,7 @@ from .packs import PACK_BYTES, Words, bucket_count, decode, decode_sorted, encod
 _RUN = "bucket int, pack long, hashes binary, seconds binary, flags binary"
 _BLOCK, _AGAIN = np.uint8(1), np.uint8(2)
 
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
+_SECOND = 0xD6E8FEB86659FD93
 
 #: Fingerprints: one array, or a second one beside it.
 Keys = tuple[np.ndarray, ...]
@@ -104,9 +104,9 @@ def _answered(hot: pa.Table, n: int) -> Keys:
 
 
 def _contexts(words: Words, window: int) -> tuple[np.ndarray, Keys]:
-    """Each window's first word, and its two fingerprints: the second over the words' fingerprints mixed once more."""
+    """Each window's first word, and its two fingerprints: the second over a second fingerprint of the words' bytes."""
     at, first = words.windows(window)
-    return at, (first, fp.windows(fp.mix(words.hashes + _SECOND), window)[at])
+    return at, (first, fp.windows(fp.word_hashes(words.data, words.starts, words.ends, _SECOND), window)[at])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, pack_bytes: int = PACK_BYTES) -> DataFrame:

@@ -308,3 +308,41 @@ def test_digest(spark):
     said = ",".join(f"{s.kind}:{s.start}:{s.stop}" for s in spans)
     assert said == "assign:0:49,hex:9:49"
     assert len(hashlib.sha256(said.encode()).hexdigest()) == 64
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of 2**n letters that agree in any polynomial of their bytes modulo 2**64, and in all counts of short parts."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_fingerprints_of_structured_words():
+    texts = [*thue_morse(10), *thue_morse(5), *thue_morse(3), "a" * 8, "a" * 9, "a" * 64, "a" * 65, "ab", "ba", "é"]
+    words = Words(pa.chunked_array([pa.array(texts + texts)]))
+    first, again = words.hashes[: len(texts)], words.hashes[len(texts) :]
+    assert (first == again).all() and len(set(first.tolist())) == len(texts)
+    for n in (2, 3, 35, 1024):
+        letters = [list(t) for t in thue_morse(11)]
+        seen = {}
+        for letter in letters:
+            hashes = Words(pa.chunked_array([pa.array([" ".join(letter)])])).windows(n)[1].tolist()
+            for i, h in enumerate(hashes):
+                seen.setdefault(h, set()).add(tuple(letter[i : i + n]))
+        assert all(len(v) == 1 for v in seen.values()) and len(seen) == len(set().union(*seen.values()))
+
+
+def test_substrings_that_differ_in_a_structured_word(spark):
+    rest = " ".join(f"w{i}" for i in range(34))
+    rows = [(i, f"{w} {rest}") for i, w in enumerate(thue_morse(10))]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id int, text string"), window=35).collect()
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in got} == {(0, 35, 0), (1, 35, 0)}
+
+
+def test_texts_that_are_one_structured_word_stay_apart(spark):
+    from speechloom.llm.near_duplicates import near_duplicates
+
+    rows = [(i, w) for i, w in enumerate([*thue_morse(10), thue_morse(10)[0]])]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == got[2] and got[0] != got[1]
