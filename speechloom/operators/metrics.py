@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .order import portable_key, seeded_key
+from .order import portable_key, prefix_scan, seeded_key
 
 
 def checkpoint_summary(parts: list[DataFrame], expected: DataFrame, key: str = "ckpt") -> DataFrame:
@@ -29,9 +29,9 @@ def checkpoint_summary(parts: list[DataFrame], expected: DataFrame, key: str = "
 
 
 def best_so_far(metrics: DataFrame, run: str = "run", step: str = "step", wer: str = "wer") -> DataFrame:
-    """Metrics with the lowest earlier rate and whether this one is strictly lower (the first is)."""
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    return metrics.withColumn("best_before", F.min(wer).over(w)).withColumn("new_best", F.col("best_before").isNull() | (F.col(wer) < F.col("best_before")))
+    """Metrics with the lowest earlier rate and whether this one is strictly lower (the first is). A long run is scanned by ranges
+    of its steps, in many tasks; steps of one number are taken in order of their rates."""
+    return prefix_scan(metrics, [run], [step, wer], wer, "best_before", "min", earlier=True).withColumn("new_best", F.col("best_before").isNull() | (F.col(wer) < F.col("best_before")))
 
 
 def weighted_loss(batches: DataFrame, by: list[str], loss: str = "loss", n: str = "n_tokens", plain: bool = False) -> DataFrame:

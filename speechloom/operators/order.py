@@ -46,6 +46,37 @@ def global_shuffle(df: DataFrame, seed: int, key: str, out: str = "idx", portabl
     return global_index(df.withColumn("__k", place), "__k", [key], out).drop("__k")
 
 
+def prefix_scan(df: DataFrame, by: list[str], order: list[str], value: str, out: str, how: str = "sum", earlier: bool = False) -> DataFrame:
+    """df with ``out``: the running sum, minimum or maximum of a column up to each row of its group, or with ``earlier`` up to the
+    row before it (null for the first).
+
+    All groups' rows are put in one order by ranges; every (group, range) is combined by itself, the few results of a group's
+    ranges are scanned, and each range starts from what came before it. So one long group is the work of many tasks. Null
+    values are passed over; rows that ``by`` and ``order`` don't tell apart are taken in any order.
+    """
+    combine = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    columns = [*by, *order]
+    rows = global_index(df, columns[0], columns[1:], "__i").withColumn("__range", F.floor(F.col("__i") / RANGE_ROWS))
+    one = [F.lit(0), *(F.col(c) for c in by)]
+    parts = rows.groupBy(*by, "__range").agg(combine(value).alias("__part"))
+    parts = parts.select(*(F.col(c).alias(f"__by_{c}") for c in by), F.col("__range").alias("__in"), combine("__part").over(Window.partitionBy(F.lit(0), *(F.col(c) for c in by)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    here = combine(value).over(Window.partitionBy(*one[1:], "__range").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1 if earlier else 0))
+    rows = rows.withColumn("__here", here)
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+    rows = rows.join(parts, [*same, F.col("__range") == F.col("__in")])
+    if how == "sum":
+        joined = F.when(F.col("__here").isNotNull() | F.col("__before").isNotNull(), F.coalesce("__here", F.lit(0)) + F.coalesce("__before", F.lit(0)))
+    else:
+        joined = (F.least if how == "min" else F.greatest)("__here", "__before")
+    return rows.withColumn(out, joined.cast(combine_type(df, value, how))).select(*df.columns, out)
+
+
+def combine_type(df: DataFrame, value: str, how: str) -> str:
+    """The type of a running result: sums of whole numbers are longs."""
+    kind = dict(df.dtypes)[value]
+    return "bigint" if how == "sum" and kind in ("tinyint", "smallint", "int") else "double" if how == "sum" and kind == "float" else kind
+
+
 def exact_percentiles(values: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
     """(by, n, p array<double>): the percentiles of each group's non-null values, between two values in proportion.
 
