@@ -14,6 +14,7 @@ from .packing import harmonic_pack
 from .samples import held_out
 from .secrets import PATTERNS, find_secrets
 from .shared import table
+from . import structure_queries
 from .substring_dedup import remove_repeats
 from .top_k import top_k
 from .toxicity import fit_documents, score_toxicity
@@ -76,7 +77,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_language_id, op4_url_filter, op5_near_duplicates, op6_top_k, op7_secret_scan, op8_toxicity, op9_harmonic_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_language_id, op4_url_filter, op5_near_duplicates, op6_top_k, op7_secret_scan, op8_toxicity, op9_harmonic_packing, op10_substring_dedup)} | structure_queries.QUERIES
 
 ORACLES = {
     "op2_lm_scores": r"""
@@ -136,4 +137,4 @@ agg AS (SELECT doc_id, count(*) FILTER (g) AS n_removed, string_agg(word, ' ' OR
 SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, CAST(coalesce(a.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(a.kept, '')) AS kept_sha256
 FROM t LEFT JOIN agg a ON a.doc_id = t.doc_id
 """,
-}
+} | structure_queries.ORACLES
