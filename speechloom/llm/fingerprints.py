@@ -40,11 +40,12 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]  # a slice shares its parent's buffer
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and the number of words before each document."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and the number of words before each document. ``between`` tells which bytes are not
+    of a word."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     inside = np.zeros(hi - lo + 2, dtype=bool)
-    np.logical_not(_IS_SPACE[data[lo:hi]], out=inside[1:-1])
+    np.logical_not(between[data[lo:hi]], out=inside[1:-1])
     edge = np.zeros(hi - lo + 2, dtype=bool)  # a document begins here
     edge[offsets - lo + 1] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[1:-1]))

@@ -1,4 +1,4 @@
-"""The registered queries of sharding and conversation repair, and their DuckDB SQL."""
+"""The registered queries of source divergence, sharding and conversation repair, and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from .conversation_repair import Conversations, damage
 from .hilbert_shards import BITS, curve_table, hilbert_shards
 from .shared import durable, table
+from .source_divergence import source_divergence
 
 SHARDS = 8
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -25,7 +30,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.digests(durable(found.audits()))
 
 
-QUERIES = {f.__name__: f for f in (op12_hilbert_sharding, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op11_source_divergence, op12_hilbert_sharding, op13_conversation_repair)}
 
 #: crc_table.t: the 256 steps of CRC-32 by the reversed polynomial.
 _CRC = """crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i)))"""
@@ -39,6 +44,22 @@ def _crc32(text: str) -> str:
 _WS = r"\x20\x09-\x0D"
 
 ORACLES = {
+    "op11_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT rid, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+a AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + CAST(1000000000 * (n + 1) AS HUGEINT) // (CAST(sum(n) OVER (PARTITION BY lang, source) AS HUGEINT) + v) AS p FROM a JOIN size USING (lang)),
+q AS (SELECT lang, term, 1 + CAST(1000000000 * (n + 1) AS HUGEINT) // (CAST(sum(n) OVER (PARTITION BY lang) AS HUGEINT) + v) AS q FROM (SELECT lang, term, sum(n) AS n FROM a GROUP BY lang, term) JOIN size USING (lang)),
+f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+ UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 200
+""",
     "op12_hilbert_sharding": f"""
 WITH {_CRC},
 d AS (SELECT doc_id, lang, source, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, CAST({_crc32("coalesce(text, '')")} AS BIGINT) AS text_crc32 FROM documents, crc_table),
