@@ -74,7 +74,8 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
 WITH RECURSIVE {_CRC},
 k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations, crc_table),
 d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) FROM k WHERE kind <> 0),
-o AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth, substring(role, 1, 1) AS ini, lag(substring(role, 1, 1)) OVER w AS before FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substring(role, 1, 1) AS ini FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
 f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{_WS}]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][{_WS}]*$') THEN 't' ELSE '' END AS fault FROM o),
 ins AS (SELECT * FROM (VALUES ('E', '', 0, 'E'), ('S', '', 0, 'S'), ('U', '', 0, 'U'), ('A', '', 0, 'A'), ('E', 'I', 2, 'U'), ('S', 'I', 2, 'U'), ('U', 'I', 2, 'A'), ('A', 'I', 2, 'U'), ('E', 'II', 4, 'A'), ('S', 'II', 4, 'A'), ('U', 'II', 4, 'U'), ('A', 'II', 4, 'A')) x(s, e, c, t)),
 act AS (SELECT * FROM (VALUES ('D', 'E', 'E', ''), ('D', 'S', 'S', ''), ('D', 'U', 'U', ''), ('D', 'A', 'A', ''), ('K', 'E', 'S', 's'), ('Y', 'E', 'U', 'u'), ('Y', 'S', 'U', 'u'), ('Y', 'U', 'A', 'a'), ('Y', 'A', 'U', 'u')) x(e, s, t, ini)),
