@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import global_index, portable_key
+from ..storage import durable
+from .cuts import greedy_cuts
+from .order import global_index, global_shuffle, portable_key, ranked, seeded_key
 
 
 def bucket_batches(lens: DataFrame, batch: int, mult: int = 100, drop_last: bool = False, key: str = "id", length: str = "len", seed: int = 0) -> DataFrame:
@@ -24,32 +26,48 @@ def bucket_batches(lens: DataFrame, batch: int, mult: int = 100, drop_last: bool
     return rows
 
 
-def token_budget_batches(lens: DataFrame, budget: int, mode: str = "padded", bucket_rows: int = 10_000, min_size: int = 1, key: str = "id", length: str = "len", seed: int = 0) -> DataFrame:
-    """(key, len, bucket, batch_no): rows taken in order within buckets of about bucket_rows and cut where the budget ends.
+def token_budget_batches(lens: DataFrame, budget: int, mode: str = "padded", mult: int = 100, min_size: int = 1, key: str = "id", length: str = "len", seed: int | str = 0, lane: str | None = None, portable: bool = False) -> DataFrame:
+    """(lane if given, key, len, bucket, batch_no, place): rows taken in order and cut where the budget ends; place is that in the
+    order, batch_no counts from 0 in each bucket.
 
-    ``padded``: a batch closes before (n + 1) * longest would pass the budget; ``sum``: before the sum would; in both the
-    order is the seed's. ``sorted``: padded, in order of length. A row over the budget is a batch by itself. Batches under
-    min_size are left out. The scan is sequential, so it runs inside buckets, which run in parallel.
+    ``padded``, for training: rows sorted by length fill buckets of mult * (budget / longest) rows, which are shuffled by the seed,
+    and a batch closes before (n + 1) * longest would pass the budget. ``sum``: one bucket in the seed's order, a batch
+    closes before its sum would pass the budget. ``sorted``, for evaluation: padded, in one bucket in order of length. A row
+    over the budget is a batch by itself; batches under min_size are left out; lengths under 1 count as 1. Of a lane (a rank,
+    say; a whole number), each has an order and buckets of its own. portable: orders that other engines can compute.
+
+    The scan is sequential in a bucket, which may hold the whole table: greedy_cuts() does it in many tasks.
     """
     if mode not in ("padded", "sum", "sorted"):
         raise ValueError(f"unknown mode {mode}")
-    ordered = lens.withColumn("__k", F.xxhash64(F.lit(seed), F.col(key)))
-    rows = global_index(ordered, length if mode == "sorted" else "__k", [key], "__idx").withColumn("bucket", F.floor(F.col("__idx") / bucket_rows))
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__idx")
-        numbers, no, n, longest, total = [], 0, 0, 0, 0
-        for size in rows[length].tolist():
-            if n and ((total + size) if mode == "sum" else (n + 1) * max(longest, size)) > budget:
-                no, n, longest, total = no + 1, 0, 0, 0
-            n, longest, total = n + 1, max(longest, size), total + size
-            numbers.append(no)
-        rows = rows.assign(batch_no=numbers)
-        rows = rows[rows.groupby("batch_no")[length].transform("size") >= min_size]
-        return rows[[key, length, "bucket", "batch_no"]]
-
-    kinds = dict(lens.dtypes)
-    return rows.select(key, length, "bucket", "__idx").groupBy("bucket").applyInPandas(cut, f"{key} {kinds[key]}, {length} {kinds[length]}, bucket long, batch_no long")
+    shuffled = portable_key(seed, F.col(key)) if portable else seeded_key(seed, F.col(key))
+    rows = lens.select(*([F.col(lane).cast("long").alias("__rank")] if lane else [F.lit(0).cast("long").alias("__rank")]), key, length).withColumn("__k", shuffled)
+    bucket = F.lit(0).cast("long")
+    if mode == "padded":
+        longest = lens.agg(F.max(length).alias("m")).first()["m"] or 1
+        size = max(1, budget // max(1, longest)) * mult
+        rows = ranked(rows, "__rank", [length, key], "__idx")
+        bucket = F.floor(F.col("__idx") / size)
+    rows = durable(rows.withColumn("bucket", bucket))
+    wide = (rows.agg(F.max("bucket").alias("m")).first()["m"] or 0) + 1
+    rows = rows.withColumn("__bucket", F.col("__rank") * wide + F.col("bucket"))
+    order = [length, key] if mode == "sorted" else ["__k", key]
+    rows = ranked(rows, "__bucket", order, "place")
+    rows = greedy_cuts(rows, "__bucket", ["place"], length, budget, "sum" if mode == "sum" else "padded")
+    if min_size > 1:
+        rows = durable(rows)
+        whole = rows.groupBy("__bucket", "batch_no").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_size)
+        rows = rows.join(whole.drop("__n"), ["__bucket", "batch_no"], "left_semi")
+    return rows.select(*([F.col("__rank").alias(lane)] if lane else []), key, length, "bucket", "batch_no", "place")
+
+
+def deal_batches(batches: DataFrame, replicas: int, seed: int | str = 0, portable: bool = False) -> DataFrame:
+    """(bucket, batch_no, idx, replica, turn): the batches in the seed's order, the first ones again until they divide by the replicas,
+    and dealt in turn. A table of batches, not of rows: join it to them by (bucket, batch_no)."""
+    known = batches.select("bucket", "batch_no").distinct().withColumn("__batch", F.concat_ws("/", "bucket", "batch_no"))
+    dealt = durable(global_shuffle(known, seed, "__batch", "idx", portable).drop("__batch"))
+    padded = pad_to_replicas(dealt, replicas)
+    return padded.withColumn("replica", F.pmod("idx", F.lit(replicas)).cast("int")).withColumn("turn", F.floor(F.col("idx") / replicas))
 
 
 def pad_to_replicas(batches: DataFrame, n: int, total: int | None = None, idx: str = "idx") -> DataFrame:

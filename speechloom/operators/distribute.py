@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import global_index, portable_key, seeded_key
+from .cuts import greedy_cuts
+from .order import global_index, portable_key, ranked, seeded_key  # noqa: F401 (ranked: for callers)
 
 
 def assign_round_robin(df: DataFrame, n: int, idx: str = "idx", out: str = "shard") -> DataFrame:
@@ -32,14 +33,12 @@ def shard_balanced(df: DataFrame, n: int, total: int | None = None, idx: str = "
 
 
 def shard_by_bytes(df: DataFrame, max_bytes: int, size: str, rank: str = "rank", pos: str = "pos", step: int = 500, out: str = "shard") -> DataFrame:
-    """Within a rank, a new shard once the bytes so far pass max_bytes, looked at every ``step`` rows.
-
-    The shard is the bytes before a row's step divided by max_bytes: steps are never cut, and a shard overshoots by one step.
-    """
+    """Within a rank, a new shard once its bytes have come to max_bytes, looked at after every ``step`` rows; the count then starts
+    anew. Steps are never cut, so a shard overshoots by less than one. ``rank`` and ``pos`` are whole numbers."""
     rows = df.withColumn("__step", F.floor(F.col(pos) / step))
     steps = rows.groupBy(rank, "__step").agg(F.sum(size).alias("__b"))
-    before = F.coalesce(F.sum("__b").over(Window.partitionBy(rank).orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(steps.withColumn(out, F.floor(before / max_bytes).cast("int")).drop("__b"), [rank, "__step"]).drop("__step")
+    cut = greedy_cuts(steps, rank, ["__step"], "__b", max_bytes, "reach", out)
+    return rows.drop(out).join(cut.select(rank, "__step", F.col(out).cast("int").alias(out)), [rank, "__step"]).drop("__step")
 
 
 def write_partitioned_shards(df: DataFrame, n: int, path: str, idx: str = "idx") -> None:
@@ -47,13 +46,6 @@ def write_partitioned_shards(df: DataFrame, n: int, path: str, idx: str = "idx")
     assign_round_robin(df, n, idx).write.partitionBy("shard").parquet(path)
 
 
-def ranked(df: DataFrame, rank: str, order: str, out: str = "pos") -> DataFrame:
-    """df with each row's 0-based place in its rank, by the index over (rank, order); no task gets a whole rank."""
-    rows = global_index(df, rank, [order], "__idx")
-    first = F.broadcast(rows.groupBy(F.col(rank).alias("__rank")).agg(F.min("__idx").alias("__first")))  # a row a rank
-    return rows.join(first, F.col(rank).eqNullSafe(F.col("__rank"))).withColumn(out, F.col("__idx") - F.col("__first")).select(*df.columns, out)
-
-
 def rank_sizes(df: DataFrame, rank: str = "rank") -> DataFrame:
     return df.groupBy(rank).agg(F.count(F.lit(1)).alias("n"))
 

@@ -77,6 +77,13 @@ def combine_type(df: DataFrame, value: str, how: str) -> str:
     return "bigint" if how == "sum" and kind in ("tinyint", "smallint", "int") else "double" if how == "sum" and kind == "float" else kind
 
 
+def ranked(df: DataFrame, rank: str, order: str | list[str], out: str = "pos") -> DataFrame:
+    """df with each row's 0-based place in its rank, by the index over (rank, order); no task gets a whole rank."""
+    rows = global_index(df, rank, [order] if isinstance(order, str) else order, "__idx")
+    first = F.broadcast(rows.groupBy(F.col(rank).alias("__of")).agg(F.min("__idx").alias("__first")))  # a row a rank
+    return rows.join(first, F.col(rank).eqNullSafe(F.col("__of"))).withColumn(out, F.col("__idx") - F.col("__first")).select(*df.columns, out)
+
+
 def exact_percentiles(values: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
     """(by, n, p array<double>): the percentiles of each group's non-null values, between two values in proportion.
 

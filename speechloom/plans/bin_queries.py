@@ -199,16 +199,22 @@ _plan_query("pack_knapsack_corpus", lambda rows: P.pack_knapsack(rows, 2048, buc
 _plan_query("pack_first_fit", lambda rows: P.pack_first_fit(rows, 2048, bucket=200))
 
 
+_GREEDY = """, walk AS (SELECT bucket, pos, id, len, 0 AS batch_no, 1 AS n, len AS most, len AS total FROM placed WHERE pos = 0
+UNION ALL SELECT p.bucket, p.pos, p.id, p.len, CASE WHEN {over} THEN batch_no + 1 ELSE batch_no END, CASE WHEN {over} THEN 1 ELSE n + 1 END, CASE WHEN {over} THEN p.len ELSE greatest(most, p.len) END, CASE WHEN {over} THEN p.len ELSE total + p.len END
+ FROM walk JOIN placed p ON p.bucket = walk.bucket AND p.pos = walk.pos + 1)
+SELECT id, len, bucket, CAST(batch_no AS BIGINT) AS batch_no, pos AS place FROM walk"""
+
+
 def _budget_query(name, mode):
-    """Every row once, in a batch that keeps the budget or is that row alone; full says that the next batch's rows would not
-    all have fitted too, as far as their count tells."""
-    cost = {"padded": "max(len) * count(*)", "sorted": "max(len) * count(*)", "sum": "sum(len)"}[mode]
+    """Every row with its batch, against a walk through the rows one by one."""
+    over = "total + p.len > 8000" if mode == "sum" else "(n + 1) * greatest(most, p.len) > 8000"
+    by = "len, id" if mode == "sorted" else "md5('0:' || id), id"
+    bucket = "(row_number() OVER (ORDER BY len, id) - 1) // (greatest(1, 8000 // max(len) OVER ()) * 20)" if mode == "padded" else "CAST(0 AS BIGINT)"
+    placed = f", filled AS (SELECT id, len, {bucket} AS bucket FROM lengths), placed AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {by}) - 1 AS pos FROM filled)"
 
-    @query(name, duck("lengths", "SELECT id, len, true AS fits FROM lengths"))
+    @query(name, duck("lengths", placed + _GREEDY.format(over=over)).replace("WITH", "WITH RECURSIVE", 1))
     def run(spark, d):
-        rows = B.token_budget_batches(I.lengths(spark, d), 8000, mode)
-        whole = rows.groupBy("bucket", "batch_no").agg((F.expr(f"{cost} <= 8000 or count(*) = 1")).alias("fits"))
-        return rows.join(whole, ["bucket", "batch_no"]).select("id", "len", "fits")
+        return B.token_budget_batches(I.lengths(spark, d), 8000, mode, mult=20, portable=True)
 
 
 _budget_query("token_budget_batches", "padded")
@@ -285,7 +291,9 @@ def shard_balanced(spark, d):
     return D.shard_balanced(_orders(spark, d), 7).select("o_orderkey", "shard")
 
 
-@query("shard_by_bytes", _ORD + ", b AS (SELECT *, o_orderkey % 1000 + 1 AS bytes, pos // 50 AS step FROM p), s AS (SELECT rank, step, coalesce(sum(sum(bytes)) OVER (PARTITION BY rank ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b GROUP BY 1, 2) SELECT o_orderkey, rank, CAST(before // 50000 AS INTEGER) AS shard FROM b JOIN s USING (rank, step)")
+@query("shard_by_bytes", _ORD.replace("WITH", "WITH RECURSIVE", 1) + """, b AS (SELECT *, o_orderkey % 1000 + 1 AS bytes, pos // 50 AS step FROM p), s AS (SELECT rank, step, sum(bytes) AS bytes FROM b GROUP BY 1, 2),
+w AS (SELECT rank, step, 0 AS shard, bytes AS held FROM s WHERE step = 0 UNION ALL SELECT s.rank, s.step, CASE WHEN held >= 50000 THEN shard + 1 ELSE shard END, CASE WHEN held >= 50000 THEN bytes ELSE held + bytes END FROM w JOIN s ON s.rank = w.rank AND s.step = w.step + 1)
+SELECT o_orderkey, rank, CAST(shard AS INTEGER) AS shard FROM b JOIN w USING (rank, step)""")
 def shard_by_bytes(spark, d):
     rows = D.ranked(_orders(spark, d), "rank", "o_orderkey").withColumn("bytes", F.col("o_orderkey") % 1000 + 1)
     return D.shard_by_bytes(rows, 50_000, "bytes", step=50).select("o_orderkey", "rank", "shard")

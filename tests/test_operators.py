@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from speechloom.operators import alignment as L
 from speechloom.operators import batching as B
+from speechloom.operators import cuts
 from speechloom.operators import distribute as D
 from speechloom.operators import metrics as M
 from speechloom.operators import packing as P
@@ -98,15 +100,84 @@ def test_materialise_and_drop(spark):
     assert flat.agg(F.max(F.array_max("attention_mask"))).first()[0] == 1
 
 
+def scanned(sizes, limit, rule):
+    """Batch numbers of a scan through the rows one by one."""
+    out, no, held = [], 0, []
+    for size in (max(1, x or 1) for x in sizes):
+        over = {"sum": sum(held) + size > limit, "padded": (len(held) + 1) * max([*held, size]) > limit, "reach": sum(held) >= limit}[rule]
+        if held and over:
+            no, held = no + 1, []
+        held.append(size)
+        out.append(no)
+    return out
+
+
+@pytest.mark.parametrize("rule", ["sum", "padded", "reach"])
+def test_next_starts(rule):
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.choice([1, 2, 3, rng.randrange(1, 40), 500]) for _ in range(rng.randrange(1, 60))]
+        before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        following = cuts.next_starts(rule, 60, before, np.array(sizes))
+        for i in range(len(sizes)):
+            numbers = scanned(sizes[i:], 60, rule)
+            assert following[i] == i + numbers.count(0)
+
+
+@pytest.mark.parametrize("rule", ["sum", "padded", "reach"])
+@pytest.mark.parametrize(("range_rows", "parts"), [(1, 1), (7, 5), (1 << 16, 3)])
+def test_greedy_cuts(spark, monkeypatch, rule, range_rows, parts):
+    """Batches are those of a sequential scan, whatever the ranges and partitions, with rows of many times the limit and no size."""
+    monkeypatch.setattr(cuts, "RANGE_ROWS", range_rows)
+    rng = random.Random(range_rows)
+    lanes = {lane: [rng.choice([None, 0, 1, 3, rng.randrange(1, 30), rng.randrange(1, 30), rng.choice([50, 700])]) for _ in range(n)] for lane, n in ((0, 400), (3, 1), (5, 90))}
+    lanes[9] = [4] * 200  # starts that never meet
+    rows = [(lane, i, size) for lane, sizes in lanes.items() for i, size in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "lane long, pos long, size int").repartition(parts)
+    got = {(r.lane, r.pos): r.batch_no for r in cuts.greedy_cuts(df, "lane", ["pos"], "size", 50, rule).collect()}
+    assert got == {(lane, i): no for lane, sizes in lanes.items() for i, no in enumerate(scanned(sizes, 50, rule))}
+
+
+def test_greedy_cuts_of_nothing(spark):
+    empty = spark.createDataFrame([], "lane long, pos long, size int")
+    assert cuts.greedy_cuts(empty, "lane", ["pos"], "size", 5, "sum").collect() == []
+    with pytest.raises(ValueError):
+        cuts.greedy_cuts(empty, "lane", ["pos"], "size", 0, "sum")
+
+
 @pytest.mark.parametrize("mode", ["padded", "sum", "sorted"])
-def test_token_budget(spark, mode):
-    rows = lengths(spark, top=60)
-    got = defaultdict(list)
-    for r in B.token_budget_batches(rows, 200, mode, bucket_rows=100).collect():
-        got[(r.bucket, r.batch_no)].append(r.len)
-    assert sum(map(len, got.values())) == 300
-    for v in got.values():
-        assert len(v) == 1 or (sum(v) if mode == "sum" else len(v) * max(v)) <= 200
+def test_token_budget(spark, monkeypatch, mode):
+    monkeypatch.setattr(cuts, "RANGE_ROWS", 20)
+    rows = lengths(spark, top=60).withColumn("rank", F.col("id") % 2)
+    got = B.token_budget_batches(rows, 200, mode, mult=15, lane="rank")
+    assert got.columns == ["rank", "id", "len", "bucket", "batch_no", "place"]
+    buckets, ranks = defaultdict(list), defaultdict(list)
+    for r in got.collect():
+        buckets[r.rank, r.bucket].append((r.place, r.len, r.batch_no, r.id))
+        ranks[r.rank].append((r.len, r.id, r.bucket))
+    longest = max(x[0] for v in ranks.values() for x in v)
+    for v in ranks.values():
+        assert [b for *_, b in sorted(v)] == ([i // (200 // longest * 15) for i in range(150)] if mode == "padded" else [0] * 150)
+    for v in buckets.values():
+        v.sort()
+        assert [x[0] for x in v] == list(range(len(v)))
+        assert [x[2] for x in v] == scanned([x[1] for x in v], 200, "sum" if mode == "sum" else "padded")
+        assert ([x[1] for x in v] == sorted(x[1] for x in v)) == (mode == "sorted")
+    again = B.token_budget_batches(rows.repartition(7), 200, mode, mult=15, lane="rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
+    kept = B.token_budget_batches(rows, 200, mode, mult=15, lane="rank", min_size=4).groupBy("rank", "bucket", "batch_no").count().collect()
+    sizes = [n for v in buckets.values() for n in Counter(x[2] for x in v).values()]
+    assert sorted(r["count"] for r in kept) == sorted(n for n in sizes if n >= 4)
+
+
+def test_deal_batches(spark):
+    batches = B.token_budget_batches(lengths(spark, top=60), 200, mult=15)
+    n = batches.select("bucket", "batch_no").distinct().count()
+    dealt = B.deal_batches(batches, 7, seed=4).collect()
+    assert len(dealt) == -(-n // 7) * 7 and len({(r.bucket, r.batch_no) for r in dealt}) == n
+    assert Counter(r.replica for r in dealt) == {i: -(-n // 7) for i in range(7)} and all((r.idx % 7, r.idx // 7) == (r.replica, r.turn) for r in dealt)
+    first = {r.idx: (r.bucket, r.batch_no) for r in dealt}
+    assert all(first[i] == first[i - n] for i in range(n, len(dealt)))
 
 
 def test_bucket_batches_drop_last(spark):
@@ -130,7 +201,7 @@ def test_shard_sizes(spark):
     assert D.shard_balanced(rows.limit(3), 10).select("shard").distinct().count() == 3
     ranked = rows.withColumn("rank", F.lit(0)).withColumn("pos", F.col("idx"))
     by_shard = D.shard_by_bytes(ranked, 1000, "len", step=10).groupBy("shard").agg(F.sum("len").alias("b")).orderBy("shard").collect()
-    assert all(r.b <= 1000 + 10 * 130 for r in by_shard) and [r.shard for r in by_shard] == sorted(r.shard for r in by_shard)
+    assert all(1000 <= r.b <= 1000 + 10 * 130 for r in by_shard[:-1]) and [r.shard for r in by_shard] == list(range(len(by_shard)))
 
 
 def test_tag_spans_nested(spark):
