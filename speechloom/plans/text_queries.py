@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import audio as A
 from ..functions import text as X
+from ..functions.audio_headers import measure
 from ..operators import metrics as M
 from ..operators import sequences as S
 from ..operators.order import global_index
@@ -67,6 +68,13 @@ def estimate_tokens(spark, d):
     return rows.select("doc_id", "samples", A.estimate_tokens(F.col("samples"), F.lit(1280), 256).alias("tokens"), A.estimate_tokens_of_frames(F.col("n_words"), 4, 64).alias("by_frames"))
 
 
+@query("audio_headers", duck("utts", """SELECT doc_id, CASE WHEN ms > 0 THEN (['flac', 'wav', 'opus', NULL])[doc_id % 4 + 1] END AS kind, CASE WHEN ms > 0 THEN CAST(r AS BIGINT) END AS rate, CASE WHEN ms > 0 THEN CAST(([1, 2, 2, NULL])[doc_id % 4 + 1] AS INTEGER) END AS channels, CASE WHEN ms > 0 THEN CAST(ms * r // 1000 AS BIGINT) END AS frames,
+ CAST(least(coalesce(CASE WHEN ms > 0 THEN ms * r // 1000 * 16000 // r END, length(transcript) * 16000 // 14), 480000) AS BIGINT) AS samples
+ FROM (SELECT *, ([24000, 44000, 48000, NULL])[doc_id % 4 + 1] AS r FROM (SELECT *, greatest(audio_ms, 0) AS ms FROM utts))"""))
+def audio_headers(spark, d):
+    return measure(I.audio_files(spark, d), "content", F.col("transcript"), 480_000).select("doc_id", "header.kind", "header.rate", "header.channels", "header.frames", "samples")
+
+
 @query("frame_count", duck("utts", """SELECT doc_id, CAST(f AS BIGINT) AS valid, CAST(len(list_filter(range(1, 101), lambda i: i <= f)) AS BIGINT) AS set_bits
  FROM (SELECT doc_id, least(ceil(floor(greatest(audio_ms, 0) * 16 * 24000 / 16000) / 320), 100) AS f FROM utts)"""))
 def frame_count(spark, d):
