@@ -191,20 +191,23 @@ def _status():
 
 @query("stream_progress", "SELECT date_trunc('hour', ts) AS \"start\", user_id AS worker, count(*) FILTER (event_id % 5 = 0) AS done, count(*) FILTER (event_id % 5 = 1) AS skip, count(*) FILTER (event_id % 5 > 1) AS fail, count(*) FILTER (event_id % 5 = 0) / 3600 AS rate FROM events GROUP BY 1, 2")
 def stream_progress(spark, d):
+    folder = new_folder(spark, "progress")
     log = _stream(spark, d, "events").select(F.col("user_id").alias("worker"), _status().alias("status"), F.col("ts").cast("timestamp").alias("ts"))
-    return jobs.run_available(jobs.stream_progress(log), new_folder(spark, "progress"), "complete")
+    closed = jobs.run_available(jobs.stream_progress(log), folder)
+    return closed.unionByName(jobs.held_progress(spark, f"{folder}/checkpoint"))
 
 
 @query("stream_totals", """WITH l AS (SELECT user_id AS run, event_id // 100 AS split_no, event_id % 100 + 1 AS step FROM events), e AS (SELECT run, split_no, sum(max(step)) OVER (PARTITION BY run ORDER BY split_no) - max(step) AS before FROM l GROUP BY 1, 2)
 SELECT run, split_no, step, CAST(step + before AS BIGINT) AS total_step, (split_no + step / 100) / 4 AS total_epoch FROM l JOIN e USING (run, split_no)""")
 def stream_totals(spark, d):
-    log = _stream(spark, d, "events").select(F.col("user_id").alias("run"), F.floor(F.col("event_id") / 100).alias("split_no"), (F.col("event_id") % 100 + 1).alias("step"), ((F.col("event_id") % 100 + 1) / 100).alias("epoch"))
-    return jobs.run_available(jobs.stream_totals(log, 4), new_folder(spark, "totals"))
+    log = lambda rows: rows.select(F.col("user_id").alias("run"), F.floor(F.col("event_id") / 100).alias("split_no"), (F.col("event_id") % 100 + 1).alias("step"), ((F.col("event_id") % 100 + 1) / 100).alias("epoch"))
+    offsets = jobs.run_available(jobs.stream_split_offsets(log(_stream(spark, d, "events"))), new_folder(spark, "totals"), "update")
+    return jobs.totals(log(table(spark, d, "events")), offsets, 4)
 
 
-@query("stream_new_results", "SELECT CAST(event_id AS VARCHAR) AS name, date_trunc('second', ts) AS saved_at, count(*) AS seen FROM events GROUP BY 1, 2")
+@query("stream_new_results", "SELECT CAST(event_id AS VARCHAR) AS name, date_trunc('millisecond', max(ts)) AS saved_at, count(*) AS seen FROM events GROUP BY 1")
 def stream_new_results(spark, d):
     folder = new_folder(spark, "results")
     items = _stream(spark, d, "events").select(F.col("event_id").cast("string").alias("name"), F.col("ts").cast("timestamp").alias("saved_at"))
-    due = jobs.run_available(jobs.stream_new_results(items, 60), folder)
+    due = jobs.run_caught_up(jobs.stream_new_results(items, 60), folder)
     return due.unionByName(jobs.held_results(spark, f"{folder}/checkpoint"))  # by now all are old enough

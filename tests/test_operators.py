@@ -332,17 +332,6 @@ def test_streams(spark, tmp_path):
     assert max(fill.values()) <= 64 and all(sorted(b for lane_, b in fill if lane_ == lane) == list(range(sum(lane_ == lane for lane_, _ in fill))) for lane in (0, 1))
 
 
-def test_stream_totals(spark, tmp_path):
-    """Splits that go on over micro-batches."""
-    rows = [("r", s, n, n / 4) for s in range(3) for n in range(1, 5)] + [("q", 1, n, n / 4) for n in (1, 2)]
-    schema = "run string, split_no long, step long, epoch double"
-    for i in range(0, len(rows), 3):
-        spark.createDataFrame(rows[i : i + 3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
-    log = jobs.read_stream(spark, str(tmp_path / "log"), spark.createDataFrame([], schema).schema, files_per_trigger=1)
-    got = {(r.run, r.split_no, r.step): (r.total_step, r.total_epoch) for r in jobs.run_available(jobs.stream_totals(log, 3), str(tmp_path / "cp")).collect()}
-    assert got == {(r, s, n): (n + (4 * s if r == "r" else 0), (s + e) / 3) for r, s, n, e in rows}
-
-
 def test_unknown_names(spark):
     with pytest.raises(ValueError):
         M.select_datasets(spark.createDataFrame([("x",)], "dataset string"), ["y"], ["x"])
