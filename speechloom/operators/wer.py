@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PUNCTUATION = r"""[!-/:-@\[-`{-~]"""
-#: Code points beyond the first plane: the most different words that a pair can have and still be spelt.
-MAX_WORDS = 0x10FFFF - 0xFFFF
 #: Cells of the tables of one batch of word_diff; a pair with more keeps only some rows of its table.
 CELLS = 1 << 22
 
@@ -26,22 +26,103 @@ def wer_words(text: Column, mode: str = "plain") -> Column:
     return F.filter(F.split(F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " ")), " "), lambda w: w != "")
 
 
-def word_distance(ref: Column, hyp: Column) -> Column:
-    """Edit distance of two word arrays: each distinct word of the pair becomes one character, and Spark's levenshtein
-    compares the strings. Null for pairs of more than MAX_WORDS distinct words, whose table no task could fill."""
-    near = lambda w, v: F.chr(F.array_position(v, w))
-    far = lambda w, v: F.decode(F.unhex(F.lpad(F.hex(F.array_position(v, w) + 0xFFFF), 8, "0")), "UTF-32")
-    spell = lambda ws, v, letter: F.array_join(F.transform(ws, lambda w: letter(w, v)), "")
-    pair = F.array(F.struct(ref.alias("r"), hyp.alias("h"), F.array_distinct(F.concat(ref, hyp)).alias("v")))  # its lambda works the vocabulary out once
-    between = lambda p, letter: F.levenshtein(spell(p["r"], p["v"], letter), spell(p["h"], p["v"], letter))
-    some = lambda p: F.when(F.size(p["v"]) <= 255, between(p, near)).when(F.size(p["v"]) <= MAX_WORDS, between(p, far))
-    return F.transform(pair, lambda p: F.when(p["r"] == p["h"], 0).otherwise(some(p)))[0]
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two arrays of codes begin with alike."""
+    n = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:n] != b[:n])
+    return int(unlike[0]) if len(unlike) else n
+
+
+def long_distance(ref: np.ndarray, hyp: np.ndarray) -> int:
+    """The edit distance of two arrays of codes, bit by bit over the whole reference at once (Myers), in one large integer."""
+    same = _common(ref, hyp)
+    ref, hyp = ref[same:], hyp[same:]
+    same = _common(ref[::-1], hyp[::-1])
+    ref, hyp = ref[: len(ref) - same], hyp[: len(hyp) - same]
+    n = len(ref)
+    if not n or not len(hyp):
+        return max(n, len(hyp))
+    where: dict[int, int] = {}
+    for i, code in enumerate(ref.tolist()):
+        where[code] = where.get(code, 0) | 1 << i
+    every, top = (1 << n) - 1, 1 << n - 1
+    up, down, score = every, 0, n
+    for code in hyp.tolist():
+        equal = where.get(code, 0)
+        across = ((((equal & up) + up) ^ up) | equal) & every
+        rise, fall = down | (every & ~(across | up)), up & across
+        score += bool(rise & top) - bool(fall & top)
+        rise, fall = (rise << 1 | 1) & every, fall << 1 & every
+        equal |= down
+        up, down = fall | (every & ~(equal | rise)), rise & equal
+    return score
+
+
+def _short_distances(keys: np.ndarray, r_at: np.ndarray, r_size: np.ndarray, h_keys: np.ndarray, h_at: np.ndarray, h_size: np.ndarray) -> np.ndarray:
+    """The same for many pairs at once, whose references have 1 to 64 words. Keys tell words and pairs apart."""
+    one = np.uint64(1)
+    whose = np.repeat(np.arange(len(r_at)), r_size)
+    place = np.arange(len(whose)) - np.repeat(np.cumsum(r_size) - r_size, r_size)
+    own = keys[r_at[whose] + place]
+    order = np.argsort(own, kind="stable")
+    known, first = np.unique(own[order], return_index=True)
+    masks = np.append(np.bitwise_or.reduceat(one << place[order].astype(np.uint64), first), np.uint64(0))
+    at = np.minimum(np.searchsorted(known, h_keys), len(known) - 1)
+    equals = masks[np.where(known[at] == h_keys, at, len(known))]
+    by_size = np.argsort(-h_size, kind="stable")
+    top = one << (r_size[by_size] - 1).astype(np.uint64)
+    up, down = np.full(len(top), np.uint64(2**64 - 1)), np.zeros(len(top), np.uint64)
+    score, start = r_size[by_size].astype(np.int64), h_at[by_size]
+    active = np.searchsorted(-h_size[by_size], -np.arange(int(h_size.max(initial=0))), side="left")
+    for j, k in enumerate(active.tolist()):
+        equal, u, d = equals[start[:k] + j], up[:k], down[:k]
+        across = (((equal & u) + u) ^ u) | equal
+        rise, fall = d | ~(across | u), u & across
+        score[:k] += ((rise & top[:k]) != 0).astype(np.int64) - ((fall & top[:k]) != 0)
+        rise, fall = rise << one | one, fall << one
+        equal = equal | d
+        up[:k], down[:k] = fall | ~(equal | rise), rise & equal
+    out = np.empty(len(top), np.int64)
+    out[by_size] = score
+    return out
+
+
+def edit_distances(refs: pa.ListArray, hyps: pa.ListArray) -> np.ndarray:
+    """The edit distance of each pair of lists, in time of words times words / 64. Null lists count as empty, null words as
+    one word."""
+    (ra, rw), (ha, hw) = ((x.offsets.to_numpy().astype(np.int64), x.values) for x in (refs, hyps))
+    coded = pa.concat_arrays([rw.cast(pa.string()), hw.cast(pa.string())]).dictionary_encode()
+    codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+    r_codes, h_codes = codes[: len(rw)], codes[len(rw) :]
+    r_size, h_size = np.diff(ra), np.diff(ha)
+    out = np.where(r_size == 0, h_size, 0)
+    short = np.flatnonzero((r_size > 0) & (r_size <= 64))
+    if len(short):
+        width = len(coded.dictionary) + 1
+        keyed = lambda words, at, size: words + np.repeat(np.arange(len(size)), size) * width
+        r_keys, h_keys = keyed(r_codes[ra[0] : ra[-1]], ra, r_size), keyed(h_codes[ha[0] : ha[-1]], ha, h_size)
+        out[short] = _short_distances(r_keys, ra[short] - ra[0], r_size[short], h_keys, ha[short] - ha[0], h_size[short])
+    for i in np.flatnonzero(r_size > 64).tolist():
+        out[i] = long_distance(r_codes[ra[i] : ra[i + 1]], h_codes[ha[i] : ha[i + 1]])
+    return out
+
+
+@F.arrow_udf(T.LongType())
+def word_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Edit distance of two word arrays of any length; null where either is."""
+    none = pc.or_(pc.is_null(ref), pc.is_null(hyp))
+    plain = lambda x: pa.ListArray.from_arrays(x.offsets, x.values)
+    return pc.if_else(none, pa.scalar(None, pa.int64()), pa.array(edit_distances(plain(_compact(ref)), plain(_compact(hyp))), pa.int64()))
+
+
+def _compact(lists: pa.Array) -> pa.ListArray:
+    return pa.concat_arrays([lists.fill_null([])]).cast(pa.list_(pa.string()))
 
 
 def pair_errors(pairs: DataFrame, ref: str = "rw", hyp: str = "hw") -> DataFrame:
-    """Pairs of word arrays with errs and ref_words, the words that the pair counts for: at least one. Both are null where
-    word_distance is."""
-    rows = pairs.withColumn("errs", word_distance(F.col(ref), F.col(hyp)).cast("long"))
+    """Pairs of word arrays with errs and ref_words, the words that the pair counts for: at least one. Both are null where an
+    array is."""
+    rows = pairs.withColumn("errs", word_distance(F.col(ref), F.col(hyp)))
     return rows.withColumn("ref_words", F.when(F.col("errs").isNotNull(), F.greatest(F.size(ref), F.lit(1))).cast("long"))
 
 

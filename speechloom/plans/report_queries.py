@@ -41,21 +41,21 @@ def running_wer(spark, d):
 _SPACED = r"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(array_to_string({}, ' ')), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 
-@query("word_diff", duck("pairs", f""", q AS (SELECT doc_id, seg, {_SPACED.format("rw")} AS r, {_SPACED.format("hw")} AS h FROM pairs WHERE ckpt = 1), v AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM q)
-SELECT doc_id, seg, CAST(levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(32 + list_position(v, x) AS INTEGER))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(32 + list_position(v, x) AS INTEGER))), '')) AS BIGINT) AS errs,
+@query("word_diff", duck("pairs", f""", q AS (SELECT doc_id, seg, ckpt, {_SPACED.format("rw")} AS r, {_SPACED.format("hw")} AS h FROM pairs), v AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM q)
+SELECT doc_id, seg, ckpt, CAST(levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(32 + list_position(v, x) AS INTEGER))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(32 + list_position(v, x) AS INTEGER))), '')) AS BIGINT) AS errs,
  CAST(len(r) AS BIGINT) AS ref_words, array_to_string(r, ' ') AS ref_said, array_to_string(h, ' ') AS hyp_said FROM v"""))
 def word_diff(spark, d):
     """Errors of each pair, and its two sides as the operations spell them."""
-    rows = I.pairs(spark, d).filter("ckpt = 1").select("doc_id", "seg", F.array_join("rw", " ").alias("ref"), F.array_join("hw", " ").alias("hyp"))
+    rows = I.pairs(spark, d).select("doc_id", "seg", "ckpt", F.array_join("rw", " ").alias("ref"), F.array_join("hw", " ").alias("hyp"))
     said = lambda side: F.array_join(F.filter(F.transform("ops", lambda o: o[side]), lambda w: w.isNotNull()), " ")
     counted = F.size(F.filter("ops", lambda o: o["op"] != "match")).cast("long")
     diffs = W.word_diff(rows).withColumn("errs", F.when(F.col("errs") == counted, F.col("errs")))
-    return diffs.select("doc_id", "seg", "errs", "ref_words", said("ref").alias("ref_said"), said("hyp").alias("hyp_said"))
+    return diffs.select("doc_id", "seg", "ckpt", "errs", "ref_words", said("ref").alias("ref_said"), said("hyp").alias("hyp_said"))
 
 
 @query("error_confusion")
 def error_confusion(spark, d):
-    rows = I.pairs(spark, d).filter("ckpt = 1").select("doc_id", "seg", F.array_join("rw", " ").alias("ref"), F.array_join("hw", " ").alias("hyp"))
+    rows = I.pairs(spark, d).select("doc_id", "seg", "ckpt", F.array_join("rw", " ").alias("ref"), F.array_join("hw", " ").alias("hyp"))
     return W.error_confusion(W.word_diff(rows))
 
 
