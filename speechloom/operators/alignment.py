@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_split
-from ..storage import durable
+from ..storage import stored
 from .order import exact_percentiles
 
 LOW_SCORE = 0.5
@@ -107,15 +107,15 @@ def alignment_quality(utts: DataFrame, words: DataFrame, key: str = "utterance_i
     overlaps (of gaps), of words out of bounds and of word-count mismatches (of utterances). An utterance without words or
     duration counts as a mismatch and for nothing else.
     """
-    gaps = word_gaps(words, key, "st_ms", "en_ms")
+    gaps = stored(word_gaps(words, key, "st_ms", "en_ms").select(key, "pos", "st_ms", "en_ms", "gap", "score_milli"))  # read twice, like the rows below
     per_utt = gaps.groupBy(key).agg(F.count(F.lit(1)).alias("aligned"), F.min("st_ms").alias("first"), F.max_by("en_ms", "pos").alias("last"))
     rows = utts.join(per_utt, key, "left").withColumn("used", F.coalesce(F.col("aligned") > 0, F.lit(False)) & (F.col("audio_ms") > 0))
     used = lambda c: F.when(F.col("used"), c)
     span = F.col("last") - F.col("first")
     rows = rows.withColumn("coverage", used(F.col("last") / F.col("audio_ms"))).withColumn("wps", used(F.when(span > 0, F.col("aligned") * 1000 / span)))
     off = ~F.col("used") | (F.abs(F.col("n_words") - F.col("aligned")) > F.greatest(F.lit(1), F.col("n_words") * 0.1))
-    rows = durable(rows.select(key, by, "used", "coverage", "wps", "last", "audio_ms", "n_words", "aligned"))  # read three times, as are the words
-    words_used = durable(gaps.join(rows.filter("used").select(key, by), key).select(by, "gap", "score_milli"))
+    rows = stored(rows.select(key, by, "used", "coverage", "wps", "last", "audio_ms", "n_words", "aligned"))
+    words_used = stored(gaps.join(rows.filter("used").select(key, by), key).select(by, "gap", "score_milli"))
     ratio = rows.select(by, F.explode(F.array(F.struct(F.lit("coverage").alias("m"), F.col("coverage").alias("v")), F.struct(F.lit("wps").alias("m"), F.col("wps").alias("v")))).alias("x"))
     timed = words_used.select(by, F.explode(F.array(F.struct(F.lit("gap").alias("m"), F.col("gap").cast("double").alias("v")), F.struct(F.lit("score").alias("m"), F.col("score_milli").cast("double").alias("v")))).alias("x"))
     points = exact_percentiles(ratio.unionByName(timed).select(by, "x.m", "x.v"), [by, "m"], "v", [0.05, 0.5, 0.95]).select(by, "m", "p")

@@ -9,6 +9,8 @@ from ..storage import durable
 
 #: Rows of a range of running totals.
 RANGE_ROWS = 1 << 16
+#: Bins of a histogram of values.
+BINS = 1 << 12
 
 
 def seeded_key(seed: int | str, *ids: Column) -> Column:
@@ -85,24 +87,34 @@ def ranked(df: DataFrame, rank: str, order: str | list[str], out: str = "pos") -
 
 
 def exact_percentiles(values: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
-    """(by, n, p array<double>): the percentiles of each group's non-null values, between two values in proportion.
+    """(by, n, p array<double>): the percentiles of each group's finite values, between two values in proportion.
 
-    Equal values are counted before anything is sent, all groups' counts are put in one order by ranges, and running totals
-    tell which values lie at the places asked for. No task holds a group.
+    Values are counted in BINS bins between their least and greatest, and the bins that hold a wanted place are counted again in
+    bins of their own, until each holds one value: two or three passes, in which every task sends at most BINS counts a
+    group and wanted place. Nothing is sorted and no group is held. Read from stored rows, if they are costly to work out.
     """
-    counts = values.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    rows = global_index(counts, [*by, value][0], [*by, value][1:], "__i")
-    rows = rows.withColumn("__range", F.floor(F.col("__i") / RANGE_ROWS))
-    sums = rows.groupBy("__range").agg(F.sum("__c").alias("__s"))
-    before = sums.select("__range", (F.sum("__s").over(Window.partitionBy(F.lit(0)).orderBy("__range")) - F.col("__s")).alias("__before"))
-    upto = F.sum("__c").over(Window.partitionBy("__range").orderBy("__i"))
-    rows = durable(rows.withColumn("__upto", upto).join(F.broadcast(before), "__range").withColumn("__upto", F.col("__upto") + F.col("__before")).select(*by, value, "__c", "__upto"))
-    groups = rows.groupBy(*by).agg(F.sum("__c").alias("n"), (F.min(F.col("__upto") - F.col("__c"))).alias("__first"))
-    asked = groups.select(*by, "n", "__first", F.posexplode(F.array(*map(F.lit, points))).alias("__nth", "__p")).withColumn("__x", F.col("__p") * (F.col("n") - 1))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-    asked = F.broadcast(asked.select(*(F.col(c).alias(f"__{c}") for c in by), "n", "__nth", "__x", (F.col("__first") + F.floor("__x")).alias("__lo"), (F.col("__first") + F.ceil("__x")).alias("__hi")))  # some rows a group
-    within = lambda c: (F.col(c) < F.col("__upto")) & (F.col(c) >= F.col("__upto") - F.col("__c"))
-    hit = rows.join(asked, [*same, within("__lo") | within("__hi")])
-    ends = hit.groupBy(*by, "n", "__nth", "__x").agg(F.max(F.when(within("__lo"), F.col(value))).cast("double").alias("a"), F.max(F.when(within("__hi"), F.col(value))).cast("double").alias("b"))
-    ends = ends.withColumn("v", F.col("a") + (F.col("b") - F.col("a")) * (F.col("__x") - F.floor("__x")))
-    return ends.groupBy(*by, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("__nth", "v"))), lambda x: x["v"]).alias("p"))
+    rows = values.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.abs("__v") != float("inf")))
+    groups = durable(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")))
+    places = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1))) for p in points]))))
+    asked = groups.select(*by, "__lo", "__hi", F.lit(0).cast("long").alias("__before"), places.alias("__rank"))
+    of = [f"__of_{c}" for c in by]
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(by, of, strict=True)]
+    while not asked.filter("__lo < __hi").isEmpty():
+        bins = asked.filter("__lo < __hi").select(*(F.col(c).alias(o) for c, o in zip(by, of, strict=True)), F.col("__lo").alias("__l"), F.col("__hi").alias("__h")).distinct()
+        hits = rows.join(F.broadcast(bins), [*same, F.col("__v").between(F.col("__l"), F.col("__h"))])  # two bins a group and point at most
+        width = F.col("__h") / 2 - F.col("__l") / 2
+        number = F.least(F.floor((F.col("__v") / 2 - F.col("__l") / 2) / width * BINS), F.lit(BINS - 1))
+        counts = hits.groupBy(*of, "__l", "__h", number.alias("__bin")).agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+        counts = counts.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*of, "__l", "__h").orderBy("__bin"))).drop("__bin")
+        place = F.col("__rank") - F.col("__before")
+        found = (F.col("__lo") == F.col("__l")) & (F.col("__hi") == F.col("__h")) & (place < F.col("__upto")) & (place >= F.col("__upto") - F.col("__c"))
+        refined = asked.join(counts, [*same, found], "left")
+        asked = durable(refined.select(*by, F.coalesce("__least", "__lo").alias("__lo"), F.coalesce("__most", "__hi").alias("__hi"), (F.col("__before") + F.coalesce(F.col("__upto") - F.col("__c"), F.lit(0))).alias("__before"), "__rank"))
+    at = asked.groupBy(*(F.col(c).alias(o) for c, o in zip(by, of, strict=True))).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__lo"))).alias("__at"))  # some places a group
+
+    def between(p: float) -> Column:
+        x = F.lit(p) * (F.col("n") - 1)
+        low = F.element_at("__at", F.floor(x))
+        return low + (F.element_at("__at", F.ceil(x)) - low) * (x - F.floor(x))
+
+    return groups.join(at, same).select(*by, "n", F.array(*map(between, points)).alias("p"))

@@ -14,6 +14,7 @@ from speechloom.operators import batching as B
 from speechloom.operators import cuts
 from speechloom.operators import distribute as D
 from speechloom.operators import metrics as M
+from speechloom.operators import order
 from speechloom.operators import packing as P
 from speechloom.operators import plugins as G
 from speechloom.operators import sequences as S
@@ -363,15 +364,20 @@ def test_ranked(spark):
     assert {r["rank"]: r.p == list(range(len(r.p))) for r in got} == {None: True, 0: True, 1: True, 2: True}
 
 
-def test_percentiles(spark):
-    import numpy as np
-
+@pytest.mark.parametrize("bins", [2, 7, 1 << 12])
+def test_percentiles(spark, monkeypatch, bins):
+    """Equal to numpy's at any number of bins, for ties, far outliers, neighbouring doubles, single values and a null group."""
+    monkeypatch.setattr(order, "BINS", bins)
     rng = np.random.default_rng(4)
-    rows = [("a", float(x)) for x in rng.integers(0, 50, 999)] + [("b", float(x)) for x in rng.normal(size=400)] + [("c", 7.0), ("c", None), (None, 1.0), (None, 2.0)]
-    got = {r.g: (r.n, r.p) for r in exact_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.05, 0.5, 0.95, 1.0]).collect()}
-    for g in ("a", "b", "c", None):
-        own = [v for k, v in rows if k == g and v is not None]
-        assert got[g][0] == len(own) and got[g][1] == pytest.approx(list(np.percentile(own, [5, 50, 95, 100])))
+    near = [1.7e9 + i * 2.0**-22 for i in range(60)]
+    kinds = {"a": rng.integers(0, 50, 999), "b": rng.normal(size=400), "far": [*rng.normal(size=50), 1e300, -1e300], "near": near, "two": [1.0] * 50 + [2.0] * 50}
+    rows = [(g, float(x)) for g, xs in kinds.items() for x in xs] + [("c", 7.0), ("c", None), (None, 1.0), (None, 2.0), ("odd", float("nan")), ("odd", float("inf")), ("odd", 3.0), ("none", None)]
+    got = {r.g: (r.n, r.p) for r in exact_percentiles(spark.createDataFrame(rows, "g string, v double").repartition(3), ["g"], "v", [0.0, 0.05, 0.5, 0.95, 1.0]).collect()}
+    for g in (*kinds, "c", None, "odd"):
+        own = [v for k, v in rows if k == g and v is not None and np.isfinite(v)]
+        assert got[g][0] == len(own) and got[g][1] == pytest.approx(list(np.percentile(own, [0, 5, 50, 95, 100])), rel=1e-12, abs=1e-12)
+    assert "none" not in got
+    assert exact_percentiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", [0.5]).collect() == []
 
 
 def test_empty_references_count_a_word(spark):
