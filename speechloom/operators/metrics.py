@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .order import portable_key, prefix_scan, seeded_key
+from .order import global_index, portable_key, prefix_scan, seeded_key
 
 
 def checkpoint_summary(parts: list[DataFrame], expected: DataFrame, key: str = "ckpt") -> DataFrame:
@@ -225,12 +225,42 @@ def diff_versions(a: DataFrame, b: DataFrame, depth: int, key: str = "key", idx:
     return groups, only
 
 
+#: Bits of an order key that one pass of sample_rows tells apart, and rows that it then takes by a sort.
+DIGIT, FEW = 12, 10_000
+
+
 def sample_rows(df: DataFrame, n: int | None, seed: int, key: str, ordered: bool = False, portable: bool = False) -> DataFrame:
     """A seeded sample of n rows, the same for every partitioning; all rows if n is null or not smaller. ordered: by key.
-    portable: by an order that other engines can compute too."""
+    portable: by an order that other engines can compute too.
+
+    The rows are the n first ones in the order of a hash. Where it is to be cut is found from counts of its leading bits, those of
+    one value being counted by the next bits in turn; so the sample is a filter of df, but for the few rows at the cut.
+    """
     if n is None:
         return df
-    out = df.orderBy(portable_key(seed, F.col(key)) if portable else seeded_key(seed, F.col(key)), key).limit(n)
+    order = portable_key(seed, F.col(key)) if portable else seeded_key(seed, F.col(key))
+    bits = F.conv(F.substring(order, 1, 15), 16, 10).cast("long") if portable else F.shiftright(order, 4) + (1 << 59)  # 60 of them, in the same order
+    rows = df.withColumn("__o", order).withColumn("__b", bits)
+    low, shift, wanted = 0, 60, n
+    while shift:
+        shift -= DIGIT
+        digit = F.shiftright(F.col("__b") - low, shift)
+        counts = sorted(tuple(r) for r in rows.filter((F.col("__b") >= low) & (digit < (1 << DIGIT))).groupBy(digit).count().collect())  # 2**DIGIT rows at most
+        if shift == 60 - DIGIT and sum(c for _, c in counts) <= wanted:
+            return df.orderBy(key) if ordered else df
+        for value, count in counts:
+            if count > wanted:
+                low += value << shift
+                break
+            wanted -= count
+        if count <= max(FEW, wanted):
+            break
+    at_cut = rows.filter((F.col("__b") >= low) & (F.col("__b") < low + (1 << shift)))
+    if count <= FEW:
+        last = at_cut.orderBy("__o", key).limit(wanted)
+    else:  # rows that a hash of 60 bits doesn't tell apart, repeated keys mostly
+        last = global_index(at_cut, "__o", [key], "__i").filter(F.col("__i") < wanted).drop("__i")
+    out = rows.filter(F.col("__b") < low).unionByName(last).select(*df.columns)
     return out.orderBy(key) if ordered else out
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +53,39 @@ def global_shuffle(df: DataFrame, seed: int, key: str, out: str = "idx", portabl
     return global_index(df.withColumn("__k", place), "__k", [key], out).drop("__k")
 
 
+def buffer_shuffle(df: DataFrame, size: int, seed: int) -> DataFrame:
+    """The rows in a pseudo-random order of limited reach, for streams too: each task fills a buffer of ``size`` rows, then puts every
+    row that comes in the place of a random one, which goes out, and at the end empties the buffer in random order. So a row goes
+    out ``size`` rows earlier than it came at most. Memory is the buffer and an Arrow batch; the seed and a task's number and
+    rows fix its order. Nothing is moved between tasks: for a uniform order of a table take global_shuffle().
+    """
+    if size < 1:
+        raise ValueError("the buffer must hold a row")
+
+    def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = random.Random(f"{seed}/{TaskContext.get().partitionId()}")
+        buffer = None
+        for batch in batches:
+            held = 0 if buffer is None else buffer.num_rows
+            both = pa.Table.from_batches([batch] if buffer is None else [buffer, batch])
+            places, out = list(range(held)), []
+            for row in range(held, both.num_rows):
+                if len(places) < size:
+                    places.append(row)
+                else:
+                    at = rng.randrange(size)
+                    out.append(places[at])
+                    places[at] = row
+            yield from both.take(pa.array(out, pa.int64())).to_batches()
+            buffer = both.take(pa.array(places, pa.int64())).combine_chunks().to_batches()[0] if places else None
+        if buffer is not None:
+            places = list(range(buffer.num_rows))
+            rng.shuffle(places)
+            yield buffer.take(pa.array(places, pa.int64()))
+
+    return df.mapInArrow(shuffle, df.schema)
+
+
 def prefix_scan(df: DataFrame, by: list[str], order: list[str], value: str, out: str, how: str = "sum", earlier: bool = False) -> DataFrame:
     """df with ``out``: the running sum, minimum or maximum of a column up to each row of its group, or with ``earlier`` up to the
     row before it (null for the first).

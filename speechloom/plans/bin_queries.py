@@ -9,6 +9,7 @@ from ..operators import batching as B
 from ..operators import distribute as D
 from ..operators import packing as P
 from ..operators import sequences as S
+from ..operators.order import buffer_shuffle as buffer_shuffle_rows
 from ..operators.order import global_index, global_shuffle, portable_key
 from ..storage import new_folder
 from . import inputs as I
@@ -180,6 +181,14 @@ def global_order(spark, d):
     return global_index(rows, "k", ["o_orderkey"]).select("o_orderkey", "idx")
 
 
+@query("buffer_shuffle", "SELECT o_orderkey, true AS near FROM orders")
+def buffer_shuffle(spark, d):
+    """Every order once, none more than the buffer's size before its place."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.monotonically_increasing_id().alias("came"))  # places in a task
+    went = buffer_shuffle_rows(rows, 1000, 3).withColumn("went", F.monotonically_increasing_id())
+    return went.select("o_orderkey", (F.col("went") >= F.col("came") - 1000).alias("near"))
+
+
 @query("global_shuffle", "SELECT o_orderkey, row_number() OVER (ORDER BY md5('7:' || o_orderkey), o_orderkey) - 1 AS idx FROM orders")
 def shuffled(spark, d):
     return global_shuffle(table(spark, d, "orders").select("o_orderkey"), 7, "o_orderkey", portable=True)

@@ -64,6 +64,15 @@ def fetch_positions(spark, d):
     return files.fetch_positions(spark, [f"{d}/orders.parquet"], wanted).select("position", "o_orderkey")
 
 
+@query("fetch_rows", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+def fetch_rows(spark, d):
+    """Orders with a large line, from files of consecutive orders."""
+    path = new_folder(spark, "by-key")
+    table(spark, d, "orders").select("o_orderkey", "o_custkey").repartitionByRange(8, "o_orderkey").write.parquet(path)
+    wanted = table(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return files.fetch_rows(spark, [path], "o_orderkey", wanted)
+
+
 @query("read_transcripts", duck("utts", "SELECT utterance_id, transcript, CAST(doc_id % 2 AS VARCHAR) AS split, CAST(doc_id % 5 AS VARCHAR) AS speaker_id, CAST(doc_id % 3 AS VARCHAR) AS chapter_id FROM utts WHERE n_words > 0"))
 def read_transcripts(spark, d):
     """Transcripts written as the tree of text files that the reader scans, and read back."""

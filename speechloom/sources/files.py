@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import bisect
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,19 +114,72 @@ def locate_rows(spark: SparkSession, paths: list[str], key: str) -> DataFrame:
     return spark.read.parquet(*paths).select(key, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def fetch_rows(spark: SparkSession, paths: list[str], key: str, wanted: DataFrame) -> DataFrame:
-    """Whole rows of the wanted keys."""
-    return spark.read.parquet(*paths).join(wanted.select(key), key, "left_semi")
-
-
-def fetch_positions(spark: SparkSession, paths: list[str], positions: DataFrame, position: str = "position") -> DataFrame:
-    """Whole rows of the wanted global positions, 0-based over the files in the order of their paths, with the position. Only
-    the files' row counts are looked at before."""
+def index_files(spark: SparkSession, paths: list[str], key: str) -> DataFrame:
+    """(file, first, rows, least, greatest): what each file holds, in the order of their paths: the position of its first row over all
+    files, its rows, and the range of its keys. Only the key column is read. Write it beside the files to use it again."""
     rows = spark.read.parquet(*paths)
-    sizes = rows.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count(F.lit(1)).alias("__n"))  # a row a file
-    before = sizes.select("__file", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__file")) - F.col("__n")).alias("__before"))
-    placed = rows.withColumn("__file", F.col("_metadata.file_path")).withColumn("__row", F.col("_metadata.row_index")).join(F.broadcast(before), "__file")
-    return placed.withColumn(position, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before").join(positions.select(position), position, "left_semi")
+    sizes = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("least"), F.max(key).alias("greatest"))
+    before = F.sum("rows").over(Window.partitionBy(F.lit(0)).orderBy("file")) - F.col("rows")  # a row a file
+    return sizes.select("file", before.alias("first"), "rows", "least", "greatest")
+
+
+def _only(spark: SparkSession, schema: T.StructType, files: list[str]) -> DataFrame:
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema).select("*", F.lit(None).cast("struct<file_path:string,row_index:bigint>").alias("_metadata"))
+
+
+def fetch_rows(spark: SparkSession, paths: list[str], key: str, wanted: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Whole rows of the wanted keys. Only files whose range of keys (see index_files) holds a wanted key are read, and of them only
+    row groups within the range of all wanted keys."""
+    index = index_files(spark, paths, key) if index is None else index
+    schema = spark.read.parquet(*paths).schema
+    wanted = wanted.select(key).distinct()
+    ranges = sorted((r["least"], r["greatest"], r["file"]) for r in index.filter("least is not null").collect())  # a row a file
+    if not ranges:
+        return _only(spark, schema, []).select(*schema.names)
+    leasts, greatest_yet, top = [r[0] for r in ranges], [], None
+    for _, greatest, _ in ranges:
+        top = greatest if top is None else max(top, greatest)
+        greatest_yet.append(top)
+
+    def hit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: set[int] = set()
+        for frame in frames:
+            for value in frame[key].tolist():
+                at = bisect.bisect_right(leasts, value) - 1
+                while at >= 0 and greatest_yet[at] >= value:  # ranges may overlap
+                    if ranges[at][1] >= value:
+                        found.add(at)
+                    at -= 1
+        yield pd.DataFrame({"at": sorted(found)}, dtype="int64")
+
+    chosen = wanted.filter(F.col(key).isNotNull()).mapInPandas(hit, "at long").distinct().collect()
+    ends = wanted.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    rows = _only(spark, schema, [ranges[r["at"]][2] for r in chosen]).select(*schema.names)
+    return rows.filter(F.col(key).between(F.lit(ends["a"]), F.lit(ends["b"]))).join(wanted, key, "left_semi").select(*schema.names)
+
+
+def fetch_positions(spark: SparkSession, paths: list[str], positions: DataFrame, position: str = "position", index: DataFrame | None = None) -> DataFrame:
+    """Whole rows of the wanted global positions, 0-based over the files in the order of their paths, with the position. Only files
+    that hold a wanted position are read. index: of index_files, if there is one; else the files' rows are counted."""
+    schema = spark.read.parquet(*paths).schema
+    if index is None:
+        index = index_files(spark, paths, schema.names[0])
+    files = sorted((r["first"], r["rows"], r["file"]) for r in index.select("first", "rows", "file").collect())  # a row a file
+    starts = np.array([f[0] for f in files], dtype=np.int64)
+    total = files[-1][0] + files[-1][1] if files else 0
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            at = np.searchsorted(starts, frame[position].to_numpy(), side="right") - 1
+            yield pd.DataFrame({position: frame[position], "__at": at, "__row": frame[position].to_numpy() - starts[at]})
+
+    asked = positions.select(F.col(position).cast("long").alias(position)).filter(F.col(position).between(0, total - 1)).distinct()
+    placed = asked.mapInPandas(place, f"{position} long, __at long, __row long") if files else asked.withColumn("__at", F.lit(0)).withColumn("__row", F.lit(0))
+    placed = stored(placed)
+    chosen = [r["__at"] for r in placed.select("__at").distinct().collect()]
+    names = spark.createDataFrame([(i, files[i][2]) for i in chosen], "__at long, __file string")
+    rows = _only(spark, schema, [files[i][2] for i in chosen]).select(*schema.names, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return rows.join(placed.join(F.broadcast(names), "__at").drop("__at"), ["__file", "__row"]).select(*schema.names, position)  # names: a row a file
 
 
 #: Bin layouts in the order in which a run prefers them.
@@ -143,6 +199,8 @@ def choose_layout(catalog: DataFrame, suffix: str = "") -> DataFrame:
 def read_bins(spark: SparkSession, catalog: DataFrame, suffix: str = "") -> DataFrame:
     """Bins of the chosen layout of every dataset (the catalog is small)."""
     paths = [r["path"] for r in choose_layout(catalog, suffix).collect()]
+    if not paths:
+        raise ValueError("no layout of the catalog has data")
     return spark.read.parquet(*paths)
 
 
