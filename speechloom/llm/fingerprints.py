@@ -15,6 +15,8 @@ import pyarrow as pa
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LANES = 8
+#: Words that are worked on at once.
+_BLOCK = 1 << 16
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
 
@@ -54,9 +56,16 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit fingerprint of each word; those of different seeds are independent."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+    """A 64-bit fingerprint of each word; those of different seeds are independent. Worked out in blocks of words, so that little
+    more memory is needed than for the result."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    for at in range(0, len(starts), _BLOCK):
+        first, last = int(starts[at]), int(ends[min(at + _BLOCK, len(ends)) - 1])
+        out[at : at + _BLOCK] = _block_hashes(data[first:last], starts[at : at + _BLOCK] - first, ends[at : at + _BLOCK] - first, seed)
+    return out
+
+
+def _block_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     padded = np.zeros(len(data) + 8, dtype=np.uint8)
     padded[:-8] = data
     lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
@@ -82,8 +91,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
 
 def windows(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """The fingerprint of each n consecutive words, document borders ignored (see inside())."""
-    if len(hashes) < n:
-        return np.zeros(0, dtype=np.uint64)
+    out = np.empty(max(0, len(hashes) - n + 1), dtype=np.uint64)
+    for at in range(0, len(out), _BLOCK):
+        out[at : at + _BLOCK] = _block_windows(hashes[at : at + _BLOCK + n - 1], n, salt)
+    return out
+
+
+def _block_windows(hashes: np.ndarray, n: int, salt: int) -> np.ndarray:
     count = len(hashes) - n + 1
     out, power, have = None, hashes, 1  # of the first `done` words of each window; of `have` words from each word on
     done = 0
