@@ -134,8 +134,7 @@ def _windows(n: int, bitmap: np.ndarray | None, lengths: list[int]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in fp.slices_of_bytes(batch, "text"):
                 template = Template(part.column("text"))
                 whose = lambda at: np.searchsorted(template.firsts, at, side="right") - 1  # noqa: B023, E731
                 at, h = template.windows(n)

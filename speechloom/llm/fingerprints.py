@@ -9,9 +9,11 @@ Nothing loops over words in Python but for the very long ones.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LANES = 8
@@ -124,3 +126,13 @@ def inside(firsts: np.ndarray, n: int) -> np.ndarray:
 def within_document(firsts: np.ndarray) -> np.ndarray:
     """Each word's number in its document."""
     return np.arange(int(firsts[-1])) - np.repeat(firsts[:-1], np.diff(firsts))
+
+
+def slices_of_bytes(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about size bytes of text. Memory that earlier tasks of this worker left unused goes back first."""
+    pa.default_memory_pool().release_unused()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    cut = np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1
+    for i, j in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+        if j > i:
+            yield batch.slice(i, j - i)

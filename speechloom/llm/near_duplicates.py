@@ -116,22 +116,13 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(sum(k / np.maximum(wa / x, wb / y).sum() for (x, y), k in zip(kinds, times, strict=True)))
 
 
-def _parts(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about size bytes of text."""
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    cut = np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1
-    for i, j in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
-        if j > i:
-            yield batch.slice(i, j - i)
-
-
 @F.pandas_udf(T.LongType())
 def text_node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The node of a text: equal for texts with the same lower-cased words; null for one without words."""
     for texts in batches:
         batch = pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string(), from_pandas=True)})
         out = []
-        for part in _parts(batch, "t"):
+        for part in fp.slices_of_bytes(batch, "t"):
             data, offsets = fp.text_buffers(pc.utf8_lower(pc.fill_null(part.column("t"), "")))
             starts, ends, firsts = fp.word_spans(data, offsets)
             value, size = fp.mix(fp.word_hashes(data, starts, ends) + fp.within_document(firsts).astype(np.uint64) * _STEP), np.diff(firsts)
@@ -145,7 +136,7 @@ def text_node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def _sketch(n_words: int, bands: int, rows: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, "text"):
+            for part in fp.slices_of_bytes(batch, "text"):
                 owner, value, count, whole = shingles(part.column("text"), n_words)
                 has = np.bincount(owner, minlength=part.num_rows) > 0
                 hashes = band_hashes(prob_minhash(owner, value, count, part.num_rows, bands * rows), rows)
@@ -159,7 +150,7 @@ def _fine_bands(texts: DataFrame, n_words: int) -> DataFrame:
     """(node, bands array<long>): the finer bands of texts."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, "text"):
+            for part in fp.slices_of_bytes(batch, "text"):
                 owner, value, count, _ = shingles(part.column("text"), n_words)
                 signatures = prob_minhash(owner, value, count, part.num_rows, FINE)
                 hashes = band_hashes(signatures, FINE_ROWS)
@@ -226,7 +217,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, n_words: int)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, "text_a"):
+            for part in fp.slices_of_bytes(batch, "text_a"):
                 sides = []
                 for column in ("text_a", "text_b"):
                     owner, value, count, _ = shingles(part.column(column), n_words)
