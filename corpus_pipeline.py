@@ -77,7 +77,7 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: No stage but the fourth can be put in SQL; the tests hold run() against a brute-force version.
+#: No stage but the fourth can be put in SQL; the tests hold run() against cases planted for each stage.
 ORACLE_SQL = None
 
 

@@ -187,7 +187,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     joining decisions back to rows without ids. Items without a template window leak where a text holds all their tokens (of
     up to two: where it is them), with windows 1, share 1 and kind ``exact``; null items and such without a token leak
     nowhere. Null and empty texts leak nothing. Equal rows are judged and returned each for itself; items with equal ids
-    are items of their own and may give a row each.
+    are items of their own and may give a row each. Other columns are ignored; a text is held whole with its tokens, however
+    long, but texts are worked on about a megabyte at a time.
     """
     items = durable(template_windows(benchmark, item_col, item_text_col, n))
     lengths = [r["size"] for r in items.filter("size is not null").select("size").distinct().collect()]  # as many as short items' lengths differ

@@ -27,7 +27,8 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows hold, times alpha for each order given up; a word that no other row has scores alpha / (words of other rows), at
     least 1, times alpha for each order given up. Words are runs of bytes other than space and \\x09-\\x0D, unchanged.
     n_backed_off counts words not scored by their longest n-gram. Null and empty texts: 0 words, score 0. Rows with the
-    same or a null id are documents of their own.
+    same or a null id are documents of their own; other columns, whatever their names, are ignored. A text longer than a pack has
+    a pack of its own, which one task holds. An empty table gives an empty table.
     """
     packs = pack_documents(docs, [id_col, text_col], text_col, pack_bytes)
     n_buckets = bucket_count(packs)

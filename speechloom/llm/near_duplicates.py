@@ -280,7 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two texts are linked if their lower-cased word shingles, weighted by count, have J_P >= threshold; a class is a connected
     component of links. class_id is its smallest non-null id, class_size the number of its rows. node is the same for rows
     with the same lower-cased words (a 64-bit fingerprint), root the smallest node of the class. Texts that are null or have no words have a null node and root and stand
-    alone: class_id is their id, class_size 1. Rows with equal or null ids are rows of their own.
+    alone: class_id is their id, class_size 1. Rows with equal or null ids are rows of their own. Other columns, whatever
+    their names, are ignored; long texts are sketched one by one and compared whole. An empty table gives an empty table.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])

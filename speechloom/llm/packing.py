@@ -129,7 +129,7 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     Each row's text (null: empty) becomes its token ids and then end_id, so an empty text is one id. Each id lies in one
     piece; every sequence is full or as long as a power of two. Rows with equal or null ids are packed as any others; an
-    empty table gives no pieces. sequence_id is the worker's partition times 2**32 plus its sequence number. A worker holds
+    empty table gives no pieces. Other columns, whatever their names, are ignored. sequence_id is the worker's partition times 2**32 plus its sequence number. A worker holds
     the ids of its unfinished bins: one bin of each class and WAITING others, a few MB.
     """
     if capacity & (capacity - 1) or capacity < 1:

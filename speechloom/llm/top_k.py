@@ -85,8 +85,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector_col: str = "v", lists: int = LISTS, chunk: int = CHUNK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id long, rank int, id long, score long): each query's k rows of the highest inner product, ties by smaller id.
 
-    Both tables hold an id and an array of longs whose inner products must fit a long. Rows with a null id or vector take no
-    part, nor do vectors of another length than the query's; a row with the query's own id is not its candidate. Queries
+    Both tables hold an id and an array of longs whose inner products must fit a long. Rows with a null id or a null or empty
+    vector take no part, nor do vectors of another length than the query's; a row with the query's own id is not its candidate. Queries
     with equal ids are answered once for each; candidates with equal ids count each for itself. Fewer candidates than k: all.
     """
     of = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<bigint>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
