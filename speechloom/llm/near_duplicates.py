@@ -15,8 +15,12 @@ verified first, and the others only where the two are not in one class yet.
 A large bucket whose nodes are not all of one class then may hide links. Its nodes get a longer signature and finer bands, of
 which two texts near the threshold share some all the same, but texts that are only alike hardly any: so these buckets are
 small again and nominate all pairs of different classes. In those that are not, all meet the node that shares most buckets
-with others, and neighbours in an order of the bucket's own, so that every band is a fresh chance. All of this is banding: no pair is made but within a bucket, and their number grows with the
-nodes.
+with others, and neighbours in an order of the bucket's own, so that every band is a fresh chance.
+
+The nodes of finer buckets that are still large and of several classes are joined exactly, by a prefix filter: J_P is at most
+the mass that two texts have in common (the sum of min(p, q) over their shingles' shares p and q), so of two linked texts, with
+their shingles in one order, the rarest first, each has a common shingle before its last ``threshold`` of mass. Only those
+leading shingles are joined, between blocks of similar texts, and tasks compare two blocks each.
 """
 
 from __future__ import annotations
@@ -44,8 +48,10 @@ LIKELY = 4
 #: The finer bands of nodes of large buckets with several classes: components of their signature and of a band. Two texts of J_P
 #: 0.8 share about seven of them, and none with a probability of 6 in 10,000.
 FINE, FINE_ROWS = 320, 8
-#: Slots of the table of hashed bucket sizes.
+#: Slots of the tables of hashed bucket sizes and of hashed counts of shingles.
 SLOTS = 1 << 20
+#: Texts, and their bytes, of a block of the exact join.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -212,6 +218,90 @@ def _hiding(parts: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(spread, ["bucket", "part"], "left_semi").select("node").distinct()
 
 
+def _leading_shingles(texts: DataFrame, threshold: float, n_words: int) -> DataFrame:
+    """(node, n_bytes, common, leading array<long>): of each text the shingles that come before its last threshold of mass, in
+    one order for all texts: that of hashed counts, a table of SLOTS numbers, so that the rarest come first, and of the shingles
+    themselves where these tie; and the last shingle, its most frequent."""
+
+    def parts(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part in fp.slices_of_bytes(batch, "text"):
+                yield part, *shingles(part.column("text"), n_words)[:3]
+
+    def slot_of(value: np.ndarray) -> np.ndarray:
+        return (value % np.uint64(SLOTS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, value, _ in parts(batches):
+            slot, n = np.unique(slot_of(value), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot), "n": pa.array(n.astype(np.int64))})
+
+    table = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    sizes = np.zeros(SLOTS, dtype=np.int64)
+    sizes[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, owner, value, times in parts(batches):
+            order = np.lexsort((value, sizes[slot_of(value)], owner))
+            owner, value, times = owner[order], value[order].view(np.int64), times[order]
+            cut = np.searchsorted(owner, np.arange(part.num_rows + 1))  # every node's text has a shingle
+            mass = np.add.reduceat(times, cut[:-1])
+            before = np.cumsum(times) - times
+            before = before - before[cut[owner]]
+            on = mass[owner] - before >= (threshold - 1e-9) * mass[owner]
+            leading = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[on], np.arange(part.num_rows + 1)).astype(np.int32)), pa.array(value[on]))
+            n_bytes = pc.binary_length(part.column("text")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("node"), n_bytes, pa.array(value[cut[1:] - 1]), leading], names=["node", "n_bytes", "common", "leading"])
+
+    return texts.select("node", "text").mapInArrow(lead, "node long, n_bytes long, common long, leading array<long>")
+
+
+def _block_links(threshold: float, n_words: int):
+    """The links between two blocks of texts, or within one: common mass first, for all texts that share a shingle, and the exact
+    J_P where that reaches the threshold."""
+
+    def match(group: pa.Table) -> pa.Table:
+        node, root, first = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "first"))
+        owner, value, times, _ = shingles(group.column("text").combine_chunks(), n_words)
+        order = np.lexsort((value, owner))
+        owner, value, times = owner[order], value[order], times[order]
+        cut = np.searchsorted(owner, np.arange(len(node) + 1))
+        share = times / np.bincount(owner, weights=times, minlength=len(node))[owner]
+        second = np.flatnonzero(~first[owner]) if not first.all() else np.arange(len(owner))
+        by_value = second[np.argsort(value[second], kind="stable")]
+        low, high = (np.searchsorted(value[by_value], value, side=side) for side in ("left", "right"))
+        found = []
+        for a in np.flatnonzero(first):
+            mine = slice(cut[a], cut[a + 1])
+            n = high[mine] - low[mine]
+            at = by_value[np.repeat(low[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            common = np.bincount(owner[at], weights=np.minimum(np.repeat(share[mine], n), share[at]), minlength=len(node))
+            for b in np.flatnonzero((common >= threshold - 1e-9) & (root != root[a])):
+                if probability_jaccard((value[mine], times[mine]), (value[cut[b] : cut[b + 1]], times[cut[b] : cut[b + 1]])) >= threshold:
+                    found.append((min(node[a], node[b]), max(node[a], node[b])))
+        ends = np.array(sorted(set(found)), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
+
+    return match
+
+
+def _exact_links(texts: DataFrame, roots: DataFrame, threshold: float, n_words: int) -> DataFrame:
+    """(a, b): every link between texts of different roots. Nodes are dealt to blocks, those with the same most frequent shingle
+    together; blocks that share a leading shingle meet, with their texts, once for each such pair of blocks. No pair of nodes
+    but a link leaves a task, and no task holds more than two blocks."""
+    nodes = durable(_leading_shingles(texts, threshold, n_words))
+    cells = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int")
+    dealt = join_unskewed(nodes, nodes.groupBy("common").agg(cells.alias("cells")), ["common"])
+    dealt = durable(dealt.select("node", "leading", F.xxhash64("common", F.pmod(F.xxhash64("node"), "cells")).alias("block")))
+    lists = durable(dealt.select("block", F.explode("leading").alias("shingle")).distinct())
+    pairs = lists.withColumnRenamed("block", "p").join(lists.withColumnRenamed("block", "q"), "shingle").filter("p <= q")
+    pairs = durable(pairs.select("p", "q").distinct())
+    members = durable(texts.join(dealt.select("node", "block"), "node").join(roots, "node", "left").select("block", "node", F.coalesce("root", "node").alias("root"), "text"))
+    side = lambda key, first: pairs.join(members.withColumnRenamed("block", key), key).select("p", "q", "node", "root", "text", F.lit(first).alias("first"))
+    both = side("p", True).unionByName(side("q", False).filter("p != q"))
+    return both.groupBy("p", "q").applyInArrow(_block_links(threshold, n_words), "a long, b long").distinct()
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, n_words: int) -> DataFrame:
     """The pairs (a, b) whose texts have a J_P of at least the threshold."""
 
@@ -303,9 +393,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hiding = durable(_hiding(parts, roots))
     if not hiding.isEmpty():
         fine = durable(_fine_bands(texts.join(hiding, "node", "left_semi"), n_words).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        near = durable(_nominate(_central_first(fine), n_nodes)[0].join(pairs, ["a", "b"], "left_anti"))
+        near, parts = _nominate(_central_first(fine), n_nodes)
+        near = durable(near.join(pairs, ["a", "b"], "left_anti"))
         if not near.isEmpty():
             roots = _settle(near, roots, texts, threshold, n_words)
+        hiding = durable(_hiding(parts, roots))
+        if not hiding.isEmpty():
+            found = durable(_exact_links(durable(texts.join(hiding, "node", "left_semi")), roots, threshold, n_words))
+            if not found.isEmpty():
+                roots = _merge(roots, found)
 
     per_node = members.filter("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
     per_node = durable(per_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

@@ -282,9 +282,17 @@ def brute_classes(rows, threshold=0.8, n=5):
         w = [x.lower() for x in nd_split(text)]
         return collections.Counter(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else None
 
+    def similarity(x, y):
+        """J_P by its definition: the sum over common shingles i of 1 / sum over all j of max(x_j / x_i, y_j / y_i)."""
+        both = sorted(x.keys() & y.keys())
+        if not both:
+            return 0.0
+        every = both + sorted(x.keys() ^ y.keys())
+        vx, vy = (np.array([c[g] for g in every], dtype=float) for c in (x, y))
+        k = len(both)
+        return float((1 / np.maximum(vx[None, :] / vx[:k, None], vy[None, :] / vy[:k, None]).sum(1)).sum())
+
     sets = [grams(t) for _, t in rows]
-    ids = {g: i for i, g in enumerate({g for s in sets if s for g in s})}
-    arrays = [None if s is None else (lambda k: (np.array(k), np.array([c for _, c in sorted((ids[g], c) for g, c in s.items())])))(sorted(ids[g] for g in s)) for s in sets]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -293,7 +301,7 @@ def brute_classes(rows, threshold=0.8, n=5):
         return x
 
     for i, j in itertools.combinations(range(len(rows)), 2):
-        if arrays[i] is not None and arrays[j] is not None and nd.probability_jaccard(arrays[i], arrays[j]) >= threshold:
+        if sets[i] and sets[j] and similarity(sets[i], sets[j]) >= threshold:
             parent[find(i)] = find(j)
     groups = collections.defaultdict(list)
     for i in range(len(rows)):
@@ -340,6 +348,33 @@ def test_near_duplicates_of_one_original(spark):
     assert got == want
 
 
+def test_exact_links(spark, monkeypatch):
+    """The exact join of what banding leaves: a family around the threshold, weights, short texts, and classes known before."""
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    rng = random.Random(11)
+    base = words(rng, 120, 900)
+    base[50:60] = base[20:30]
+    texts = [" ".join(words(rng, n, 900)) for n in (1, 3, 5, 40, 90)]
+    for i in range(70):
+        copy = list(base)
+        for at in rng.sample(range(4, 116), 1 + i % 3):
+            copy[at] = f"z{rng.randrange(10**9)}"
+        texts.append(" ".join(copy if i % 10 else copy + copy[:40]))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, text string").repartition(4)
+    roots = spark.createDataFrame([(10, 9), (9, 9), (12, 9)], "node long, root long")
+    root = {10: 9, 12: 9}
+    sides = []
+    for t in texts:
+        owner, value, count, _ = nd.shingles(pa.array([t]))
+        order = np.argsort(value)
+        sides.append((value[order], count[order]))
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if root.get(a, a) != root.get(b, b) and nd.probability_jaccard(sides[a], sides[b]) >= 0.8}
+    got = [(r.a, r.b) for r in nd._exact_links(rows, roots, 0.8, 5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert 100 < len(want) < 2000
+    assert nd._exact_links(rows.limit(0), roots, 0.8, 5).collect() == []
+
+
 def test_prob_minhash():
     rng = np.random.default_rng(1)
     value = rng.integers(1, 2**63, 400).astype(np.uint64)
