@@ -1,0 +1,19 @@
+"""Running sums inside the arrays of a column."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def sums_before(lists: pa.Array) -> pa.Array:
+    """For each element of an array of longs the sum of those before it; a null array has none."""
+    whole = pa.concat_arrays([lists.fill_null([])])
+    offsets, values = whole.offsets.to_numpy().astype(np.int64), whole.values.to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(values)])
+    inside = slice(offsets[0], offsets[-1])
+    at = upto[:-1][inside] - np.repeat(upto[offsets[:-1]], np.diff(offsets))
+    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(at, pa.int64()))
