@@ -26,3 +26,11 @@ def plan_of(df) -> str:
 @pytest.mark.parametrize("name", ["words", "utts", "alignments"])
 def test_inputs_shuffle_nothing(spark, name):
     assert "Exchange" not in plan_of(getattr(I, name)(spark, SF))
+
+
+def test_segments_leave_the_document_behind(spark):
+    """Rows that wait for Python hold their segment's words, not the whole document's."""
+    lines = plan_of(entry.queries()["error_browser"](spark, SF)).splitlines()
+    python = [k for k, line in enumerate(lines) if "ArrowEvalPython" in line]
+    made = max(k for k, line in enumerate(lines) if "posexplode" in line)
+    assert python and max(python) < made and not any("ws#" in line for line in lines[:made])
