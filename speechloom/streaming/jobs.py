@@ -15,6 +15,10 @@ from ..operators.packing import _knapsack
 from .processors import Packing, Ripening, SplitOffsets
 
 
+#: Groups of the items of stream_new_results; fixed, since a checkpoint knows its items by them.
+RESULT_LANES = 256
+
+
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_trigger: int = 4) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
 
@@ -99,18 +103,19 @@ def stream_new_results(source: DataFrame, min_age: int, key: str = "name", ts: s
     """(key, ts, seen): each item once, as soon as the clock has passed its latest time by min_age seconds, with no further input
     asked for, however often and over however many restarts it is heard of. A released item is remembered for ``forget``
     seconds after it was last heard of, for ever unless given. Use a trigger that goes on (processingTime): it looks at the clock.
+    Items are dealt to RESULT_LANES groups, so that an item costs some entries of a map and not a group of its own.
     """
     use_rocksdb(source.sparkSession)
     kind = dict(source.dtypes)[key]
-    rows = source.select(key, F.unix_millis(F.col(ts).cast("timestamp")).alias(ts))
-    ripe = rows.groupBy(key).transformWithStateInPandas(Ripening(key, ts, 1000 * min_age, None if forget is None else 1000 * forget), f"{key} {kind}, {ts} long, seen long", "append", "ProcessingTime")
+    rows = source.select(lane_of(F.col(key), RESULT_LANES).alias("__lane"), key, F.unix_millis(F.col(ts).cast("timestamp")).alias(ts))
+    ripe = rows.groupBy("__lane").transformWithStateInPandas(Ripening(key, ts, kind, 1000 * min_age, None if forget is None else 1000 * forget), f"{key} {kind}, {ts} long, seen long", "append", "ProcessingTime")
     return ripe.withColumn(ts, F.timestamp_millis(ts))
 
 
 def held_results(spark: SparkSession, checkpoint: str, key: str = "name", ts: str = "saved_at") -> DataFrame:
     """The items that a stream_new_results has not released yet, read from the state of its checkpoint."""
-    items = _state(spark, checkpoint, "item").filter("not value.released")
-    return items.select(F.col(f"key.{key}").alias(key), F.timestamp_millis("value.at").alias(ts), F.col("value.seen").alias("seen"))
+    items = spark.read.format("statestore").option("stateVarName", "waiting").load(checkpoint)
+    return items.select(F.col("user_map_key.name").alias(key), F.timestamp_millis("user_map_value.at").alias(ts), F.col("user_map_value.seen").alias("seen"))
 
 
 def stream_progress(log: DataFrame, late: str = "10 minutes", width: str = "1 hour", ts: str = "ts", worker: str = "worker", status: str = "status") -> DataFrame:

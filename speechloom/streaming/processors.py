@@ -29,40 +29,74 @@ class _Timed(StatefulProcessor):
 
 
 class Ripening(_Timed):
-    """An item, once, when the clock has passed its latest time by min_age: at once if it is old enough when it arrives, else by a
-    timer, which a later time of the same item puts off. What comes after an item was released is passed over."""
+    """Items of a lane, each once, when the clock has passed its latest time by min_age: at once if it is old enough when it arrives,
+    else by the lane's timer, which is set to the first item that waits. A later time of the same item puts it off. What comes
+    after an item was released is passed over. Items that wait and items that were released are entries of two maps, so that a
+    timer reads those that wait and no others."""
 
-    def __init__(self, key: str, at: str, min_age_ms: int, forget_ms: int | None):
-        self.key, self.at, self.min_age_ms, self.forget_ms = key, at, min_age_ms, forget_ms
+    def __init__(self, key: str, at: str, kind: str, min_age_ms: int, forget_ms: int | None):
+        self.key, self.at, self.kind, self.min_age_ms, self.forget_ms = key, at, kind, min_age_ms, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.item = handle.getValueState("item", "at long, seen long, released boolean", self.forget_ms)
+        self.waiting = handle.getMapState("waiting", f"name {self.kind}", "at long, seen long")
+        self.released = handle.getMapState("released", f"name {self.kind}", "at long", self.forget_ms)
 
-    def _release(self, key: tuple, at: int, seen: int) -> pd.DataFrame:
-        self.item.update((at, seen, True))
-        return pd.DataFrame({self.key: [key[0]], self.at: [at], "seen": [seen]})
+    def _keys(self, values: pd.Series) -> list:
+        whole = self.kind in ("tinyint", "smallint", "int", "bigint")
+        return [None if pd.isna(v) else int(v) if whole else v for v in values.tolist()]  # whole numbers beside nulls are floats in pandas
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        at, seen, released = self.item.get() if self.item.exists() else (None, 0, False)
+        now, some_wait, put_off = timerValues.getCurrentProcessingTimeInMs(), self.waiting.exists(), False
+        new: dict = {}
         for frame in rows:
-            seen += len(frame)
-            latest = int(frame[self.at].max())
-            at = latest if at is None else max(at, latest)
-        if released:
-            return
-        due = at + self.min_age_ms
-        if due <= timerValues.getCurrentProcessingTimeInMs():
-            self._wake(None)
-            yield self._release(key, at, seen)
-        else:
-            self._wake(due)
-            self.item.update((at, seen, False))
+            heard = frame.groupby(self.key, dropna=False, sort=False)[self.at].agg(["max", "size"])
+            for name, latest, n in zip(self._keys(heard.index), heard["max"].tolist(), heard["size"].tolist(), strict=True):
+                at, seen = new.get(name, (None, 0))
+                new[name] = (int(latest) if at is None else max(at, int(latest)), seen + n)
+        out: list[tuple] = []
+        for name, (at, seen) in new.items():
+            if self.released.containsKey((name,)):
+                if self.forget_ms is not None:
+                    self.released.updateValue((name,), (at,))  # heard of again
+                continue
+            before = self.waiting.getValue((name,)) if some_wait else None
+            if before is not None:
+                at, seen = max(at, before[0]), seen + before[1]
+            if at + self.min_age_ms <= now:
+                self.released.updateValue((name,), (at,))
+                if before is not None:
+                    self.waiting.removeKey((name,))
+                    put_off = True
+                out.append((name, at, seen))
+            else:
+                self.waiting.updateValue((name,), (at, seen))
+                put_off = True
+        if out:
+            yield self._rows(out)
+        if put_off:
+            self._wake(min((v[0] for _, v in self.waiting.iterator()), default=None))
+
+    def _wake(self, first: int | None) -> None:
+        super()._wake(None if first is None else first + self.min_age_ms)
+
+    def _rows(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[self.key, self.at, "seen"])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, seen, released = self.item.get() if self.item.exists() else (None, 0, True)
-        if not released:
-            yield self._release(key, at, seen)
+        now, out, first = timerValues.getCurrentProcessingTimeInMs(), [], None
+        for (name,), (at, seen) in self.waiting.iterator():
+            if at + self.min_age_ms <= now:
+                out.append((name, at, seen))
+            else:
+                first = at if first is None else min(first, at)
+        for name, at, _ in out:
+            self.waiting.removeKey((name,))
+            self.released.updateValue((name,), (at,))
+        if first is not None:
+            self.handle.registerTimer(first + self.min_age_ms)
+        if out:
+            yield self._rows(out)
 
 
 class Packing(_Timed):

@@ -34,3 +34,14 @@ def test_segments_leave_the_document_behind(spark):
     python = [k for k, line in enumerate(lines) if "ArrowEvalPython" in line]
     made = max(k for k, line in enumerate(lines) if "posexplode" in line)
     assert python and max(python) < made and not any("ws#" in line for line in lines[:made])
+
+
+def test_many_items_come_once(spark, tmp_path):
+    """Whole-number keys, repeated in a file and over files, with one that waits."""
+    old, later = datetime.datetime(2020, 1, 1), datetime.datetime(2100, 1, 1)
+    rows = [(i % 3000, old + datetime.timedelta(seconds=i)) for i in range(6000)] + [(9999, later), (None, old)]
+    spark.createDataFrame(rows, "name long, saved_at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.stream_new_results(jobs.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], "name long, saved_at timestamp").schema), 60)
+    got = jobs.run_caught_up(stream, str(tmp_path / "cp")).collect()
+    assert sorted((r.name, r.seen) for r in got if r.name is not None) == [(i, 2) for i in range(3000)] and [r.seen for r in got if r.name is None] == [1]
+    assert [(r.name, r.seen) for r in jobs.held_results(spark, str(tmp_path / "cp/checkpoint")).collect()] == [(9999, 1)]
