@@ -55,7 +55,7 @@ def map_batches(spark, d):
 
 @query("locate_rows", "SELECT doc_id, row_number() OVER () - 1 AS row FROM documents")
 def locate_rows(spark, d):
-    return files.locate_rows(spark, [f"{d}/documents.parquet"], "doc_id").select("doc_id", "row")
+    return files.locate_rows(spark, [f"{d}/documents.parquet"], "doc_id").select("doc_id", F.col("position").alias("row"))
 
 
 @query("fetch_positions", "SELECT i AS position, o_orderkey FROM (SELECT o_orderkey, row_number() OVER () - 1 AS i FROM orders) WHERE i % 97 = 0")

@@ -110,8 +110,11 @@ def merge_metadata(old: DataFrame, new: DataFrame, key: str = "file") -> DataFra
 
 
 def locate_rows(spark: SparkSession, paths: list[str], key: str) -> DataFrame:
-    """(key, file, row): where each row lies; only the key column is read."""
-    return spark.read.parquet(*paths).select(key, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    """(key, file, row, position): where each row lies, in its file and over all files in the order of their paths; only the key
+    column is read."""
+    rows = spark.read.parquet(*paths).select(key, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    first = F.broadcast(index_files(spark, paths, key).select("file", "first"))  # a row a file
+    return rows.join(first, "file").select(key, "file", "row", (F.col("first") + F.col("row")).alias("position"))
 
 
 def index_files(spark: SparkSession, paths: list[str], key: str) -> DataFrame:

@@ -36,6 +36,21 @@ def test_segments_leave_the_document_behind(spark):
     assert python and max(python) < made and not any("ws#" in line for line in lines[:made])
 
 
+def test_positions_over_several_files(spark, tmp_path):
+    for k in range(3):
+        spark.range(1000 * k, 1000 * k + 500 + k).select(F.col("id").alias("o_orderkey"), F.col("id").alias("doc_id")).coalesce(1).write.parquet(str(tmp_path / f"part-{k}"))
+    for name in ("orders", "documents"):
+        (tmp_path / f"{name}.parquet").mkdir()
+        for k in range(3):
+            file = next((tmp_path / f"part-{k}").glob("*.parquet"))
+            (tmp_path / f"{name}.parquet" / f"{k}.parquet").write_bytes(file.read_bytes())
+    want = [1000 * k + i for k in range(3) for i in range(500 + k)]
+    got = entry.queries()["fetch_positions"](spark, str(tmp_path)).collect()
+    assert sorted((r.position, r.o_orderkey) for r in got) == [(i, x) for i, x in enumerate(want) if i % 97 == 0]
+    got = entry.queries()["locate_rows"](spark, str(tmp_path)).collect()
+    assert sorted((r.row, r.doc_id) for r in got) == list(enumerate(want))
+
+
 def test_many_items_come_once(spark, tmp_path):
     """Whole-number keys, repeated in a file and over files, with one that waits."""
     old, later = datetime.datetime(2020, 1, 1), datetime.datetime(2100, 1, 1)
