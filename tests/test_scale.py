@@ -36,6 +36,20 @@ def test_segments_leave_the_document_behind(spark):
     assert python and max(python) < made and not any("ws#" in line for line in lines[:made])
 
 
+def test_a_mean_of_just_the_limit_is_not_low(spark):
+    """Sums of doubles come out below it."""
+    rng, scores = random.Random(1), []
+    while len(scores) < 20:
+        one = [rng.randrange(1000) for _ in range(6)]
+        one.append(3500 - sum(one))
+        if 0 <= one[-1] < 1000 and sum(x / 1000 for x in one) / 7 < 0.5:
+            scores.append([x / 1000 for x in one])
+    rows = [(i, [("w", 0.0, 1.0, x) for x in s], 9.0) for i, s in enumerate([*scores, [0.5, 0.499999]])]
+    align = spark.createDataFrame(rows, "id int, words array<struct<word:string,start:double,end:double,score:double>>, audio_duration double")
+    assert [r.issues for r in L.validate_alignment(align, []).orderBy("id").collect()] == [[]] * 20 + [["low score"]]
+    assert sorted(r.id for r in L.quality_filter(align).collect()) == list(range(20))
+
+
 def test_positions_over_several_files(spark, tmp_path):
     for k in range(3):
         spark.range(1000 * k, 1000 * k + 500 + k).select(F.col("id").alias("o_orderkey"), F.col("id").alias("doc_id")).coalesce(1).write.parquet(str(tmp_path / f"part-{k}"))
