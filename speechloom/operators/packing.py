@@ -6,9 +6,10 @@ from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound, once
 from ..schemas import IGNORED_LABEL
 from .order import seeded_key
 
@@ -175,17 +176,28 @@ def materialise_bins(plan: DataFrame, seqs: DataFrame, cutoff: int, pad: int = 0
 def drop_short_clips(bins: DataFrame, min_frames: int, pad: int = 0, lengths: str = "audio_lengths") -> DataFrame:
     """Bins without the sub-sequences whose clip has under min_frames frames: gaps closed, sub-sequences renumbered, padded
     again. Sub-sequence i has the i-th length. Bins that lose all are left out."""
-    long_enough = F.transform(F.col(lengths), lambda n: n >= min_frames)
-    kept = F.filter(F.arrays_zip(F.col("input_ids").alias("t"), F.col("labels").alias("l"), F.col("attention_mask").alias("m")), lambda x: (x["m"] > 0) & F.get(long_enough, x["m"] - 1))
-    new = lambda m: F.size(F.filter(F.slice(long_enough, F.lit(1), m), lambda b: b))
-    rows = bins.withColumn("__n", F.size("input_ids")).withColumn("__k", kept).filter(F.size("__k") > 0)
-    fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), F.col("__n") - F.size("__k")))
-    rows = rows.withColumns({"input_ids": fill(F.transform("__k", lambda x: x["t"]), pad), "labels": fill(F.transform("__k", lambda x: x["l"]), IGNORED_LABEL), "attention_mask": fill(F.transform("__k", lambda x: new(x["m"])), 0)})
-    flags = F.arrays_zip(F.col(lengths).alias("n"), long_enough.alias("ok"))
+    spans = F.filter(_spans(F.col("attention_mask")), lambda s: (s["id"] > 0) & (F.get(F.col(lengths), s["id"] - 1) >= min_frames))
+    rows = bins.withColumn("__n", F.size("input_ids")).select("*", once(spans).alias("__s"))
+    rows = rows.filter(F.size("__s") > 0).withColumn("__k", F.aggregate("__s", F.lit(0), lambda a, s: a + s["n"]))
+    taken = lambda c: F.flatten(F.transform("__s", lambda s: F.slice(c, s["start"] + 1, s["n"])))
+    number = lambda s: F.size(F.filter(F.slice(lengths, F.lit(1), s["id"]), lambda n: n >= min_frames))
+    masks = F.flatten(F.transform("__s", lambda s: F.array_repeat(number(s), s["n"])))
+    fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), F.col("__n") - F.col("__k")))
+    rows = rows.withColumns({"input_ids": fill(taken("input_ids"), pad), "labels": fill(taken("labels"), IGNORED_LABEL), "attention_mask": fill(masks, 0)})
     if "audio_features" in bins.columns:
-        both = F.arrays_zip(F.col("audio_features").alias("f"), long_enough.alias("ok"))
-        rows = rows.withColumn("audio_features", F.transform(F.filter(both, lambda x: x["ok"]), lambda x: x["f"]))
-    return rows.withColumn(lengths, F.transform(F.filter(flags, lambda x: x["ok"]), lambda x: x["n"])).drop("__n", "__k")
+        both = F.arrays_zip(F.col("audio_features").alias("f"), F.col(lengths).alias("n"))
+        rows = rows.withColumn("audio_features", F.transform(F.filter(both, lambda x: x["n"] >= min_frames), lambda x: x["f"]))
+    return rows.withColumn(lengths, F.filter(lengths, lambda n: n >= min_frames)).drop("__n", "__k", "__s")
+
+
+def _spans(mask: Column) -> Column:
+    """array<struct<id,start,n>>: the runs of equal values of a mask, padding's too. Each is one step's work, whatever its length."""
+
+    def runs(m: Column) -> Column:
+        starts = F.filter(F.transform(m, lambda x, i: F.when((i == 0) | (F.get(m, i - 1) != x), i)), lambda i: i.isNotNull())
+        return bound(starts, lambda at: F.transform(at, lambda a, k: F.struct(F.get(m, a).alias("id"), a.alias("start"), (F.coalesce(F.get(at, k + 1), F.size(m)) - a).alias("n"))))
+
+    return bound(mask, runs)
 
 
 def pack_stats(bins: DataFrame, by: list[str] | None = None) -> DataFrame:

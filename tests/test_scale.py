@@ -65,6 +65,20 @@ def test_positions_over_several_files(spark, tmp_path):
     assert sorted((r.row, r.doc_id) for r in got) == list(enumerate(want))
 
 
+def test_short_clips_of_a_long_bin(spark):
+    """2,000 clips of 30 tokens: work for each clip, not for each token and clip."""
+    n, clips = 30, 2000
+    mask = [c + 1 for c in range(clips) for _ in range(n)] + [0] * 7
+    ids = list(range(len(mask)))
+    bins = spark.createDataFrame([(0, ids, [-i for i in ids], mask, [c % 3 for c in range(clips)])], "bin_no int, input_ids array<int>, labels array<int>, attention_mask array<int>, audio_lengths array<int>")
+    row = P.drop_short_clips(bins, 2).first()
+    kept = [c for c in range(clips) if c % 3 == 2]
+    real = [c * n + i for c in kept for i in range(n)]
+    fill = [0] * (len(mask) - len(real))
+    assert row.input_ids == real + fill and row.labels == [-i for i in real] + [-100] * len(fill)
+    assert row.attention_mask == [k + 1 for k in range(len(kept)) for _ in range(n)] + fill and row.audio_lengths == [2] * len(kept)
+
+
 def test_many_items_come_once(spark, tmp_path):
     """Whole-number keys, repeated in a file and over files, with one that waits."""
     old, later = datetime.datetime(2020, 1, 1), datetime.datetime(2100, 1, 1)
