@@ -98,6 +98,14 @@ def test_short_clips_of_a_long_bin(spark):
     assert row.attention_mask == [k + 1 for k in range(len(kept)) for _ in range(n)] + fill and row.audio_lengths == [2] * len(kept)
 
 
+def test_batch_aligner_gives_the_row_aligners_numbers(spark):
+    rng = random.Random(4)
+    rows = [(str(i), " ".join("x" * rng.randrange(1, 9) for _ in range(rng.randrange(9))), rng.randrange(100_000) / 1000) for i in range(300)] + [("n", None, 1.0)]
+    df = spark.createDataFrame(rows, "utterance_id string, transcript string, audio_duration double")
+    by_row = G.align_batches(df, lambda: lambda part: [G.proportional_aligner(t, d) for t, d in part])
+    assert sorted(map(str, G.align_batches(df).collect())) == sorted(map(str, by_row.collect()))
+
+
 def test_many_items_come_once(spark, tmp_path):
     """Whole-number keys, repeated in a file and over files, with one that waits."""
     old, later = datetime.datetime(2020, 1, 1), datetime.datetime(2100, 1, 1)
