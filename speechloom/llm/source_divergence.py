@@ -3,7 +3,8 @@
 The first pass counts in how many documents of a language each term is, exactly, and keeps those that are frequent enough.
 Their keys (lang, term) get slots by sharded minimal perfect hashes with stored keys. These are broadcast in rounds of a set
 size; in each, the second pass reads the documents again, turns every term into its slot and counts slots, without sending a
-string. A shard's counts meet its keys and its groups' totals in one sorted stream, where they are added to a dense array of
+string. Counts leave each part of the input in a fixed number of bundles of shards, are added up for each group and bundle, and
+only then cut by shard, so that the rows made grow with the input and not with input times shards. A shard's counts meet its keys and its groups' totals in one sorted stream, where they are added to a dense array of
 slots for each group, from which the divergences follow. A shard has a set number of keys, so a task holds groups x SHARD_TERMS
 numbers however large the input is; a hot source or language is spread over all tasks that read it and all shards.
 
@@ -29,6 +30,8 @@ LEAST_DOCUMENTS, SCALE, TOP = 3, 1_000_000_000, 200
 SLICE_BYTES = 6 << 20
 #: Bytes of hashes and stored keys that are broadcast at once: a round.
 ROUND_BYTES = 48 << 20
+#: Bundles in which the shards' counts leave a part of the input, and shards of a bundle and counts of a row at most.
+BUNDLES, BUNDLE_SHARDS, ROW_COUNTS = 32, 1024, 4096
 
 _BETWEEN = np.ones(256, dtype=bool)
 _BETWEEN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -116,8 +119,10 @@ _COUNTS = "lang string, source string, shard int, slots binary, counts binary, t
 
 
 def count_slots(docs: DataFrame, tables: pa.Table, shards: int) -> DataFrame:
-    """The second pass: for each group and shard of a part of the input, its slots (in the shard, 32-bit) with their counts; with
-    shard -1 each group that occurs and the sum of its counts. ``tables`` are the shards of this round."""
+    """The second pass: for each group and bundle (in the column of shards) of a part of the input, its slots (64-bit: the shard and
+    the slot in it) with their counts; with shard -1 each group that occurs and the sum of its counts. ``tables`` are the
+    shards of this round."""
+    bundle = bundle_size(shards)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, tables.schema) as writer:
         writer.write_table(tables)
@@ -127,12 +132,51 @@ def count_slots(docs: DataFrame, tables: pa.Table, shards: int) -> DataFrame:
         hashes = Shards(pa.ipc.open_stream(sent.value).read_all(), shards)
         for batch in batches:
             for part, _ in _slices(batch):
-                yield _counted(part, hashes)
+                yield _counted(part, hashes, bundle)
 
     return docs.mapInArrow(count, _COUNTS)
 
 
-def _counted(part: pa.RecordBatch, hashes: Shards) -> pa.RecordBatch:
+def bundle_size(shards: int) -> int:
+    return min(BUNDLE_SHARDS, math.ceil(shards / BUNDLES))
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of count_slots, sorted by (shard, lang, source), added up and cut by shard: slots in the shard (32-bit) and 64-bit counts."""
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        slot, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(slot, kind="stable")
+        slot, n = slot[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        return slot[starts], np.add.reduceat(n, starts)
+
+    def rows(key: tuple, held: list) -> pa.RecordBatch:
+        slot, n = added(held)
+        shard, local = (slot >> np.uint64(32)).astype(np.int32), (slot & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        cuts = [*np.flatnonzero(np.diff(shard, prepend=-1)).tolist(), len(slot)]
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return pa.RecordBatch.from_pydict({"lang": pa.array([key[1]] * len(spans), pa.string()), "source": pa.array([key[2]] * len(spans), pa.string()), "shard": pa.array(shard[cuts[:-1]]), "slots": pa.array([local[i:j].tobytes() for i, j in spans], pa.binary()), "counts": pa.array([n[i:j].tobytes() for i, j in spans], pa.binary())})
+
+    key, held, size, most = None, [], 0, 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = (row["shard"], row["lang"], row["source"])
+            if own != key:
+                if held:
+                    yield rows(key, held)
+                key, held, size, most = own, [], 0, 1 << 20
+            held.append((np.frombuffer(row["slots"], np.uint64), np.frombuffer(row["counts"], np.uint32).astype(np.int64)))
+            size += len(held[-1][0])
+            if size > most:
+                held = [added(held)]
+                size = len(held[0][0])
+                most = 2 * size + (1 << 20)
+    if held:
+        yield rows(key, held)
+
+
+def _counted(part: pa.RecordBatch, hashes: Shards, bundle: int) -> pa.RecordBatch:
     found = Terms(part.column("text"))
     langs = part.column("lang").dictionary_encode()
     sources = part.column("source").dictionary_encode()
@@ -142,11 +186,14 @@ def _counted(part: pa.RecordBatch, hashes: Shards) -> pa.RecordBatch:
     keys, n = np.unique(group_of[found.doc] * size + found.codes, return_counts=True)
     slot = hashes.find((groups // width)[keys // size], langs.dictionary, found.terms.take(pa.array(keys % size)))
     keys, n, slot = keys[slot >= 0] // size, n[slot >= 0], slot[slot >= 0]
-    order = np.lexsort((slot, keys))
-    keys, n, slot = keys[order], n[order].astype(np.uint32), slot[order]
     row = np.searchsorted(hashes.first, slot, side="right") - 1
-    local = (slot - hashes.first[row]).astype(np.uint32)
-    starts = np.flatnonzero(np.diff(keys, prepend=-1) | np.diff(row, prepend=-1))
+    shard = hashes.numbers[row].astype(np.int64)
+    place = shard << 32 | slot - hashes.first[row]
+    order = np.lexsort((place, keys))
+    keys, n, bundles, local = keys[order], n[order].astype(np.uint32), shard[order] // bundle, place[order].astype(np.uint64)
+    runs = np.flatnonzero(np.diff(keys, prepend=-1) | np.diff(bundles, prepend=-1))
+    inside = np.arange(len(keys)) - np.repeat(runs, np.diff(np.append(runs, len(keys))))
+    starts = np.flatnonzero(inside % ROW_COUNTS == 0)
     stops = np.append(starts[1:], len(keys))
     who = np.concatenate([keys[starts], np.arange(len(groups))])
     spans = list(zip(starts.tolist(), stops.tolist(), strict=True))
@@ -156,7 +203,7 @@ def _counted(part: pa.RecordBatch, hashes: Shards) -> pa.RecordBatch:
         {
             "lang": langs.dictionary.take(pa.array(groups[who] // width)),
             "source": sources.dictionary.take(pa.array(groups[who] % width)),
-            "shard": pa.array(np.concatenate([hashes.numbers[row[starts]], np.full(len(groups), -1, np.int32)]).astype(np.int32)),
+            "shard": pa.array(np.concatenate([bundles[starts], np.full(len(groups), -1)]).astype(np.int32)),
             "slots": pa.array([local[i:j].tobytes() for i, j in spans] + nothing, pa.binary()),
             "counts": pa.array([n[i:j].tobytes() for i, j in spans] + nothing, pa.binary()),
             "total": pa.array(totals),
@@ -204,7 +251,7 @@ class _Shard:
             self.row[lang] = {s: i for i, (s, _, _) in enumerate(self.groups[lang])}
             self.dense[lang] = np.zeros((len(self.groups[lang]), len(self.slots[lang])), dtype=np.int64)
         at = self.place[np.frombuffer(slots, np.uint32)]
-        self.dense[lang][self.row[lang][source], at] += np.frombuffer(counts, np.uint32)
+        self.dense[lang][self.row[lang][source], at] += np.frombuffer(counts, np.int64)
 
     def results(self, top: int) -> Iterator[pa.RecordBatch]:
         """(lang, source, part, item, value): for each group its distance to each other source over this shard's terms, and the
@@ -281,13 +328,15 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     for first, last in _rounds(sizes, shards, round_bytes):
         now = durable(count_slots(docs, tables.filter(F.col("shard").between(first, last)).toArrow(), shards))
         counts = now if counts is None else counts.unionByName(now)
+    dealt = counts.filter("shard >= 0").select("shard", "lang", "source", "slots", "counts").repartition("shard", "lang", "source").sortWithinPartitions("shard", "lang", "source")
+    by_shard = dealt.mapInArrow(_by_shard, "lang string, source string, shard int, slots binary, counts binary")
     groups = counts.filter("shard = -1").groupBy("lang", "source").agg(F.sum("total").alias("total"))
     vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
     groups = groups.join(vocabulary, "lang", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
     rows = (
         tables.select("shard", F.lit(0).alias("kind"), "langs", "terms")
         .unionByName(groups.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "lang", "source", "total", "kept"), allowMissingColumns=True)
-        .unionByName(counts.filter("shard >= 0").select("shard", F.lit(2).alias("kind"), "lang", "source", "slots", "counts"), allowMissingColumns=True)
+        .unionByName(by_shard.select("shard", F.lit(2).alias("kind"), "lang", "source", "slots", "counts"), allowMissingColumns=True)
     )
     found = durable(rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_recount(top), "lang string, source string, part string, item string, value long"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

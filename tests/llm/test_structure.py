@@ -107,6 +107,21 @@ def test_divergence(spark, monkeypatch, shard_terms, round_bytes, slice_bytes):
     assert sorted(map(tuple, got.collect())) == brute_divergence(rows, top=7)
 
 
+def test_counts_leave_in_bundles(spark):
+    """Twice the shards are no more rows: a part of the input sends some a bundle, not one a shard."""
+    rng = random.Random(5)
+    rows = [("l", "s", " ".join(f"t{chr(97 + x % 26)}{chr(97 + x // 26 % 26)}{chr(97 + x // 676)}" for x in rng.sample(range(6000), 4000))) for _ in range(6)]
+    df = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1)
+    kept = sd.frequent_terms(df)
+    made = []
+    for shards in (200, 400):
+        tables = sd.hash_shards(kept, shards).toArrow()
+        made.append(sd.count_slots(df, tables, shards).filter("shard >= 0").count())
+    assert max(made) <= sd.BUNDLES + 1 and abs(made[0] - made[1]) <= 1 + sd.BUNDLES // 2
+    got = source_divergence(df, top=7, shard_terms=15)
+    assert sorted(map(tuple, got.collect())) == brute_divergence([(text, lang, source) for lang, source, text in rows], top=7)
+
+
 def test_divergence_of_documents(docs):
     rows = [(r.text, r.lang, r.source) for r in docs.collect()]
     assert sorted(map(tuple, source_divergence(docs).collect())) == brute_divergence(rows)
