@@ -36,6 +36,12 @@ def test_segments_leave_the_document_behind(spark):
     assert python and max(python) < made and not any("ws#" in line for line in lines[:made])
 
 
+def test_errors_are_planted_in_batches(spark):
+    """word_diff, error_confusion, corpus_wer and running_wer: no expression is worked out for each word and checkpoint."""
+    lines = plan_of(entry.queries()["corpus_wer"](spark, SF)).splitlines()
+    assert any("MapInArrow said" in line for line in lines) and not any("zzins" in line for line in lines)
+
+
 def test_a_mean_of_just_the_limit_is_not_low(spark):
     """Sums of doubles come out below it."""
     rng, scores = random.Random(1), []
