@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,21 +172,28 @@ def _nominate(rows: DataFrame, n_nodes: int) -> tuple[DataFrame, DataFrame]:
     salts = max(1, math.isqrt(n_nodes))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(salts))).withColumn("x", F.struct("node", "root"))
 
+    def apart(others: Column) -> Column:
+        return F.transform(F.filter(others, lambda o: (o["node"] != F.col("node")) & (o["root"] != F.col("root"))), lambda o: o["node"])
+
     def ordered(rows: DataFrame, by: list[str], back: int) -> DataFrame:
-        """rows with n (of their group), first, and others: the group's first node and the ``back`` before."""
+        """rows with n (of their group), first, and others: the group's first node and the ``back`` before, if of other roots."""
         w = Window.partitionBy(*by).orderBy("place", "node")
         rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-        rows = rows.withColumn("others", F.array(F.first("x").over(w), *(F.lag("x", i).over(w) for i in range(1, back + 1))))
-        return rows.withColumn("first", F.col("others")[0]["node"] == F.col("node"))
+        rows = rows.withColumn("first", F.first("node").over(w) == F.col("node"))
+        return rows.withColumn("others", apart(F.array(F.first("x").over(w), *(F.lag("x", i).over(w) for i in range(1, back + 1)))))
 
-    parts = durable(ordered(rows, ["bucket", "part"], 2))
-    tops = ordered(parts.filter((F.col("n") <= SMALL) | F.col("first")).select("bucket", "node", "root", "place", "x"), ["bucket"], 3).filter("n > 1")
+    parts = stored(ordered(rows, ["bucket", "part"], 2).drop("x"))
+    tops = parts.filter((F.col("n") <= SMALL) | F.col("first")).select("bucket", "node", "root", "place", F.struct("node", "root").alias("x"))
+    tops = ordered(tops, ["bucket"], 3).filter("n > 1")
     before = F.collect_list("x").over(Window.partitionBy("bucket").orderBy("place", "node").rowsBetween(-SMALL, -1))
-    tops = tops.withColumn("others", F.when(F.col("n") <= SMALL, before).otherwise(F.col("others")))
-    met = lambda df: df.select("node", "root", F.explode("others").alias("o"))
-    pairs = met(parts.filter(F.col("n") > SMALL)).unionByName(met(tops)).filter("o.node != node and o.root != root")
-    pairs = pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("support")), parts.select("bucket", "part", "node", "root", "n")
+    tops = tops.withColumn("others", F.when(F.col("n") <= SMALL, apart(before)).otherwise(F.col("others")))
+    # A node's partners are counted before they become rows, since the members of a large group meet the same few in all bands.
+    met = lambda df: df.filter(F.size("others") > 0).select("node", "others")
+    lists = met(parts.filter(F.col("n") > SMALL)).unionByName(met(tops)).groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("others"))).alias("others"))
+    times = F.transform(F.array_distinct("others"), lambda o: F.struct(o.alias("node"), F.size(F.filter("others", lambda x: x == o)).alias("times")))
+    pairs = lists.select("node", F.explode(times).alias("o"))
+    pairs = pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), F.col("o.times").cast("long").alias("times"))
+    return pairs.groupBy("a", "b").agg(F.sum("times").alias("support")), parts.select("bucket", "part", "node", "root", "n")
 
 
 def _central_first(fine: DataFrame) -> DataFrame:
@@ -210,7 +217,7 @@ def _central_first(fine: DataFrame) -> DataFrame:
 def _hiding(parts: DataFrame, roots: DataFrame) -> DataFrame:
     """(node): the nodes of buckets of more than SMALL nodes that are of more than one class by now."""
     sizes = parts.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.join(sizes.groupBy("bucket").agg(F.sum("n").alias("all")).filter(F.col("all") > SMALL), "bucket", "left_semi").select("bucket", "part")
+    large = durable(sizes.join(sizes.groupBy("bucket").agg(F.sum("n").alias("all")).filter(F.col("all") > SMALL), "bucket", "left_semi").select("bucket", "part"))
     rows = durable(parts.select("bucket", "part", "node").join(large, ["bucket", "part"], "left_semi"))
     classed = rows.select("bucket", "part", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
@@ -352,9 +359,10 @@ def _settle(pairs: DataFrame, roots: DataFrame, texts: DataFrame, threshold: flo
     Pairs within a class need no verification, so those likeliest to be links come first: each node's most supported pair, then
     all pairs of LIKELY meetings, then the others. Each time only pairs of different classes are verified.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("support", (-F.col("a")).alias("x"), (-F.col("b")).alias("y")).alias("rank"))
-    best = ends.groupBy("node").agg(F.max("rank").alias("rank")).select((-F.col("rank.x")).alias("a"), (-F.col("rank.y")).alias("b")).distinct()
-    others = pairs.join(best, ["a", "b"], "left_anti")
+    ranked = pairs.withColumn("rank", F.struct("support", (-F.col("a")).alias("x"), (-F.col("b")).alias("y")))
+    ends = ranked.groupBy(F.col("a").alias("node")).agg(F.max("rank").alias("rank")).unionByName(ranked.groupBy(F.col("b").alias("node")).agg(F.max("rank").alias("rank")))
+    best = durable(ends.groupBy("node").agg(F.max("rank").alias("rank")).select((-F.col("rank.x")).alias("a"), (-F.col("rank.y")).alias("b")).distinct())
+    others = durable(pairs.join(best, ["a", "b"], "left_anti"))
     for some in (best, others.filter(F.col("support") >= LIKELY), others.filter(F.col("support") < LIKELY)):
         root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
         apart = some.select("a", "b").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").filter("root_a is null or root_b is null or root_a != root_b")
@@ -383,7 +391,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_of = lambda df: df.select("node", "root", F.explode("bands").alias("bucket"))
     pairs, parts = _nominate(rows_of(nodes.withColumn("root", F.col("node"))).withColumn("place", F.xxhash64("node", F.lit("order"))), n_nodes)
     pairs = durable(pairs)
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = durable(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     texts = rows.filter(F.col("text").isNotNull()).withColumn("node", text_node("text")).filter("node is not null")
     texts = marked(texts, "node", durable(marks(wanted, "node"))).filter("__marked").select("node", "text")
     texts = durable(texts.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi"))  # copies go before they meet

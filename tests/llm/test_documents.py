@@ -347,6 +347,28 @@ def test_near_duplicates_of_one_original(spark):
     assert max(size for _, _, size in want) == 301
     assert got == want
 
+def _generated(plan) -> list[int]:
+    """The rows that each Generate of an executed plan made, without those that fill the buckets."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _generated(plan.executedPlan())
+    below = [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if name == "GenerateExec" else []
+    return own + [n for x in below for n in _generated(x)]
+
+
+def test_a_large_group_makes_a_row_for_each_pair_not_for_each_meeting(spark):
+    size, bands = 300, 24
+    rows = [(n, n, b) for n in range(size) for b in range(bands)] + [(1000, 7, 99), (7, 7, 99), (1001, 1001, 99)]  # of one root: no pair
+    df = spark.createDataFrame(rows, "node long, root long, bucket long").withColumn("place", F.xxhash64("node"))
+    pairs, parts = nd._nominate(df, size)
+    got = {(r.a, r.b): r.support for r in pairs.collect()}
+    assert parts.count() == len(rows)
+    large = {k: n for k, n in got.items() if k[1] < 1000}
+    assert set(large.values()) <= {bands, 2 * bands} and {x for k in large for x in k} == set(range(size))  # the same partners in all bands
+    assert {k: n for k, n in got.items() if k[1] >= 1000} == {(7, 1001): 1, (1000, 1001): 1}
+    assert sum(_generated(pairs._jdf.queryExecution().executedPlan())) <= 2 * len(got)
+
 
 def test_exact_links(spark, monkeypatch):
     """The exact join of what banding leaves: a family around the threshold, weights, short texts, and classes known before."""
