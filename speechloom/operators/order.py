@@ -124,15 +124,16 @@ def ranked(df: DataFrame, rank: str, order: str | list[str], out: str = "pos") -
     return rows.join(first, F.col(rank).eqNullSafe(F.col("__of"))).withColumn(out, F.col("__idx") - F.col("__first")).select(*df.columns, out)
 
 
-def exact_percentiles(values: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
+def exact_percentiles(values: DataFrame, by: list[str], value: str, points: list[float], weight: str | None = None) -> DataFrame:
     """(by, n, p array<double>): the percentiles of each group's finite values, between two values in proportion.
 
     Values are counted in BINS bins between their least and greatest, and the bins that hold a wanted place are counted again in
     bins of their own, until each holds one value: two or three passes, in which every task sends at most BINS counts a
     group and wanted place. Nothing is sorted and no group is held. Read from stored rows, if they are costly to work out.
+    ``weight``: how many times each row counts, a whole number of at least 1.
     """
-    rows = values.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.abs("__v") != float("inf")))
-    groups = durable(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")))
+    rows = values.select(*by, F.col(value).cast("double").alias("__v"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("__w")).filter(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.abs("__v") != float("inf")))
+    groups = durable(rows.groupBy(*by).agg(F.sum("__w").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")))
     places = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1))) for p in points]))))
     asked = groups.select(*by, "__lo", "__hi", F.lit(0).cast("long").alias("__before"), places.alias("__rank"))
     of = [f"__of_{c}" for c in by]
@@ -142,7 +143,7 @@ def exact_percentiles(values: DataFrame, by: list[str], value: str, points: list
         hits = rows.join(F.broadcast(bins), [*same, F.col("__v").between(F.col("__l"), F.col("__h"))])  # two bins a group and point at most
         width = F.col("__h") / 2 - F.col("__l") / 2
         number = F.least(F.floor((F.col("__v") / 2 - F.col("__l") / 2) / width * BINS), F.lit(BINS - 1))
-        counts = hits.groupBy(*of, "__l", "__h", number.alias("__bin")).agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+        counts = hits.groupBy(*of, "__l", "__h", number.alias("__bin")).agg(F.sum("__w").alias("__c"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
         counts = counts.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*of, "__l", "__h").orderBy("__bin"))).drop("__bin")
         place = F.col("__rank") - F.col("__before")
         found = (F.col("__lo") == F.col("__l")) & (F.col("__hi") == F.col("__h")) & (place < F.col("__upto")) & (place >= F.col("__upto") - F.col("__c"))

@@ -380,6 +380,16 @@ def test_percentiles(spark, monkeypatch, bins):
     assert exact_percentiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", [0.5]).collect() == []
 
 
+def test_percentiles_of_counted_values(spark):
+    """A row that counts many times is as many rows."""
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v), int(rng.integers(1, 9))) for g in "ab" for v in range(40)]
+    got = {r.g: (r.n, r.p) for r in exact_percentiles(spark.createDataFrame(rows, "g string, v double, w long"), ["g"], "v", [0.05, 0.5, 0.95], "w").collect()}
+    for g in "ab":
+        own = [v for k, v, w in rows if k == g for _ in range(w)]
+        assert got[g][0] == len(own) and got[g][1] == pytest.approx(list(np.percentile(own, [5, 50, 95])))
+
+
 def test_empty_references_count_a_word(spark):
     pairs = spark.createDataFrame([("g", [], ["x", "y"]), ("g", ["a"], ["a"]), ("h", [], [])], "g string, rw array<string>, hw array<string>")
     got = {r.g: (r.n, r.errors, r.words, r.wer) for r in W.corpus_wer(W.pair_errors(pairs), ["g"]).collect()}
