@@ -20,6 +20,8 @@ from .order import prefix_scan
 
 #: Rows of a range, about.
 RANGE_ROWS = 1 << 16
+#: Bundles of short lanes at least.
+BUNDLES = 32
 RULES = ("sum", "padded", "reach")
 
 
@@ -51,6 +53,30 @@ def next_starts(rule: str, limit: int, before: np.ndarray, size: np.ndarray) ->
     return here + count
 
 
+def _batch_numbers(rule: str, limit: int, before: np.ndarray, size: np.ndarray, at: int, begun: int) -> np.ndarray:
+    """The batch of each row in order, where a batch begins with row ``at`` and ``begun`` began before it."""
+    numbers = np.full(len(size), begun - 1, dtype=np.int64)
+    following = next_starts(rule, limit, before, size).tolist()
+    while at < len(size):
+        numbers[at : following[at]] = begun
+        at, begun = following[at], begun + 1
+    return numbers
+
+
+def _whole_lanes(rule: str, limit: int, out: str):
+    """The scan of many short lanes at once."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["__lane", "__before"])
+        before, size = rows["__before"].to_numpy(), rows["__size"].to_numpy()
+        starts = np.flatnonzero(np.diff(rows["__lane"].to_numpy(), prepend=0) != 0) if len(rows) else np.zeros(0, dtype=np.int64)
+        bounds = np.unique(np.concatenate([[0], starts, [len(rows)]])).tolist()
+        numbers = [_batch_numbers(rule, limit, before[i:j], size[i:j], 0, 0) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        return rows.assign(**{out: np.concatenate(numbers)})[["__lane", "__before", out]]
+
+    return run
+
+
 def _exits(rule: str, limit: int, width: int):
     """From the rows of a range and those that a batch of it may reach: the start of the first batch after the range and the
     number of batches until then, for each start in the range; as steps, since both are the same for many starts."""
@@ -113,7 +139,12 @@ def greedy_cuts(rows: DataFrame, lane: str, order: list[str], size: str, limit:
     mean = scanned.agg(F.avg("__size").alias("m")).first()["m"] or 1
     width = limit * max(1, int(RANGE_ROWS * mean) // limit)
     number = F.floor(F.col("__before") / width)
-    ranged = scanned.withColumn("__range", number)
+    # Lanes within one range, which may be very many, are scanned many at once; of the others there is one to RANGE_ROWS rows at most.
+    long_lanes = durable(scanned.filter(F.col("__before") >= width).select("__lane").distinct())
+    short = scanned.join(F.broadcast(long_lanes), "__lane", "left_anti").select("__lane", "__before", "__size")
+    bundle = F.pmod(F.xxhash64("__lane"), F.lit(scanned.count() // RANGE_ROWS + BUNDLES)).alias("__bundle")
+    whole = short.groupBy(bundle).applyInPandas(_whole_lanes(rule, limit, out), f"__lane long, __before long, {out} long")
+    ranged = scanned.join(F.broadcast(long_lanes), "__lane", "left_semi").withColumn("__range", number)
     reached = F.col("__before") - F.col("__range") * width < limit  # by batches of the range before
     both = F.when(reached & (F.col("__range") > 0), F.array("__range", F.col("__range") - 1)).otherwise(F.array("__range"))
     light = ranged.select("__lane", "__before", "__size", F.explode(both).alias("__range"))
@@ -125,14 +156,9 @@ def greedy_cuts(rows: DataFrame, lane: str, order: list[str], size: str, limit:
         own = own.sort_values("__before")
         before = own["__before"].to_numpy()
         first, begun = entry["entry"].iloc[0], int(entry["begun"].iloc[0])
-        numbers = np.full(len(own), begun - 1, dtype=np.int64)
-        if not pd.isna(first):
-            following = next_starts(rule, limit, before, own["__size"].to_numpy()).tolist()
-            at = int(np.searchsorted(before, int(first)))
-            while at < len(own):
-                numbers[at : following[at]] = begun
-                at, begun = following[at], begun + 1
+        at = len(own) if pd.isna(first) else int(np.searchsorted(before, int(first)))
+        numbers = _batch_numbers(rule, limit, before, own["__size"].to_numpy(), at, begun)
         return own.assign(**{out: numbers})[["__lane", "__before", out]]
 
     places = ranged.select("__lane", "__range", "__before", "__size").groupBy("__lane", "__range").cogroup(entries.groupBy("__lane", "__range")).applyInPandas(cut, f"__lane long, __before long, {out} long")
-    return scanned.drop(*({out} & set(kinds))).join(places, ["__lane", "__before"]).select(*(c for c in rows.columns if c != out), out)
+    return scanned.drop(*({out} & set(kinds))).join(places.unionByName(whole), ["__lane", "__before"]).select(*(c for c in rows.columns if c != out), out)

@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,18 @@ def test_greedy_cuts(spark, monkeypatch, rule, range_rows, parts):
     assert got == {(lane, i): no for lane, sizes in lanes.items() for i, no in enumerate(scanned(sizes, 50, rule))}
 
 
+def test_short_lanes_are_scanned_together():
+    """Lanes of one frame, in any order of its rows, are as if each were alone; a lane may be 0 or below."""
+    rng = random.Random(3)
+    lanes = {lane: [rng.randrange(1, 30) for _ in range(rng.randrange(1, 40))] for lane in range(-20, 20)}
+    rows = [(lane, sum(sizes[:i]), size) for lane, sizes in lanes.items() for i, size in enumerate(sizes)]
+    rng.shuffle(rows)
+    for rule in cuts.RULES:
+        got = cuts._whole_lanes(rule, 50, "no")(pd.DataFrame(rows, columns=["__lane", "__before", "__size"]))
+        want = {(lane, sum(sizes[:i])): no for lane, sizes in lanes.items() for i, no in enumerate(scanned(sizes, 50, rule))}
+        assert {(r[0], r[1]): r[2] for r in got.itertuples(index=False)} == want
+
+
 def test_greedy_cuts_of_nothing(spark):
     empty = spark.createDataFrame([], "lane long, pos long, size int")
     assert cuts.greedy_cuts(empty, "lane", ["pos"], "size", 5, "sum").collect() == []
