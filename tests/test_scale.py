@@ -121,3 +121,10 @@ def test_many_items_come_once(spark, tmp_path):
     got = jobs.run_caught_up(stream, str(tmp_path / "cp")).collect()
     assert sorted((r.name, r.seen) for r in got if r.name is not None) == [(i, 2) for i in range(3000)] and [r.seen for r in got if r.name is None] == [1]
     assert [(r.name, r.seen) for r in jobs.held_results(spark, str(tmp_path / "cp/checkpoint")).collect()] == [(9999, 1)]
+
+
+def test_lengths_split_no_text_again(spark):
+    """Plans and orders read lengths several times: from stored rows, not from the texts."""
+    rows = I.lengths(spark, SF)
+    assert rows.count() == I.table(spark, SF, "documents").count()
+    assert not [f for f in rows.inputFiles() if "documents.parquet" in f]
