@@ -141,7 +141,7 @@ def test_words_stay_with_their_utterance(spark, name):
     assert "Exchange" not in plan and texts_read(plan) == 1
 
 
-@pytest.mark.parametrize(("name", "times"), [("route_format", 1), ("attach_first_match", 2)])
+@pytest.mark.parametrize(("name", "times"), [("route_format", 1), ("attach_first_match", 2), ("attach_alignments", 1)])
 def test_ids_are_matched_without_texts_and_words(spark, name, times):
     """Each source reads the texts once, utterances none, and no array of words is sorted with its key."""
     plan = plan_of(entry.queries()[name](spark, SF))
