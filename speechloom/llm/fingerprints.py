@@ -128,9 +128,15 @@ def within_document(firsts: np.ndarray) -> np.ndarray:
     return np.arange(int(firsts[-1])) - np.repeat(firsts[:-1], np.diff(firsts))
 
 
+def release_unused() -> None:
+    """Gives back what Arrow's pool and the process's heap (Python's and numpy's) hold and don't use: a worker that is used again keeps it otherwise."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def slices_of_bytes(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about size bytes of text. Memory that earlier tasks of this worker left unused goes back first."""
-    pa.default_memory_pool().release_unused()
+    release_unused()
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     cut = np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1
     for i, j in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):

@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import fingerprints as fp
+
 #: The pre-tokeniser's pattern of byte-level BPE files, as their format defines it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -29,6 +31,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONG_RUN = re.compile(r"(?<!\s)\s{50000}")
 #: Bins of a worker that wait for a piece to close their gap, at most (capacity ids each).
 WAITING = 64
+#: Pieces of a batch of results, about 2 MB of ids.
+PIECES = 512
 
 
 def byte_level_encoding(path: str) -> Callable[[str], list[int]]:
@@ -156,11 +160,12 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         for batch in batches:
+            fp.release_unused()
             id_type = batch.column(id_col).type
             for key, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4").tobytes()
                 bins.add((key, ids), len(ids) // 4)
-                if len(bins.done) >= 4096:
+                if len(bins.done) >= PIECES:
                     yield flush()
             if bins.done:
                 yield flush()

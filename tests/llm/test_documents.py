@@ -11,6 +11,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -543,3 +544,23 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).collect() == []
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_packing_holds_little(spark, monkeypatch):
+    """Pieces leave a worker some MB of ids at a time, and what it doesn't use goes back before each batch."""
+    from speechloom.llm import fingerprints, packing
+
+    docs, caught, released = spark.createDataFrame([], "doc_id long, text string"), [], []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: caught.append(f))
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(fingerprints, "release_unused", lambda: released.append(1))
+    packing.harmonic_pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["word " * 599] * 1500
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(k, k + 1500), pa.int64()), "text": texts}) for k in (0, 1500)]
+    made = list(caught[0](iter(batches)))
+    assert max(b.num_rows for b in made) <= 1024 and max(b.nbytes for b in made) < 4 << 20 and len(released) == 2
+    ids = {}
+    for b in made:
+        for r in b.to_pylist():
+            ids.setdefault(r["doc_id"], {})[r["start"]] = r["ids"]
+    assert len(ids) == 3000 and len({b"".join(x for _, x in sorted(parts.items())) for parts in ids.values()}) == 1
